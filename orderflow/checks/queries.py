@@ -304,7 +304,7 @@ def extract_counts(spark, folder):
 
 def export_parity(spark, folder):
     sales = fact(spark, folder)
-    frames = {FACT: sales, **{t.name: gold.build(t, sales) for t in gold.GOLD}}
+    frames = {FACT: sales, **gold.all_tables(sales)}
     target = Stage(spark).path("export")
     export.export_tables(frames, target)
     return export.row_count_parity(spark, frames, target)

@@ -13,24 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import round_half_even
-from orderflow.functions.numeric import exact
+from orderflow.functions.numeric import drop_nan, from_parts, millionths, whole_part
 
-# Additive parts of an order line: a decimal sum and the number of values behind it.
+# Additive parts of an order line: an exact value in two integers, and how many values.
 _SUMMED = {
     "sales": "sales",
     "profit": "profit",
     "discount": "discount",
     "margin": "profit_margin_pct",
 }
-PARTS = [f"{p}_{kind}" for p in _SUMMED for kind in ("sum", "n")] + ["units", "row_n"]
+PARTS = [f"{p}_{kind}" for p in _SUMMED for kind in ("whole", "micros", "n")] + ["units", "row_n"]
 
 
 def line_parts(fact: DataFrame, key: str = "row_id") -> DataFrame:
     """The additive parts of each order line next to the grouping columns."""
     parts: dict[str, Column] = {}
     for part, column in _SUMMED.items():
-        parts[f"{part}_sum"] = exact(F.col(column))
-        parts[f"{part}_n"] = F.col(column).isNotNull().cast("bigint")
+        c = drop_nan(F.col(column))
+        parts[f"{part}_whole"] = whole_part(c)
+        parts[f"{part}_micros"] = millionths(c)
+        parts[f"{part}_n"] = c.isNotNull().cast("bigint")
     parts["units"] = F.col("quantity")
     parts["row_n"] = F.col(key).isNotNull().cast("bigint")
     return fact.withColumns(parts)
@@ -38,21 +40,20 @@ def line_parts(fact: DataFrame, key: str = "row_id") -> DataFrame:
 
 def roll_up(parts: DataFrame, grain: list[str]) -> DataFrame:
     """Parts added up per ``grain``; partial sums are formed before the shuffle."""
-    return parts.groupBy(*grain).agg(
-        *[
-            F.sum(p).cast("decimal(28,6)" if p.endswith("_sum") else "bigint").alias(p)
-            for p in PARTS
-        ]
-    )
+    return parts.groupBy(*grain).agg(*[F.sum(p).alias(p) for p in PARTS])
+
+
+def _sum(part: str) -> Column:
+    return from_parts(F.sum(f"{part}_whole"), F.sum(f"{part}_micros"))
 
 
 def _total(part: str) -> Column:
-    return F.coalesce(F.sum(f"{part}_sum").cast("double"), F.lit(0.0))
+    return F.coalesce(_sum(part), F.lit(0.0))
 
 
 def _mean(part: str) -> Column:
     n = F.sum(f"{part}_n")
-    return F.when(n > 0, F.sum(f"{part}_sum").cast("double") / n)
+    return F.when(n > 0, _sum(part) / n)
 
 
 def _measure(name: str) -> Column:
@@ -169,16 +170,12 @@ PRODUCT = GoldTable(
 
 GOLD = (REGION, CATEGORY, SEGMENT, MONTH, PRODUCT)
 
-# Two roll-ups serve all five tables: what describes the order, and what describes the
-# product.  The first shrinks lines to about one row per order.
+# Tables of what describes an order.  They share one roll-up to about a row per order; the
+# product tables do not, as an order seldom holds a product twice and nothing would shrink.
 ORDER_TABLES = (REGION, SEGMENT, MONTH)
 PRODUCT_TABLES = (CATEGORY, PRODUCT)
 
 
-def shared_grain(tables: tuple[GoldTable, ...]) -> list[str]:
-    return list(dict.fromkeys(c for t in tables for c in t.grain))
-
-
 def build(table: GoldTable, fact: DataFrame, key: str = "row_id") -> DataFrame:
     """One aggregate table from the enriched fact, sorted.
 
@@ -212,17 +209,18 @@ def product_performance(fact: DataFrame) -> DataFrame:
     return build(PRODUCT, fact)
 
 
-def roll_ups(fact: DataFrame, key: str = "row_id") -> dict[str, DataFrame]:
-    """The two shared roll-ups; write them once and build all five tables from them."""
-    parts = line_parts(fact, key)
-    return {
-        "order_rollup": roll_up(parts, shared_grain(ORDER_TABLES)),
-        "product_rollup": roll_up(parts, shared_grain(PRODUCT_TABLES)),
-    }
+def order_roll_up(fact: DataFrame, key: str = "row_id") -> DataFrame:
+    """The roll-up behind the order tables; write it once and build all three from it."""
+    grain = dict.fromkeys(c for t in ORDER_TABLES for c in t.grain)
+    return roll_up(line_parts(fact, key), list(grain))
 
 
-def tables_from_roll_ups(rolled: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All five tables from the shared roll-ups, unsorted, by name."""
-    source = {t: rolled["order_rollup"] for t in ORDER_TABLES}
-    source |= {t: rolled["product_rollup"] for t in PRODUCT_TABLES}
-    return {t.name: t.from_parts(source[t]) for t in GOLD}
+def all_tables(
+    fact: DataFrame, rolled: DataFrame | None = None, key: str = "row_id"
+) -> dict[str, DataFrame]:
+    """All five tables by name, sorted; ``rolled`` is a materialised ``order_roll_up``."""
+    if rolled is None:
+        rolled = order_roll_up(fact, key)
+    parts = line_parts(fact, key)
+    source = {t: rolled for t in ORDER_TABLES} | {t: parts for t in PRODUCT_TABLES}
+    return {t.name: t.ordered(t.from_parts(source[t])) for t in GOLD}

@@ -9,17 +9,22 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.operators import drift, incremental, profile, quality
-from orderflow.operators.clean import DATE_FORMAT, clean, normalise
-from orderflow.operators.dedup import count_duplicates, has_repeated_fingerprint
+from orderflow.operators.clean import DATE_FORMAT, cast_numerics, normalise
+from orderflow.operators.dedup import (
+    count_duplicates,
+    drop_full_duplicates,
+    has_repeated_fingerprint,
+)
 from orderflow.operators.features import engineer
 from orderflow.plans import gold
 from orderflow.schema import DEFAULT_SCHEMA, DERIVED, SourceSchema
-from orderflow.session import Stage
+from orderflow.session import Stage, concurrently
 from orderflow.sources.bronze import extract
 from orderflow.sources.lake import FACT, Lake
 
@@ -103,8 +108,8 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report) -> Dat
     """Gate the staged raw batch, clean and gate it again, and add the derived columns."""
     data = report.data
 
-    def gate(df: DataFrame, name: str, date_checks: bool) -> None:
-        checks = quality.quality_report(df, config.schema, date_checks, count_duplicates(df))
+    def gate(df: DataFrame, name: str, date_checks: bool, duplicates: int) -> None:
+        checks = quality.quality_report(df, config.schema, date_checks, duplicates)
         outcome = quality.gate(checks, name, fail_on_error=False)
         data["quality_checks"].append(outcome)
         if not outcome["passed"] and config.fail_on_quality_error:
@@ -112,13 +117,14 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report) -> Dat
             raise quality.QualityGateError(f"quality gate failed on {name} data: {failed}")
 
     def cleaned_batch() -> DataFrame:
-        # Proving that nothing repeats is far cheaper than the full-row shuffle; only a
-        # batch that may hold duplicates pays for it, and then only once.
-        repeats = has_repeated_fingerprint(normalise(raw, config.date_format))
-        rows = clean(raw, config.date_format, repeats, config.schema)
-        return stage.put("cleaned", rows) if repeats else rows
-
-    report.timed("quality_raw", lambda: gate(raw, "raw", False))
+        # The text work is done once and kept.  Proving that nothing repeats is far cheaper
+        # than the full-row shuffle; only a batch that may hold duplicates pays for that.
+        rows = stage.put("normalised", normalise(raw, config.date_format))
+        if has_repeated_fingerprint(rows):
+            rows = stage.put("deduplicated", drop_full_duplicates(rows))
+        return cast_numerics(rows, config.schema)
+
+    report.timed("quality_raw", lambda: gate(raw, "raw", False, count_duplicates(raw)))
     cleaned = report.timed("clean", cleaned_batch)
     rows_in, rows_out = raw.count(), cleaned.count()
     data["stages"]["clean"] = {
@@ -129,7 +135,10 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report) -> Dat
     }
     if rows_out < config.min_rows:
         log.warning("only %d rows after cleaning, expected at least %d", rows_out, config.min_rows)
-    report.timed("quality_cleaned", lambda: gate(cleaned, "cleaned", True))
+    # Casting can make rows equal that differed as text, so this is counted again.
+    report.timed(
+        "quality_cleaned", lambda: gate(cleaned, "cleaned", True, count_duplicates(cleaned))
+    )
     data["stages"]["engineer"] = {"rows": rows_out, "new_features": sorted(DERIVED)}
     return engineer(cleaned)
 
@@ -147,11 +156,10 @@ def load_fact(lake: Lake, batch: DataFrame, key: str, full_refresh: bool = False
 
 
 def rebuild_gold(lake: Lake, fact: DataFrame, key: str, stage: Stage) -> list[str]:
-    """All five aggregate tables from the whole fact, over two staged roll-ups of it."""
-    rolled = {name: stage.put(name, df) for name, df in gold.roll_ups(fact, key).items()}
-    tables = gold.tables_from_roll_ups(rolled)
-    for table in gold.GOLD:
-        lake.replace(table.name, table.ordered(tables[table.name]))
+    """All five aggregate tables from the whole fact, replaced."""
+    rolled = stage.put("order_rollup", gold.order_roll_up(fact, key))
+    tables = gold.all_tables(fact, rolled, key)
+    concurrently(*[partial(lake.replace, name, df) for name, df in tables.items()])
     return list(tables)
 
 
@@ -205,14 +213,14 @@ def compare(lake: Lake, fact: DataFrame, config: Config, run_id: str) -> dict:
 def write_profile(lake: Lake, fact: DataFrame, config: Config, stage: Stage) -> list[str] | None:
     """Profile tables under ``profile/``.  A failure here is logged and never stops a run."""
     try:
+        counts = profile.stage_counts(fact, stage)
         tables = {
-            "columns": profile.profile_columns(fact, stage, config.approximate),
-            "histogram": profile.profile_histogram(fact),
+            "columns": profile.profile_columns(fact, stage, config.approximate, counts),
+            "histogram": profile.profile_histogram(fact, counts=counts),
             "correlation": profile.profile_correlation(fact),
             "missing": profile.profile_missing(fact),
         }
-        for name, df in tables.items():
-            lake.replace(f"profile/{name}", df)
+        concurrently(*[partial(lake.replace, f"profile/{n}", df) for n, df in tables.items()])
         return list(tables)
     except Exception:
         log.exception("profiling failed; the run goes on")

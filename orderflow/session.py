@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # Settings that matter for skewed keys and file sizes.  All are runtime settings, so
 # apply() works on a session somebody else built; a value set there is kept.
 SETTINGS = {
@@ -66,6 +72,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def concurrently(*jobs: Callable[[], T]) -> list[T]:
+    """Run independent actions at once, so that the small ones fill idle executors."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        return [f.result() for f in futures]
+
+
 class Stage:
     """Hand-off tables of one run in the shared folder.
 
