@@ -7,6 +7,7 @@ distinct counts stay exact because a roll-up keeps the counted id in its grain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,19 +57,18 @@ def _mean(part: str) -> Column:
     return F.when(n > 0, _sum(part) / n)
 
 
-def _measure(name: str) -> Column:
-    measures = {
-        "total_sales": round_half_even(_total("sales"), 2),
-        "total_profit": round_half_even(_total("profit"), 2),
-        "total_units": F.coalesce(F.sum("units"), F.lit(0)),
-        "total_orders": F.count_distinct("order_id"),
-        "total_customers": F.count_distinct("customer_id"),
-        "total_rows": F.coalesce(F.sum("row_n"), F.lit(0)),
-        "avg_discount": round_half_even(_mean("discount"), 4),
-        "avg_order_value": round_half_even(_mean("sales"), 2),
-        "avg_profit_margin": round_half_even(_mean("margin"), 2),
-    }
-    return measures[name].alias(name)
+# Each measure as a recipe, so that a table builds only the expressions it holds.
+_MEASURES: dict[str, Callable[[], Column]] = {
+    "total_sales": lambda: round_half_even(_total("sales"), 2),
+    "total_profit": lambda: round_half_even(_total("profit"), 2),
+    "total_units": lambda: F.coalesce(F.sum("units"), F.lit(0)),
+    "total_orders": lambda: F.count_distinct("order_id"),
+    "total_customers": lambda: F.count_distinct("customer_id"),
+    "total_rows": lambda: F.coalesce(F.sum("row_n"), F.lit(0)),
+    "avg_discount": lambda: round_half_even(_mean("discount"), 4),
+    "avg_order_value": lambda: round_half_even(_mean("sales"), 2),
+    "avg_profit_margin": lambda: round_half_even(_mean("margin"), 2),
+}
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ class GoldTable:
         return (
             parts.dropna(subset=list(self.keys))
             .groupBy(*self.keys)
-            .agg(*[_measure(m) for m in self.measures])
+            .agg(*[_MEASURES[m]().alias(m) for m in self.measures])
             .select(*self.columns)
         )
 
@@ -218,9 +218,12 @@ def order_roll_up(fact: DataFrame, key: str = "row_id") -> DataFrame:
 def all_tables(
     fact: DataFrame, rolled: DataFrame | None = None, key: str = "row_id"
 ) -> dict[str, DataFrame]:
-    """All five tables by name, sorted; ``rolled`` is a materialised ``order_roll_up``."""
+    """All five tables by name, unsorted; ``rolled`` is a materialised ``order_roll_up``.
+
+    Stored tables have no order to keep, so sorting is left to the reports that read them.
+    """
     if rolled is None:
         rolled = order_roll_up(fact, key)
     parts = line_parts(fact, key)
     source = {t: rolled for t in ORDER_TABLES} | {t: parts for t in PRODUCT_TABLES}
-    return {t.name: t.ordered(t.from_parts(source[t])) for t in GOLD}
+    return {t.name: t.from_parts(source[t]) for t in GOLD}
