@@ -327,12 +327,17 @@ def _profile_histogram() -> str:
     rows = []
     for name in q.HISTOGRAM_COLUMNS:
         v = _number(name)
+        bounds = f"(SELECT min({v}) AS low, max({v}) AS high FROM fact)"
+        guess = f"least(floor((v - low) / (high - low) * {bins}), {q.BINS - 1})"
         rows.append(
             f"SELECT '{name}' AS column_name, bin, "
-            f"{rnd(f'low + bin * ((high - low) / {bins})', 4)} AS bin_start, "
-            f"{rnd(f'low + (bin + 1) * ((high - low) / {bins})', 4)} AS bin_end, COUNT(*) AS rows "
-            f"FROM (SELECT CAST(least(floor(({v} - low) / (high - low) * {bins}), {q.BINS - 1}) AS BIGINT) AS bin, "
-            f"low, high FROM fact, (SELECT min({v}) AS low, max({v}) AS high FROM fact)) GROUP BY bin, low, high"
+            f"{rnd('low + bin * width', 4)} AS bin_start, "
+            f"{rnd('low + (bin + 1) * width', 4)} AS bin_end, COUNT(*) AS rows "
+            "FROM (SELECT low, width, CAST(CASE WHEN v < low + guess * width THEN guess - 1 "
+            f"WHEN v >= low + (guess + 1) * width AND guess < {q.BINS - 1} THEN guess + 1 "
+            "ELSE guess END AS BIGINT) AS bin "
+            f"FROM (SELECT v, low, (high - low) / {bins} AS width, {guess} AS guess "
+            f"FROM (SELECT {v} AS v FROM fact), {bounds})) GROUP BY bin, low, width"
         )
     return on_fact(" UNION ALL ".join(rows))
 

@@ -159,7 +159,7 @@ def rebuild_gold(lake: Lake, fact: DataFrame, key: str, stage: Stage) -> list[st
     """All five aggregate tables from the whole fact, replaced."""
     rolled = stage.put("order_rollup", gold.order_roll_up(fact, key))
     tables = gold.all_tables(fact, rolled, key)
-    concurrently(*[partial(lake.replace, name, df) for name, df in tables.items()])
+    concurrently(lake.spark, *[partial(lake.replace, name, df) for name, df in tables.items()])
     return list(tables)
 
 
@@ -220,7 +220,7 @@ def write_profile(lake: Lake, fact: DataFrame, config: Config, stage: Stage) ->
             "correlation": profile.profile_correlation(fact),
             "missing": profile.profile_missing(fact),
         }
-        concurrently(*[partial(lake.replace, f"profile/{n}", df) for n, df in tables.items()])
+        concurrently(lake.spark, *[partial(lake.replace, f"profile/{n}", df) for n, df in tables.items()])
         return list(tables)
     except Exception:
         log.exception("profiling failed; the run goes on")

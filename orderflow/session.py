@@ -72,10 +72,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def concurrently(*jobs: Callable[[], T]) -> list[T]:
+def concurrently(spark: SparkSession, *jobs: Callable[[], T]) -> list[T]:
     """Run independent actions at once, so that the small ones fill idle executors."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(len(jobs), 1)) as pool:
+        futures = [pool.submit(inherit(job)) for job in jobs]
         return [f.result() for f in futures]
 
 
