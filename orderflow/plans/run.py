@@ -279,11 +279,14 @@ def run(
 
         fact = lake.find(FACT)
         fact = batch.limit(0) if fact is None else fact
-        data["drift"] = report.timed("drift", lambda: compare(lake, fact, config, run_id))
+        watch = [lambda: report.timed("drift", lambda: compare(lake, fact, config, run_id))]
         if config.make_profile:
-            data["stages"]["profile"] = {
-                "tables": report.timed("profile", lambda: write_profile(lake, fact, config, stage))
-            }
+            watch.append(
+                lambda: report.timed("profile", lambda: write_profile(lake, fact, config, stage))
+            )
+        data["drift"], *profiled = concurrently(spark, *watch)
+        if profiled:
+            data["stages"]["profile"] = {"tables": profiled[0]}
         return report.finish("success")
     except Exception:
         report.finish("failed")

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,16 @@ class Lake:
                 return None
             raise
 
+    def fact_since(self, since: date | str | None, buffer_days: int = 0) -> DataFrame:
+        """Fact rows on or after a day less the buffer; earlier month folders are not read."""
+        fact = self.spark.read.parquet(self.path(FACT)) if self.exists(FACT) else self.read(FACT)
+        if since is not None:
+            first = F.date_sub(F.lit(str(since)).cast("date"), buffer_days)
+            fact = fact.filter(
+                (F.col(MONTH) >= F.trunc(first, "month")) & (F.col("order_date") >= first)
+            )
+        return fact.drop(MONTH)
+
     def exists(self, table: str) -> bool:
         return self.find(table) is not None
 

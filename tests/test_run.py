@@ -97,6 +97,18 @@ def test_fact_layout_and_missing_tables(spark, tmp_path):
     assert dict(lake.columns(FACT))["order_date"] == "date"
 
 
+def test_reading_since_a_day_skips_month_folders(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    rows = engineer(clean(make(spark, lines(1, 28) + lines(50, 28, month=6))))
+    lake.write_fact(rows, "overwrite")
+    recent = lake.fact_since("2017-06-10", 3)
+    assert recent.count() == 22 and recent.columns == rows.columns
+    assert len(recent.inputFiles()) == 2  # of the relation; the scan itself is pruned
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month_start" in plan
+    assert lake.fact_since(None).count() == 56
+
+
 def test_a_hot_month_is_split_over_files(spark, tmp_path):
     old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
