@@ -145,7 +145,9 @@ def extract(
     return Extraction(observed.filter(keep), path, None if since is None else str(since), counts)
 
 
-def write_csv(df: DataFrame, path: str, schema: SourceSchema = DEFAULT_SCHEMA, mode="append"):
+def write_csv(
+    df: DataFrame, path: str, schema: SourceSchema = DEFAULT_SCHEMA, mode: str = "append"
+) -> None:
     """Write rows under the header names of the source files, in the schema's order."""
     out = df.select(*[F.col(r.name).alias(r.header) for r in schema.rules])
     (

@@ -65,7 +65,9 @@ class Lake:
 
     def fact_since(self, since: date | str | None, buffer_days: int = 0) -> DataFrame:
         """Fact rows on or after a day less the buffer; earlier month folders are not read."""
-        fact = self.spark.read.parquet(self.path(FACT)) if self.exists(FACT) else self.read(FACT)
+        if not self.exists(FACT):
+            raise TableNotFound(f"{FACT} does not exist under {self.root}; run the load first")
+        fact = self.spark.read.parquet(self.path(FACT))
         if since is not None:
             first = F.date_sub(F.lit(str(since)).cast("date"), buffer_days)
             fact = fact.filter(
