@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,63 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in wanted))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of texts that a Python worker holds at once; a limit somebody set is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(name, str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``most`` bytes of text, or one row."""
+    for batch in batches:
+        start, held = 0, 0
+        for row, size in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+            if held and held + (size or 0) > most:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: every input bit reaches every output bit."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+PLACES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
+
+
+def hashed_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, A-Z lower-cased, and each text's first word.
+
+    The second array has one entry more than there are texts.
+    """
+    raw = [(t or "").encode() for t in texts]
+    data = FOLD[np.frombuffer(b" ".join([*raw, b""]) or b" ", np.uint8)]
+    space = IS_SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    edges = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    first = np.searchsorted(starts, edges)
+    if not len(starts):
+        return np.empty(0, np.uint64), first
+    lead = np.zeros(starts[0], np.int64)
+    place = np.arange(len(data)) - np.concatenate([lead, np.repeat(starts, np.diff([*starts, len(data)]))])
+    weight = PLACES[place & 255] * ((place >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    sums = np.where(space, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * weight)
+    return mixed_bits(np.add.reduceat(sums, starts)), first
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text, by the six ASCII white-space characters alone."""
     return [w for w in (text or "").translate(SPACES).split(" ") if w]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import mixing, sharding, tokenfiles
+from orderflow.llm import jaccard, mixing, sharding, tokenfiles
 from orderflow.llm.common import table
 from orderflow.session import Stage
 
@@ -34,10 +34,16 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.with_starts(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.similar(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op3_sampled_splitters": sharded,
     "op7_token_files": token_files,
     "op9_curriculum_mix": mixed,
+    "op10_jaccard_join": similar_documents,
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

@@ -15,7 +15,7 @@ from orderflow.llm.common import hash_text, text_of, without
 from orderflow.session import Stage
 
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-KEYS = ("_copy_key", "_doc_key", "_size")
+KEYS = ("_copy_key", "_doc_key", "_size", "_crc")
 
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -24,6 +24,7 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
             "_copy_key": hash_text(text_of(text)),
             "_doc_key": hash_text(key),
             "_size": F.octet_length(text_of(text)).cast("long") + 8,
+            "_crc": F.crc32(text_of(text)),
         }
     )
 
@@ -73,7 +74,7 @@ def shard(
     other.  Columns named like an added one are replaced.  An empty table gives no rows.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession)
-    slim = stage.put("keys", _keyed(docs, text, key).select(*KEYS))
+    slim = stage.put("keys", _keyed(docs, text, key).select(*KEYS[:3]))
     total = slim.agg(F.sum("_size")).first()[0] or 0
     ranges = shards * ranges_per_shard
     goal = max(total / ranges, 1.0)
@@ -158,7 +159,7 @@ def shard(
     return result.withColumns(
         {
             "size": F.col("_size"),
-            "text_crc32": F.crc32(text_of(text)),
+            "text_crc32": F.col("_crc"),
             "law": F.lit("bytes"),
             "shard": F.col("_shard"),
             "slot": F.col("_row") - F.col("_start"),

@@ -8,15 +8,17 @@ of a key range or of the counts alone touches only those pages.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import text_of
+from orderflow.llm.common import slices, small_batches, text_of
 
 # Parquet settings by column: ids repeat and take a dictionary; sorted whole numbers take deltas.
 LAYOUT = {
@@ -29,15 +31,17 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED = 300_000
+CACHED = 900_000
+MARKS = ".,;:!?"
+WORD = re.compile(r" ?\S+").fullmatch
 
 
 class Encoder:
-    """A tokenizer with a bounded cache of the pieces between single spaces.
+    """A tokenizer with a bounded cache of words.
 
-    The byte-level splitter always starts a new piece at a space between two other
-    characters, so texts are encoded piece by piece with the same ids.  Texts in which a space
-    follows white space, or that hold a special token, are encoded whole.
+    The byte-level splitter always cuts at a single space or line end between two other
+    characters, so such texts are encoded word by word with the same ids.  Texts with any other
+    white space, or that hold a special token, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -47,27 +51,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
+        self.line = self._ids("\n")
         self.known: dict[str, bytes] = {}
-
-    def _fresh(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found))
+        self.marks = {m: self._ids(m) for m in MARKS}
+
+    def _ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words as one text with a line end after each, and cut the ids there."""
+        raw = self._ids("\n".join([*words, ""]))
+        cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == int.from_bytes(self.line, "little")) * 4).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(c + 4 for c in cuts)], cuts))
+
+    def _met(self, words: set[str]) -> None:
+        """Learn new words; a mark after a letter is a piece of its own, so the stem is shared."""
+        stems = {w[:-1] if w[-1] in MARKS and w[-2:-1].isalpha() else w for w in words}
+        self._learn(sorted(stems.difference(self.known)))
+        known = self.known
+        for w in words - stems:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            whole = any(not p or p[0].isspace() for p in rest) or any(s in text for s in self.special)
-            split.append([text] if whole else [first, *(" " + p for p in rest)])
         if len(self.known) > CACHED:
-            self.known.clear()
-        self._fresh([p for p in {p for parts in split for p in parts} if p not in self.known])
-        ids = [b"".join(map(self.known.__getitem__, parts)) + self.end for parts in split]
-        for parts in split:
-            if len(parts) == 1 and len(parts[0]) > 200:
-                self.known.pop(parts[0], None)
-        return ids
+            self.known = {}
+        self.known["\n"] = self.line
+        split = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        new = set().union(*split).difference(self.known)
+        # Without other white space, cutting at white space gives back as many words.
+        plain = len("\n".join(new).split()) == len(new) and "" not in new and " " not in new
+        odd = set() if plain else {w for w in new if not WORD(w)}
+        self._met(new - odd if odd else new)
+        known = self.known.__getitem__
+        return [
+            (
+                b"".join(map(known, parts))
+                if (plain or odd.isdisjoint(parts)) and "\0" not in text and not any(s in text for s in self.special)
+                else self._ids(text)
+            )
+            + self.end
+            for text, parts in zip(texts, split)
+        ]
+
+
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One per Python worker, so that its cache outlives a task."""
+    return Encoder(path, end_id)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -77,21 +109,20 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, place, encoder = TaskContext.get().partitionId(), 0, Encoder(path, end_id)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                ids = encoder(batch.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 for x in ids], np.int32)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), tokens, pa.array(sizes)],
-                    [key, "part", "place", "tokens", "n_tokens"],
-                )
-                place += n
+        part, place, ids_of = TaskContext.get().partitionId(), 0, encoder(path, end_id)
+        for batch in slices(batches, "_text", 8 << 20):
+            ids = ids_of(batch.column(1).to_pylist())
+            sizes = np.array([len(x) // 4 for x in ids], np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), tokens, pa.array(sizes)],
+                [key, "part", "place", "tokens", "n_tokens"],
+            )
+            place += n
 
+    small_batches(docs.sparkSession, 2000)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key), text_of(text).alias("_text"))
     return (
