@@ -184,7 +184,7 @@ def _shared_of(bits: int):
         keep = np.repeat(several, np.diff([*begins, len(every)])) & (owner != 0)
         c, k, s = _grouped(owner[keep], every[keep])
         went = c.view(np.uint64) >> np.uint64(64 - bits)
-        ends = np.concatenate([[0], np.cumsum(k)])
+        ends = np.concatenate([[0], np.cumsum(k, dtype=np.int64)])
         for q in np.unique(went):
             i = np.flatnonzero(went == q)
             order = np.concatenate([s[ends[j] : ends[j + 1]] for j in i])
