@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import jaccard, mixing, sharding, tokenfiles
-from orderflow.llm.common import table
+from orderflow.llm import jaccard, mixing, quality, sharding, tokenfiles
+from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,8 +39,20 @@ def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, folder, "labels")), keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        (doc_crc("doc_id") % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op3_sampled_splitters": sharded,
+    "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
     "op9_curriculum_mix": mixed,
     "op10_jaccard_join": similar_documents,
