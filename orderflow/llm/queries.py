@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import jaccard, mixing, quality, sharding, tokenfiles
+from orderflow.llm import classlm, jaccard, mixing, quality, sharding, tokenfiles
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
@@ -50,10 +50,15 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def class_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return classlm.scored(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op3_sampled_splitters": sharded,
     "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
+    "op8_class_lm": class_lm_scores,
     "op9_curriculum_mix": mixed,
     "op10_jaccard_join": similar_documents,
 }
