@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import classlm, jaccard, mixing, quality, sharding, tokenfiles
+from orderflow.llm import classlm, decontaminate, jaccard, mixing, quality, sharding, tokenfiles
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
@@ -54,7 +54,14 @@ def class_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classlm.scored(table(spark, folder, "documents"))
 
 
+def leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = decontaminate.find_leaks(docs, items, keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 QUERIES = {
+    "op1_decontamination": leaked_items,
     "op3_sampled_splitters": sharded,
     "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
