@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import classlm, decontaminate, jaccard, mixing, quality, sharding, tokenfiles
+from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, quality, sharding, tokenfiles
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
@@ -60,8 +60,14 @@ def leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return htmltext.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_decontamination": leaked_items,
+    "op2_html_templates": page_texts,
     "op3_sampled_splitters": sharded,
     "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
