@@ -13,8 +13,11 @@ similarity of their shingle sets reaches the threshold.
    estimated cost: a longer prefix reads more lists but asks for more matches.  Every prefix
    shingle carries the l at which it enters, so two classes compare at the smaller l.
 3. Linked classes form components.  Star rounds compare every class of a shingle's list with
-   one hub of it, which joins a family of copies with as many pairs as it has members; then all
-   pairs of different components that match often enough are verified, so no link is lost.
+   one hub of it, the class with the fewest lone shingles, which joins a family of copies with
+   as many pairs as it has members.  Then no pair of different components is left out: those
+   that meet in short lists and match often enough are verified pair by pair; classes that
+   meet in long lists form families, and a family is verified block against block, where only
+   links come out and components that have met are not compared again.
 """
 
 from __future__ import annotations
@@ -242,16 +245,19 @@ def adaptive_length(n: int, frequencies: np.ndarray, percent: int, most: int = 4
 def _prefixes(ranked: DataFrame, percent: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for cls, n, shared, df in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 asked, enters = adaptive_length(n, np.array(df), percent)
                 k = len(enters)
-                for column, values in zip(out, ([cls] * k, [n] * k, [asked] * k, shared[:k], enters.tolist())):
+                rows = ([cls] * k, [n] * k, [len(df)] * k, [asked] * k, shared[:k], enters.tolist())
+                for column, values in zip(out, rows):
                     column.extend(values)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["cls", "n", "asked", "h", "enters"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            names = ["cls", "n", "k", "asked", "h", "enters"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
-    return ranked.select("cls", "n", "shared", "df").mapInArrow(cut, "cls long, n int, asked int, h long, enters int")
+    schema = "cls long, n int, k int, asked int, h long, enters int"
+    return ranked.select("cls", "n", "shared", "df").mapInArrow(cut, schema)
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
@@ -300,51 +306,117 @@ def _relabelled(labels: DataFrame, links: DataFrame, stage: Stage, name: str) ->
     return stage.put(f"{name}_labels", moved.select("cls", F.coalesce("_to", "comp").alias("comp")))
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def _fits(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether the sizes n, and the numbers k of shingles not alone, leave room for a link."""
+    return (100 + percent) * F.least(a["k"], b["k"]) >= percent * (a["n"] + b["n"])
+
+
+def _side(rows: DataFrame, s: str, *extra: str) -> DataFrame:
+    return rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "k", "comp", *extra)))
+
+
+def _sized(s: str) -> dict[str, Column]:
+    return {"n": F.col(f"n_{s}"), "k": F.col(f"k_{s}")}
+
+
+def _links_in(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the two blocks of a group, or inside its one block, that join components."""
+    rows = rows.sort_values("cls", kind="stable").reset_index(drop=True)
+    sizes = np.array([len(s) for s in rows.shared])
+    n, cls, block = rows.n.to_numpy(), rows.cls.to_numpy(), rows.block.to_numpy()
+    comp = np.unique(rows.comp.to_numpy(), return_inverse=True)[1]
+    every = np.concatenate(list(rows.shared))
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    apart = rows.i.iloc[0] != rows.j.iloc[0]
+    out: list[tuple[int, int]] = []
+    # Members of small components ask first; a component that has met all others is done.
+    for x in np.argsort(np.bincount(comp)[comp], kind="stable"):
+        others = comp != comp[x]
+        if apart:
+            others &= block != block[x]
+        if not others.any():
+            continue
+        mine = np.asarray(rows.shared[x])
+        a, b = np.searchsorted(every, mine), np.searchsorted(every, mine, side="right")
+        length = b - a
+        at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
+        both = np.bincount(owner[at], minlength=len(rows))
+        for y in np.flatnonzero(others & (100 * both >= percent * (n + n[x] - both))):
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((cls[x], cls[y]))
+    return pd.DataFrame(out, columns=["cls_a", "cls_b"], dtype="int64")
+
+
+def _family_links(
+    long: DataFrame, labels: DataFrame, ranked: DataFrame, stage: Stage, percent: int, per_block: int = 1000, shingles: int = 4_000_000
+) -> DataFrame:
+    """Links of classes that meet, directly or by others, in long lists."""
+    hubs = long.groupBy("h").agg(F.min("cls").alias("cls_a"))
+    meet = long.join(hubs, "h").select("cls_a", F.col("cls").alias("cls_b")).distinct()
+    family = components(meet, stage, "family").select(F.col("node").alias("cls"), F.col("comp").alias("family"))
+    members = ranked.select("cls", "n", "shared").join(family, "cls").join(labels, "cls")
+    blocks = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum(F.size("shared")) / shingles)).alias("blocks")
+    )
+    # A block meets each block of its family, itself included, once.
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
+    paired = (
+        members.join(blocks, "family")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .select("*", meets)
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .drop("blocks", "other")
+    )
+    return paired.groupBy("family", "i", "j").applyInPandas(lambda rows: _links_in(rows, percent), "cls_a long, cls_b long")
 
 
-def _linked(postings: DataFrame, ranked: DataFrame, stage: Stage, percent: int, rounds: int) -> DataFrame:
+def _linked(
+    postings: DataFrame, ranked: DataFrame, stage: Stage, percent: int, rounds: int, short: int = 32
+) -> DataFrame:
     labels = ranked.select("cls", F.col("cls").alias("comp"))
-    for turn in range(rounds + 1):
+
+    def open_lists(name: str) -> DataFrame:
+        """Postings of lists in which different components meet."""
         held = postings.join(labels, "cls")
-        per = held.groupBy("h", "comp").agg(F.count("*").alias("m"))
-        lists = per.groupBy("h").agg(
-            F.count("*").alias("comps"),
-            (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"),
-        )
-        mixed = stage.put(f"open_{turn}", lists.where("comps > 1"))
-        pairs = mixed.agg(F.sum("pairs")).first()[0]
-        if not pairs:
-            return labels
-        still = stage.put(f"held_{turn}", held.join(mixed.select("h"), "h"))
-        if turn == rounds or pairs / 2 <= still.count():
-            break
-        best = F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "comp")
+        lists = held.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
+        return stage.put(name, held.join(lists.where("_a <> _b").select("h", "m"), "h"))
+
+    for turn in range(rounds):
+        still = open_lists(f"open_{turn}")
+        lone = F.col("n") - F.col("k")
+        best = F.struct(lone, F.xxhash64("cls", F.lit(turn)), "cls", "n", "k", "comp")
         hubs = still.groupBy("h").agg(F.min(best).alias("hub"))
+        sized = {"n": F.col("hub.n"), "k": F.col("hub.k")}
         star = (
             still.join(hubs, "h")
-            .where((F.col("comp") != F.col("hub.comp")) & _fits(F.col("n"), F.col("hub.n"), percent))
+            .where((F.col("comp") != F.col("hub.comp")) & _fits({"n": F.col("n"), "k": F.col("k")}, sized, percent))
             .select(F.col("hub.cls").alias("cls_a"), F.col("cls").alias("cls_b"))
             .distinct()
         )
         labels = _relabelled(labels, stage.put(f"links_{turn}", _verified(star, ranked, percent)), stage, f"round_{turn}")
-    # All pairs of different components: first the components of a list, then their members.
-    in_list = still.select("h", "comp").distinct()
-    first, second = (in_list.select("h", F.col("comp").alias(f"comp_{s}")) for s in "ab")
-    side = lambda s: still.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "asked", "enters", "comp")))
+
+    still = open_lists("open")
     asked = F.least("asked_a", "asked_b")
+    few = still.where(F.col("m") <= short)
     pairs = (
-        first.join(second, "h")
+        _side(few, "a", "asked", "enters")
+        .join(_side(few, "b", "asked", "enters"), "h")
         .where("comp_a < comp_b")
-        .join(side("a"), ["h", "comp_a"])
-        .join(side("b"), ["h", "comp_b"])
-        .where(_fits(F.col("n_a"), F.col("n_b"), percent) & (F.greatest("enters_a", "enters_b") <= asked))
-        .groupBy("cls_a", "cls_b")
+        .where(_fits(_sized("a"), _sized("b"), percent) & (F.greatest("enters_a", "enters_b") <= asked))
+    )
+    # A pair with a match in a long list is of one family; all others have theirs here.
+    pairs = (
+        pairs.groupBy("cls_a", "cls_b")
         .agg(F.count("*").alias("matches"), F.first(asked).alias("asked"))
         .where("matches >= asked")
     )
-    return _relabelled(labels, stage.put("links", _verified(pairs, ranked, percent)), stage, "last")
+    links = _verified(pairs, ranked, percent).unionByName(
+        _family_links(still.where(F.col("m") > short), labels, ranked, stage, percent)
+    )
+    return _relabelled(labels, stage.put("links", links), stage, "last")
 
 
 def similar(
@@ -352,7 +424,7 @@ def similar(
     text: str = "text",
     key: str = "doc_id",
     percent: int = PERCENT,
-    rounds: int = 6,
+    rounds: int = 2,
     per_part: int = 2_000_000,
 ) -> DataFrame:
     """Key, n_shingles, cls (equal word sequences) and component_id per document.

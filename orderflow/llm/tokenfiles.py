@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,8 +32,8 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED = 900_000
-MARKS = ".,;:!?"
+CACHED = 600_000
+MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
 
 
@@ -53,7 +54,6 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.line = self._ids("\n")
         self.known: dict[str, bytes] = {}
-        self.marks = {m: self._ids(m) for m in MARKS}
 
     def _ids(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -66,12 +66,18 @@ class Encoder:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(c + 4 for c in cuts)], cuts))
 
     def _met(self, words: set[str]) -> None:
-        """Learn new words; a mark after a letter is a piece of its own, so the stem is shared."""
-        stems = {w[:-1] if w[-1] in MARKS and w[-2:-1].isalpha() else w for w in words}
-        self._learn(sorted(stems.difference(self.known)))
-        known = self.known
-        for w in words - stems:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        """Learn new words; marks after a letter or digit are a piece of their own, so stems are shared."""
+        known, ended, wanted = self.known, [], set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem and stem != w and stem[-1].isalnum():
+                ended.append((w, stem, w[len(stem) :]))
+                wanted.add(stem)
+                wanted.add(w[len(stem) :])
+            else:
+                wanted.add(w)
+        self._learn(list(wanted.difference(known)))
+        known.update((w, known[stem] + known[marks]) for w, stem, marks in ended)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
@@ -110,7 +116,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
         from pyspark import TaskContext
 
         part, place, ids_of = TaskContext.get().partitionId(), 0, encoder(path, end_id)
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(batches, "_text", 3 << 20):
             ids = ids_of(batch.column(1).to_pylist())
             sizes = np.array([len(x) // 4 for x in ids], np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
