@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, quality, sharding, tokenfiles
+from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, onebit, quality, sharding, tokenfiles
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
@@ -65,10 +65,15 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return onebit.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": leaked_items,
     "op2_html_templates": page_texts,
     "op3_sampled_splitters": sharded,
+    "op4_one_bit_codes": nearest_vectors,
     "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
     "op8_class_lm": class_lm_scores,
