@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderflow.llm.common import hashed_words, mixed_bits, slices, small_batches, text_of
 from orderflow.session import Stage
@@ -59,20 +60,21 @@ def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed_bits(rolled))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Key, class (NULL without words) and number of words per document."""
-    kind = docs.schema[key].dataType.simpleString()
+def classes(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, class (NULL without words) and number of words per document."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            found, first = hashed_words(batch.column("_text").to_pylist())
+        for batch in slices(batches, len(keep)):
+            found, first = hashed_words(batch.column(len(keep)).to_pylist())
             names = [class_of(found[a:b]) if b > a else None for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.int64()), pa.array(np.diff(first).astype(np.int64))],
-                [key, "cls", "n_words"],
+                [*batch.columns[: len(keep)], pa.array(names, pa.int64()), pa.array(np.diff(first).astype(np.int64))],
+                [*keep, "cls", "n_words"],
             )
 
-    return docs.select(key, text_of(text).alias("_text")).mapInArrow(name, f"{key} {kind}, cls long, n_words long")
+    added = [T.StructField("cls", T.LongType()), T.StructField("n_words", T.LongType())]
+    kinds = T.StructType([*(docs.schema[c] for c in keep), *added])
+    return docs.select(*keep, text_of(text).alias("_text")).mapInArrow(name, kinds)
 
 
 def _grouped(cls: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -427,7 +429,7 @@ def similar(
     rounds: int = 2,
     per_part: int = 2_000_000,
 ) -> DataFrame:
-    """Key, n_shingles, cls (equal word sequences) and component_id per document.
+    """Key, n_shingles, cls (equal word sequences), comp and component_id per document.
 
     component_id is the smallest key among all documents that links reach.  NULL and blank
     texts have no shingles, link with nothing and are their own component.  Repeated rows and
@@ -437,7 +439,7 @@ def similar(
     """
     small_batches(docs.sparkSession)
     stage = Stage(docs.sparkSession)
-    ids = stage.put("ids", classes(docs, text, key))
+    ids = stage.put("ids", classes(docs, text, [key]))
     total = ids.agg(F.sum("n_words")).first()[0] or 0
     bits = min(max(6, math.ceil(math.log2(max(total, 1) / per_part))), 16)
     back = _dealt(docs, text, bits).groupBy("part").applyInPandas(_shared_of(bits), PACKED)
@@ -463,5 +465,25 @@ def similar(
         key,
         F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n_shingles"),
         "cls",
+        "comp",
         F.coalesce("_smallest", key).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the smallest key, NULL last.
+
+    Documents without words are all kept, for they are like nothing.  Of repeated rows that are
+    chosen one is kept.
+    """
+    stage = Stage(docs.sparkSession)
+    found = stage.put("found", similar(docs, text, key, percent).where("cls IS NOT NULL"))
+    best = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "cls")).alias("best")
+    chosen = found.groupBy("comp").agg(best).select(F.col("best.key").alias("_key"), F.col("best.cls").alias("_cls"))
+    again = found.groupBy(key, "cls").count().where("count > 1").isEmpty()
+    columns = docs.columns
+    named = classes(docs, text, columns).toDF(*columns, "_named", "_words")
+    kept = named.join(chosen, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_named") == F.col("_cls")), "left_semi")
+    if not again:
+        kept = kept.dropDuplicates([key, "_named"])
+    return kept.union(named.where(F.col("_named").isNull())).select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, onebit, quality, sharding, tokenfiles
+from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, onebit, quality, sharding, tokenfiles, warc
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
@@ -69,11 +69,16 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return onebit.nearest(table(spark, folder, "embeddings"))
 
 
+def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, folder, "pages")), keep=["page_id"])
+
+
 QUERIES = {
     "op1_decontamination": leaked_items,
     "op2_html_templates": page_texts,
     "op3_sampled_splitters": sharded,
     "op4_one_bit_codes": nearest_vectors,
+    "op5_warc_derivatives": warc_derivatives,
     "op6_quality_attention": quality_scores,
     "op7_token_files": token_files,
     "op8_class_lm": class_lm_scores,
