@@ -32,8 +32,8 @@ def word_count(column: str | Column) -> Column:
 
 def hash_text(*columns: str | Column, length: int = 16) -> Column:
     """The first hex digits of an md5 over the columns, the same in every engine."""
-    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns]
-    return F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, length)
+    parts = [text_of((F.col(c) if isinstance(c, str) else c).cast("string")) for c in columns]
+    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, length)
 
 
 def doc_crc(column: str | Column) -> Column:
@@ -104,6 +104,14 @@ def hashed_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed_bits(np.add.reduceat(sums, starts)), first
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text, by the six ASCII white-space characters alone."""
     return [w for w in (text or "").translate(SPACES).split(" ") if w]

@@ -35,6 +35,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr img".split()
 )
+# How tokens of tags are written; those of inline elements stand inside a slot.
+BLOCK_TAGS = frozenset(["<", "</", "<>"])
 # An open element of the left is closed by a start tag of the right.
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
@@ -55,12 +57,13 @@ MAIN_LABEL = re.compile(r"(?:^|[-_\s])(?:main|articlebody|article-?(?:body|conte
 class Element:
     name: str
     path: str
+    block: str
     aside: bool
     main: bool
     link: bool
 
 
-ROOT = Element("", "", False, False, False)
+ROOT = Element("", "", "", False, False, False)
 
 
 def _opened(name: str, attributes: str, above: Element) -> Element:
@@ -69,7 +72,9 @@ def _opened(name: str, attributes: str, above: Element) -> Element:
     aside = above.aside or name in ASIDE or bool(labels and ASIDE_LABEL.search(labels))
     if not main:
         aside = aside or name == "header" or bool(labels and EDGE_LABEL.search(labels))
-    return Element(name, f"{above.path}>{name}" + (f".{labels}" if labels else ""), aside, main, above.link or name == "a")
+    path = f"{above.path}>{name}" + (f".{labels}" if labels else "")
+    block = above.block if name in INLINE and (aside, main) == (above.aside, above.main) else path
+    return Element(name, path, block, aside, main, above.link or name == "a")
 
 
 @dataclass(slots=True)
@@ -96,14 +101,14 @@ def parse(html: str) -> Page:
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        names.append((stack[i].path, "</"))
+                        names.append((stack[i].path, "</~" if name in INLINE else "</"))
                         del stack[i:]
                         break
             else:
                 if name not in INLINE and name != "br":
                     _close_implied(name, stack)
                 opened = _opened(name, attributes, stack[-1])
-                names.append((opened.path, "<"))
+                names.append((opened.path, "<~" if name in INLINE else "<"))
                 if name not in VOID and not attributes.rstrip().endswith("/"):
                     stack.append(opened)
         elif raw:
@@ -203,42 +208,55 @@ def _nested(pages: list[Page], where: list[int], order: list[tuple], outer: dict
     return not once or len(slots) == 1
 
 
+@dataclass(slots=True)
+class Slot:
+    """What the pages of a group have between two neighbouring template tokens."""
+
+    element: Element
+    words: int = 0
+    linked: int = 0
+
+    def rank(self, richest: int) -> int:
+        """2: in the article; 1: rich in words that are not links; 0: neither."""
+        if self.element.aside:
+            return 0
+        if self.element.main:
+            return 2
+        return int(self.words - self.linked >= max(1, richest // 10) and self.linked * 2 <= self.words)
+
+
 def extract(group: list[str]) -> list[str]:
-    """The main text of each page of a group of pages of one host."""
+    """The main text of each page of a group of pages of one host.
+
+    A slot is named by the template's block tag before it and the block elements around the text.
+    A page keeps its slots of the highest rank, whole.
+    """
     pages = [parse(h) for h in group]
     distinct = list({tuple(p.names): p for p in pages}.values())
     fixed = template(distinct) if len(distinct) > 2 else {}
-    held: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+    slots: dict[tuple, Slot] = {}
     slotted = []
     for page in pages:
-        marks = [i for i, name in enumerate(page.names) if name in fixed] if fixed else []
+        marks = [i for i, name in enumerate(page.names) if name[1] in BLOCK_TAGS and name in fixed]
         rows = []
         for place, block, element, text in page.texts:
-            # A slot is named by the template token before it and the element around the text.
             at = bisect_left(marks, place)
-            slot = (page.names[marks[at - 1]] if at else None, element.path)
+            slot = slots.setdefault((page.names[marks[at - 1]] if at else None, element.block), Slot(element))
             n = len(text.split())
-            stats = held[slot]
-            stats[0] += n
-            stats[1] += n * element.link
-            rows.append((slot, block, element, text))
+            slot.words += n
+            slot.linked += n * element.link
+            if n or block:
+                rows.append((slot, block, text))
         slotted.append(rows)
-    rich = max((s[0] - s[1] for s in held.values()), default=0)
-    return [_joined(rows, held, rich) for rows in slotted]
+    richest = max((s.words - s.linked for s in slots.values() if not s.element.aside), default=0)
+    return [_joined(rows, richest) for rows in slotted]
 
 
-def _joined(rows: list[tuple], held: dict, rich: int) -> str:
-    article = any(e.main and not e.aside and t.strip() for _, _, e, t in rows)
+def _joined(rows: list[tuple[Slot, int, str]], richest: int) -> str:
+    best = max((slot.rank(richest) for slot, _, text in rows if text.strip()), default=0)
     blocks: dict[int, list[str]] = {}
-    for slot, block, element, text in rows:
-        if element.aside:
-            continue
-        if article:
-            keep = element.main
-        else:
-            words, linked = held[slot][:2]
-            keep = words - linked >= max(1, rich // 10) and linked * 2 <= words
-        if keep:
+    for slot, block, text in rows:
+        if best and slot.rank(richest) == best:
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return " ".join(b for b in joined if b)

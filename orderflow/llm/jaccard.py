@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import hashed_words, mixed_bits, slices, small_batches, text_of
+from orderflow.llm.common import free_name, hashed_words, mixed_bits, slices, small_batches, text_of
 from orderflow.session import Stage
 
 WIDTH = 5
@@ -61,7 +61,12 @@ def shingles(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def classes(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, class (NULL without words) and number of words per document."""
+    """The columns to keep, class (NULL without words) and number of words per document.
+
+    The two added come last; where a kept column has their name, underscores are put before.
+    """
+    frame = docs.select(*keep)
+    added = [free_name(frame, "cls"), free_name(frame, "n_words")]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, len(keep)):
@@ -69,12 +74,11 @@ def classes(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
             names = [class_of(found[a:b]) if b > a else None for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(names, pa.int64()), pa.array(np.diff(first).astype(np.int64))],
-                [*keep, "cls", "n_words"],
+                [*keep, *added],
             )
 
-    added = [T.StructField("cls", T.LongType()), T.StructField("n_words", T.LongType())]
-    kinds = T.StructType([*(docs.schema[c] for c in keep), *added])
-    return docs.select(*keep, text_of(text).alias("_text")).mapInArrow(name, kinds)
+    kinds = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in added)])
+    return docs.select(*keep, text_of(text).alias(free_name(docs, "_text"))).mapInArrow(name, kinds)
 
 
 def _grouped(cls: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -39,8 +39,9 @@ def encode(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     words, the share of words equal to the one before, the share of distinct words, and the
     passage's length.
     """
-    raw = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b" ".join([*raw, b""]) or b" ", np.uint8)
+    raw = [b" " + (t or "").encode() + b" " for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    of_text = np.repeat(np.arange(len(texts)), [len(r) for r in raw])
     hashes, first = hashed_words(texts)
     counts = np.diff(first)
     passages = np.maximum(-(-counts // PASSAGE), 1)
@@ -50,16 +51,20 @@ def encode(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     doc = np.repeat(np.arange(len(texts)), counts)
     row = rows[doc] + (np.arange(len(hashes)) - first[doc]) // PASSAGE
-    # The row of a byte is that of the word it is in or after.
+    # The row of a byte is that of the word it is in or after, or its text's first.
     kinds = KINDS[data].astype(np.int64)
     space = IS_SPACE[data]
     begins = ~space
     begins[1:] &= space[:-1]
+    word = np.cumsum(begins) - 1
+    of_byte = rows[of_text]
+    after = word >= first[of_text]
+    of_byte[after] = row[word[after]]
+    inside = of_text[1:] == of_text[:-1]
+    pairs = (of_byte[1:] * N_KINDS**2 + kinds[:-1] * N_KINDS + kinds[1:])[inside]
+    shares = np.bincount(pairs, minlength=total * N_KINDS**2).reshape(total, -1)
+    out[:, : N_KINDS**2] = np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
     if len(row):
-        of_byte = np.concatenate([[row[0]], row])[np.cumsum(begins)]
-        pairs = of_byte[1:] * N_KINDS**2 + kinds[:-1] * N_KINDS + kinds[1:]
-        shares = np.bincount(pairs, minlength=total * N_KINDS**2).reshape(total, -1)
-        out[:, : N_KINDS**2] = np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
         size = np.maximum(np.bincount(row, minlength=total), 1)
         bucket = (hashes >> np.uint64(58)).astype(np.int64)
         lexical = np.bincount(row * LEXICAL + bucket, minlength=total * LEXICAL).reshape(total, -1)

@@ -193,8 +193,10 @@ def write_records(records: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of such files: their headers as a map, and the content by its length."""
-    value = F.regexp_replace("value", rf"^{VERSION}\r\n", "")
-    rows = spark.read.option("lineSep", f"{END * 2}{VERSION}{END}").text(path).select(value.alias("value"))
+    # No content holds a carriage return, so only a record can begin like this.
+    begin = f"{VERSION}{END}WARC-Type: "
+    value = F.concat(F.lit("WARC-Type: "), F.regexp_replace("value", f"^{begin}", ""))
+    rows = spark.read.option("lineSep", f"{END * 2}{begin}").text(path).select(value.alias("value"))
     at = F.locate(END * 2, F.col("value"))
     headers = F.split(F.substring("value", F.lit(1), at - 1), END)
     pairs = F.transform(

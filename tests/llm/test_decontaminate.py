@@ -1,0 +1,102 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+from helpers import ODD, documents, prose
+from orderflow.llm import decontaminate as dc
+
+
+def items_of(spark, texts):
+    return spark.createDataFrame(list(texts), "item_id long, text string")
+
+
+def item(seed, n=20):
+    return f"{prose(seed, n).capitalize()}? {prose(seed + 5000, 6).capitalize()}."
+
+
+def index_of(chosen, threshold=0.6, block=3):
+    bodies = [dc.tokens(t) for _, t in chosen]
+    df = Counter(w for b in bodies for w in set(b))
+    average = sum(map(len, bodies)) / len(bodies)
+    return dc.make_index(chosen, df, len(chosen), average, max(map(len, bodies)), threshold, block), bodies, df, average
+
+
+def bm25(body, passage, df, n, average):
+    total = 0.0
+    for w in set(passage) & set(body):
+        tf = body.count(w)
+        idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+        total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body) / average))
+    return total
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.6, 0.9])
+def test_wand_finds_all_that_scoring_every_item_finds(threshold):
+    rng = random.Random(3)
+    pool = [prose(i, 1) for i in range(120)]
+    chosen = [(i, " ".join(rng.choices(pool, k=rng.randrange(1, 25)))) for i in range(150)]
+    index, bodies, df, average = index_of(chosen, threshold)
+    for _ in range(60):
+        passage = rng.choices(pool, k=rng.randrange(1, 40))
+        terms = sorted({index.terms[w] for w in passage if w in index.terms})
+        wanted = {}
+        for i, body in enumerate(bodies):
+            share = bm25(body, passage, df, 150, average) / bm25(body, body, df, 150, average)
+            if share >= threshold - 1e-9:
+                wanted[i] = share
+        assert dict(index.search(terms)) == pytest.approx(wanted)
+
+
+def test_verbatim_and_near_copies_are_found_and_clean_texts_left_alone(spark):
+    chosen = [(i, item(i)) for i in range(60)]
+    near = item(9).split()
+    near[4], near[12] = "other", "words"
+    texts = [
+        prose(900, 300),
+        prose(901, 130) + " " + item(7).upper() + " " + prose(902, 90),
+        prose(903, 55) + " " + " ".join(near) + " " + prose(904, 300),
+        item(11),
+        prose(905, 70) + " " + item(12).replace(" ", "\n") + " " + item(13),
+        " ".join(item(20).split()[:9]) + " " + prose(906, 100),
+    ]
+    found = dc.find_leaks(documents(spark, texts), items_of(spark, chosen)).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found} == {0: [], 1: [7], 2: [9], 3: [11], 4: [12, 13], 5: []}
+    exact = next(r.leaks[0] for r in found if r.doc_id == 1)
+    assert exact.score == pytest.approx(1) and exact.question_overlap == exact.answer_overlap == 1
+    assert exact.first_word <= 130 <= exact.last_word
+
+
+@pytest.mark.parametrize("begin", range(0, 70, 7))
+def test_an_item_anywhere_in_a_text_stands_whole_in_a_passage(begin):
+    index, *_ = index_of([(i, item(i)) for i in range(30)])
+    scanner = dc.Scanner(index, 0.5)
+    text = " ".join([prose(77, begin), item(4), prose(78, 200)])
+    assert [m["item_id"] for m in scanner([text])[0]] == [4]
+
+
+def test_many_indexes_find_the_same(spark):
+    chosen = items_of(spark, [(i, item(i)) for i in range(40)])
+    docs = documents(spark, [prose(i, 50) + " " + item(i) for i in range(0, 40, 3)])
+    pairs = lambda **o: sorted((r.doc_id, x.item_id) for r in dc.find_leaks(docs, chosen, **o).collect() for x in r.leaks)
+    assert pairs() == pairs(per_index=7) == [(k, i) for k, i in enumerate(range(0, 40, 3))]
+
+
+def test_the_answer_must_be_there(spark):
+    question = item(3).partition("?")[0]
+    docs = documents(spark, [prose(1, 80) + " " + question + "? " + prose(2, 80)])
+    chosen = items_of(spark, [(3, item(3))])
+    assert dc.find_leaks(docs, chosen, threshold=0.5).first().leaks == []
+    assert dc.question_and_answer("One. Two?\nThree.") == ("One. Two?", "Three.")
+    assert dc.question_and_answer("only this") == ("only this", "")
+
+
+def test_odd_texts_items_and_clashing_columns(spark):
+    docs = documents(spark, ODD + [item(1)]).selectExpr("*", "1 AS leaks", "2 AS _leaks")
+    chosen = items_of(spark, [(1, item(1)), (1, item(1)), (2, None), (None, "x y z"), (3, " !? ")])
+    rows = dc.find_leaks(docs, chosen).collect()
+    assert [len(r.leaks) for r in sorted(rows, key=lambda r: (r.text or "") == item(1))] == [0] * len(ODD) + [1]
+    kept = dc.decontaminated(docs, chosen)
+    assert kept.count() == len(ODD)
+    assert dc.find_leaks(docs, items_of(spark, [])).count() == len(ODD) + 1
+    assert dc.find_leaks(documents(spark, []), chosen).count() == 0

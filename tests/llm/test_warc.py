@@ -1,0 +1,67 @@
+import base64
+import hashlib
+import json
+
+from orderflow.llm import warc
+
+HTML = (
+    "<html><head><title>A &amp; B</title><link rel=x href='/s.css'><script src='j.js'>var a = '<p>no</p>';</script></head>"
+    "<body><p>One <b>two</b></p><a href='../c?d=1&amp;e=2'>é link</a><img src=i.png><div>three\r\n\r\n four</div></body></html>"
+)
+ROWS = [(1, "https://h.example/x/y/", HTML), (2, None, None), (3, "http://[bad", ""), (None, "http://h/", "<p>WARC/1.1</p>\r\n\r\n"), (1, "https://h.example/x/y/", HTML)]
+
+
+def pages(spark, rows=ROWS):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def sha(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_records_refer_to_their_response_and_keep_its_headers_and_digests(spark):
+    responses = warc.responses(pages(spark))
+    sources = {r.record_id: r for r in responses.collect()}
+    derived = warc.derive(responses, keep=["page_id"]).collect()
+    assert len(derived) == 2 * len(ROWS) and len(sources) == len(ROWS) - 1
+    for r in derived:
+        source = sources[r.refers_to]
+        body = source.payload.encode()
+        assert (r.page_id, r.target_uri, r.source_headers, r.date) == (source.page_id, source.target_uri, source.http_headers, source.date)
+        assert r.source_payload_digest == sha(body)
+        assert r.source_block_digest == sha(source.http_headers.encode() + b"\r\n\r\n" + body)
+        assert r.block_digest == sha(r.content.encode()) and r.content_length == len(r.content.encode())
+    assert len({r.record_id for r in derived}) == 2 * len(sources)
+    assert {r.record_type for r in derived} == {"metadata", "conversion"}
+
+
+def test_text_title_and_links(spark):
+    derived = {r.record_type: r for r in warc.derive(warc.responses(pages(spark, ROWS[:1]))).collect()}
+    assert derived["conversion"].content == "One two\né link\nthree four"
+    found = json.loads(derived["metadata"].content)["Envelope"]
+    http = found["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert http["HTML-Metadata"]["Title"] == "A & B"
+    assert [x["url"] for x in http["HTML-Metadata"]["Links"]] == [
+        "https://h.example/s.css", "https://h.example/x/y/j.js", "https://h.example/x/c?d=1&e=2", "https://h.example/x/y/i.png",
+    ]
+    assert http["Response-Message"] == "HTTP/1.1 200 OK" and ["Content-Type", "text/html; charset=utf-8"] in http["Headers"]
+    assert found["WARC-Header-Metadata"]["WARC-Record-ID"] == derived["metadata"].refers_to
+
+
+def test_files_round_trip(spark, tmp_path):
+    derived = warc.derive(warc.responses(pages(spark)))
+    warc.write_records(derived.repartition(2), str(tmp_path / "w"))
+    back = sorted((r.headers["WARC-Record-ID"], r.content, r.headers["WARC-Refers-To"]) for r in warc.read_records(spark, str(tmp_path / "w")).collect())
+    assert back == sorted((r.record_id, r.content, r.refers_to) for r in derived.collect())
+    one = warc.read_records(spark, str(tmp_path / "w")).where("headers['WARC-Target-URI'] = 'https://h.example/x/y/'").first().headers
+    assert base64.b64decode(one["WARC-Source-HTTP-Headers"]).decode().startswith("HTTP/1.1 200 OK\r\n")
+    assert int(one["Content-Length"]) > 0 and one["WARC-Source-Payload-Digest"] == sha(HTML.encode())
+
+
+def test_reruns_empty_tables_and_records_without_ids(spark):
+    ids = lambda df: sorted(r.record_id for r in warc.derive(df).collect())
+    assert ids(warc.responses(pages(spark))) == ids(warc.responses(pages(spark).repartition(5)))
+    assert warc.derive(warc.responses(pages(spark, []))).count() == 0
+    assert warc.derive(warc.responses(pages(spark)).selectExpr("NULL AS record_id", "target_uri", "date", "http_headers", "payload")).count() == 0
+    bare = spark.createDataFrame([("<urn:x>", None, None, None, None)], "record_id string, target_uri string, date string, http_headers string, payload string")
+    assert [r.content for r in warc.derive(bare).collect() if r.record_type == "conversion"] == [""]
