@@ -19,6 +19,7 @@ from orderflow.llm.common import small_batches
 from orderflow.session import Stage
 
 PLANES = 8
+BLOCK = 1024
 CODED = "vec_id long, dims int, scale double, code binary, vector array<double>"
 FOUND = "query_id long, vec_id long, score double"
 
@@ -113,26 +114,35 @@ class Queries:
 
     def offer(self, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, x: np.ndarray) -> None:
         """Compare a block of vectors: estimates for all, exact cosines for those that may be near."""
+        for begin in range(0, len(ids), BLOCK):
+            part = slice(begin, begin + BLOCK)
+            self._offer(ids[part], codes[part], scale[part], x[part])
+
+    def _offer(self, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, x: np.ndarray) -> None:
         estimate, error = self.estimates(codes, scale)
-        own = self.ids[:, None] == ids[None, :]
-        while True:
-            # The best estimates first: they raise the bar for the rest.
-            far = estimate + error < self.least[:, None] - 1e-12
-            open_ = ~far & ~own
-            if not open_.any():
-                return
-            take = min(4 * self.k, open_.shape[1])
-            ranked = np.where(open_, estimate, -np.inf)
-            top = np.argpartition(-ranked, take - 1, axis=1)[:, :take]
-            q = np.repeat(np.arange(len(self.ids)), take)
-            c = top.ravel()
-            real = open_[q, c]
-            q, c = q[real], c[real]
-            score = (self.exact[q] * x[c]).sum(1)
-            own[q, c] = True
-            for begin in np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])):
-                end = np.searchsorted(q, q[begin], side="right")
-                self._keep(q[begin], score[begin:end], ids[c[begin:end]])
+        estimate[self.ids[:, None] == ids[None, :]] = -np.inf
+        # The best estimates first: they raise the bar for the rest.
+        take = min(2 * self.k, len(ids))
+        top = np.argpartition(-estimate, take - 1, axis=1)[:, :take]
+        self._compare(np.repeat(np.arange(len(self.ids)), take), top.ravel(), estimate, error, ids, x)
+        np.put_along_axis(estimate, top, -np.inf, axis=1)
+        q, c = np.nonzero(estimate + error >= self.least[:, None] - 1e-12)
+        for begin in range(0, len(q), 1 << 17):
+            some = slice(begin, begin + (1 << 17))
+            self._compare(q[some], c[some], estimate, error, ids, x)
+
+    def _compare(
+        self, q: np.ndarray, c: np.ndarray, estimate: np.ndarray, error: np.ndarray, ids: np.ndarray, x: np.ndarray
+    ) -> None:
+        """Exact cosines of pairs of query and vector, in order of queries, that the bound leaves."""
+        near = estimate[q, c] + error[q, c] >= self.least[q] - 1e-12
+        q, c = q[near], c[near]
+        score = np.einsum("ij,ij->i", self.exact[q], x[c])
+        near = score >= self.least[q]
+        q, c, score = q[near], c[near], score[near]
+        begins = np.flatnonzero(np.diff(q, prepend=-1))
+        for a, b in zip(begins, [*begins[1:], len(q)]):
+            self._keep(q[a], score[a:b], ids[c[a:b]])
 
     def _keep(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         near = sorted({*self.best[q], *zip((-score).tolist(), ids.tolist())})[: self.k]
