@@ -6,7 +6,6 @@ from itertools import combinations
 
 from orderflow.checks import queries as q
 from orderflow.functions.text import WHITESPACE
-from orderflow.operators.profile import CORRELATED
 from orderflow.plans import gold
 
 
@@ -16,12 +15,21 @@ def rnd(x: str, scale: int) -> str:
     return f"(round_even(CAST({x} AS DOUBLE) * {f}, 0) / {f})"
 
 
+def added(x: str) -> str:
+    """The sum of doubles to a trillionth: whole parts, millionths and trillionths apart."""
+    above = f"(({x} - floor({x})) * 1000000.0::DOUBLE)"
+    micros = f"CAST(round_even({above}, 0) AS BIGINT)"
+    picos = f"CAST(round_even(({above} - round_even({above}, 0)) * 1000000.0::DOUBLE, 0) AS BIGINT)"
+    whole = f"CAST(SUM(CAST(floor({x}) AS HUGEINT)) AS DOUBLE)"
+    return f"({whole} + CAST(SUM({micros}) * 1000000 + SUM({picos}) AS DOUBLE) / 1000000000000.0::DOUBLE)"
+
+
 def total(x: str, scale: int = 2) -> str:
-    return rnd(f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(18,6))) AS DOUBLE), 0.0)", scale)
+    return rnd(f"COALESCE({added(x)}, 0.0)", scale)
 
 
 def mean(x: str, scale: int) -> str:
-    return rnd(f"CAST(SUM(CAST({x} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({x})", scale)
+    return rnd(f"{added(x)} / COUNT({x})", scale)
 
 
 SALES = """sales_lines AS (
@@ -193,9 +201,9 @@ def _quality() -> str:
         if r.allowed:
             allowed = ", ".join(f"'{v}'" for v in r.allowed)
             rogue.append(
-                f"(SELECT CASE WHEN COUNT(*) > 0 THEN concat('{r.name}: unexpected values [''', "
-                f"string_agg(v, ''', ''' ORDER BY v), ''']') END FROM (SELECT DISTINCT {r.name} AS v "
-                f"FROM doubtful WHERE {r.name} IS NOT NULL AND {r.name} NOT IN ({allowed})))"
+                f"(SELECT CASE WHEN COUNT(*) > 0 THEN concat('{r.name}: ', COUNT(DISTINCT {r.name}), "
+                f"' unexpected values in ', COUNT(*), ' rows') END "
+                f"FROM doubtful WHERE {r.name} IS NOT NULL AND {r.name} NOT IN ({allowed}))"
             )
 
     def check(number: int, name: str, texts: list[str], source: str) -> str:
@@ -277,6 +285,11 @@ _NUMBERS = {
     "discount_amount": "double", "revenue_per_unit": "double", "profit_per_unit": "double",
     "order_date": "date", "ship_date": "date",
 }
+# As the columns stand in the fact.
+_ORDERED_NUMBERS = (
+    "order_id order_date ship_date customer_id product_id sales quantity discount profit order_year order_month "
+    "order_quarter order_day_of_week shipping_days profit_margin_pct discount_amount revenue_per_unit profit_per_unit"
+).split()
 _TEXTS = {
     "row_id": "string", "ship_mode": "string", "customer_name": "string", "segment": "string",
     "postal_code": "string", "country": "string", "region": "string", "category": "string",
@@ -299,7 +312,7 @@ def _profile_columns() -> str:
         v = _number(name) if number else f"CAST({name} AS VARCHAR)"
         common = f"(SELECT {v} AS v, COUNT(*) AS n FROM fact WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)"
         stats = {
-            "mean": rnd(f"CAST(SUM(CAST({v} AS DECIMAL(28,6))) AS DOUBLE) / COUNT({v})", 4),
+            "mean": mean(v, 4),
             "std": rnd(f"stddev_samp({v})", 4) if kind != "date" else "NULL",
             "min": f"min({v})",
             "p25": rnd(f"quantile_cont({v}, 0.25)", 4),
@@ -325,7 +338,7 @@ def _profile_columns() -> str:
 def _profile_histogram() -> str:
     bins = f"{q.BINS}.0::DOUBLE"
     rows = []
-    for name in q.HISTOGRAM_COLUMNS:
+    for name in _NUMBERS:
         v = _number(name)
         bounds = f"(SELECT min({v}) AS low, max({v}) AS high FROM fact)"
         guess = f"least(floor((v - low) / (high - low) * {bins}), {q.BINS - 1})"
@@ -344,8 +357,9 @@ def _profile_histogram() -> str:
 
 def _profile_correlation() -> str:
     rows = [
-        f"SELECT '{a}' AS left_column, '{b}' AS right_column, {rnd(f'corr({a}, {b})', 4)} AS correlation FROM fact"
-        for a, b in combinations(CORRELATED, 2)
+        f"SELECT '{a}' AS left_column, '{b}' AS right_column, "
+        f"{rnd(f'corr({_number(a)}, {_number(b)})', 4)} AS correlation FROM fact"
+        for a, b in combinations(_ORDERED_NUMBERS, 2)
     ]
     return on_fact(" UNION ALL ".join(rows))
 
@@ -369,7 +383,7 @@ ORACLE = {
     "top_products": over(
         gold.PRODUCT,
         "SELECT product_id, product_name, category, sub_category, total_sales, total_profit, total_orders, "
-        "avg_profit_margin FROM g ORDER BY total_sales DESC, product_id LIMIT 25",
+        "avg_profit_margin FROM g ORDER BY total_sales DESC, product_id, product_name, category, sub_category LIMIT 25",
     ),
     "segments": over(gold.SEGMENT, "SELECT * FROM g"),
     "regional_performance": over(
@@ -418,18 +432,18 @@ ORACLE = {
     "top_products_rounded": over(
         gold.PRODUCT,
         f"SELECT product_name AS product, category, sub_category, {_MONEY0}, total_units "
-        "FROM (SELECT * FROM g ORDER BY g.total_sales DESC, product_id LIMIT 10)",
+        "FROM (SELECT * FROM g ORDER BY g.total_sales DESC, product_id, product_name, category, sub_category LIMIT 10)",
     ),
     "bottom_products": over(
         gold.PRODUCT,
         f"SELECT product_name AS product, sub_category, {_MONEY0}, "
         f"{rnd('avg_discount * 100.0::DOUBLE', 1)} AS avg_discount_pct "
-        "FROM (SELECT * FROM g ORDER BY g.total_profit, product_id LIMIT 10)",
+        "FROM (SELECT * FROM g ORDER BY g.total_profit, product_id, product_name, category, sub_category LIMIT 10)",
     ),
     "loss_products": over(
         gold.PRODUCT,
         "SELECT product_name, total_profit FROM g WHERE total_profit < 0 "
-        "ORDER BY total_profit, product_id LIMIT 10",
+        "ORDER BY total_profit, product_id, product_name, category, sub_category LIMIT 10",
     ),
     "region_rollup_fact": on_fact(
         f"SELECT region, {total('sales', 0)} AS total_sales FROM fact GROUP BY region"

@@ -30,7 +30,6 @@ STRICT_SCHEMA = STAR_SCHEMA.with_rules(
     quantity={"max_value": 45},
 )
 
-HISTOGRAM_COLUMNS = ["sales", "profit", "discount", "quantity", "shipping_days", "profit_margin_pct"]
 
 
 def fact(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +237,7 @@ def profile_columns(spark, folder):
 
 
 def profile_histogram(spark, folder):
-    return profile.profile_histogram(fact(spark, folder), BINS, HISTOGRAM_COLUMNS)
+    return profile.profile_histogram(fact(spark, folder), BINS)
 
 
 def profile_correlation(spark, folder):

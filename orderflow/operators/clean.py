@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderflow.functions import strip, title_case, zip5
-from orderflow.functions.numeric import drop_nan
+from orderflow.functions.numeric import finite
 from orderflow.operators.dedup import drop_full_duplicates
 from orderflow.schema import DEFAULT_SCHEMA, TITLE_CASED, SourceSchema
 
@@ -45,10 +45,15 @@ def parse_dates(
 
 
 def _whole_number(c: Column) -> Column:
-    """Text to bigint, also where it is spelled as a float ("2.0"); NULL for anything else."""
+    """Text to bigint, also where it is spelled as a float ("2.0", "2e3"); else NULL.
+
+    Digits followed by a point and zeros are read as text, so no digit of a long id is lost.
+    Only the form with an exponent goes over a double, as far as doubles are whole numbers.
+    """
+    digits = F.regexp_extract(c, r"^\s*([-+]?[0-9]+)\.0*\s*$", 1)
     number = c.try_cast("double")
-    whole = (number == F.rint(number)) & (F.abs(number) < 2.0**53)
-    return F.coalesce(c.try_cast("bigint"), F.when(whole, number).cast("bigint"))
+    whole = c.rlike("[eE]") & (number == F.rint(number)) & (F.abs(number) < 2.0**53)
+    return F.coalesce(c.try_cast("bigint"), digits.try_cast("bigint"), F.when(whole, number).cast("bigint"))
 
 
 def cast_numerics(df: DataFrame, schema: SourceSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -57,7 +62,7 @@ def cast_numerics(df: DataFrame, schema: SourceSchema = DEFAULT_SCHEMA) -> DataF
     for rule in (r for r in schema.rules if r.name in df.columns):
         c = F.col(rule.name)
         if isinstance(rule.raw_type, T.DoubleType):
-            typed[rule.name] = drop_nan(c.try_cast("double"))
+            typed[rule.name] = finite(c.try_cast("double"))
         elif isinstance(rule.raw_type, T.LongType):
             text = isinstance(df.schema[rule.name].dataType, T.StringType)
             typed[rule.name] = _whole_number(c) if text else c.try_cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import exact_mean, round_half_even
+from orderflow.functions.numeric import finite
 
 MEASURES = ("sales", "profit", "discount")
 DISTINCT = {
@@ -26,7 +27,7 @@ def drift_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     columns = set(df.columns)
     stats = {"row_count": F.count(F.lit(1)), "column_count": F.lit(len(df.columns))}
     for name in (m for m in MEASURES if m in columns):
-        c = F.col(name)
+        c = finite(F.col(name))
         stats[f"{name}_mean"] = round_half_even(exact_mean(c), 4)
         stats[f"{name}_std"] = round_half_even(F.stddev_samp(c), 4)
         # Zero rows have no null rate, as they have no mean.

@@ -74,10 +74,14 @@ def append_by_name(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def incremental_fact(fact: DataFrame | None, batch: DataFrame, key: str = "row_id") -> DataFrame:
-    """The fact after loading ``batch``; without a fact the batch is the fact."""
+    """The fact after loading ``batch``; without a fact the batch is the fact.
+
+    The batch's keys are measured first: while they are small the fact is never shuffled.
+    """
     if fact is None:
         return batch
-    return append_by_name(fact, new_rows(batch, fact, key))
+    small = fits_broadcast(batch, key)
+    return append_by_name(fact, new_rows(batch, fact, key, broadcast_keys=small))
 
 
 def watermark_candidate(batch: DataFrame, column: str = "order_date") -> DataFrame:

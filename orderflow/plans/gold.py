@@ -14,25 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import round_half_even
-from orderflow.functions.numeric import drop_nan, from_parts, millionths, whole_part
+from orderflow.functions.numeric import finite, from_parts, millionths, trillionths, whole_part
 
-# Additive parts of an order line: an exact value in two integers, and how many values.
+# Additive parts of an order line: an exact value in three integers, and how many values.
 _SUMMED = {
     "sales": "sales",
     "profit": "profit",
     "discount": "discount",
     "margin": "profit_margin_pct",
 }
-PARTS = [f"{p}_{kind}" for p in _SUMMED for kind in ("whole", "micros", "n")] + ["units", "row_n"]
+PARTS = [f"{p}_{kind}" for p in _SUMMED for kind in ("whole", "micros", "picos", "n")] + ["units", "row_n"]
 
 
 def line_parts(fact: DataFrame, key: str = "row_id") -> DataFrame:
     """The additive parts of each order line next to the grouping columns."""
     parts: dict[str, Column] = {}
     for part, column in _SUMMED.items():
-        c = drop_nan(F.col(column))
+        c = finite(F.col(column))
         parts[f"{part}_whole"] = whole_part(c)
         parts[f"{part}_micros"] = millionths(c)
+        parts[f"{part}_picos"] = trillionths(c)
         parts[f"{part}_n"] = c.isNotNull().cast("bigint")
     parts["units"] = F.col("quantity")
     parts["row_n"] = F.col(key).isNotNull().cast("bigint")
@@ -45,7 +46,7 @@ def roll_up(parts: DataFrame, grain: list[str]) -> DataFrame:
 
 
 def _sum(part: str) -> Column:
-    return from_parts(F.sum(f"{part}_whole"), F.sum(f"{part}_micros"))
+    return from_parts(*(F.sum(f"{part}_{kind}") for kind in ("whole", "micros", "picos")))
 
 
 def _total(part: str) -> Column:

@@ -213,7 +213,8 @@ def compare(lake: Lake, fact: DataFrame, config: Config, run_id: str) -> dict:
 def write_profile(lake: Lake, fact: DataFrame, config: Config, stage: Stage) -> list[str] | None:
     """Profile tables under ``profile/``.  A failure here is logged and never stops a run."""
     try:
-        counts = profile.stage_counts(fact, stage)
+        # Sketches need no staged value counts, and bins can be counted without them.
+        counts = None if config.approximate else profile.stage_counts(fact, stage)
         tables = {
             "columns": profile.profile_columns(fact, stage, config.approximate, counts),
             "histogram": profile.profile_histogram(fact, counts=counts),

@@ -9,6 +9,8 @@ from orderflow.functions import exact_sum, round_half_even
 from orderflow.operators.rows import sample_rows
 
 MONTHS = tuple("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())
+# All keys of the product table: equal totals are put in an order that no partitioning changes.
+PRODUCT_KEYS = ("product_id", "product_name", "category", "sub_category")
 YEAR_BOUNDS = (2014, 2017)
 LIMIT_BOUNDS = (1, 100)
 
@@ -53,7 +55,7 @@ def top_products(
             "total_orders",
             "avg_profit_margin",
         )
-        .orderBy(F.desc("total_sales"), "product_id", "product_name", "category", "sub_category")
+        .orderBy(F.desc("total_sales"), *PRODUCT_KEYS)
         .limit(_within("limit", limit, bounds))
     )
 
@@ -177,7 +179,7 @@ def seasonality(gold: DataFrame) -> DataFrame:
 
 def top_products_rounded(gold: DataFrame, limit: int = 10) -> DataFrame:
     return (
-        gold.orderBy(F.desc("total_sales"), "product_id")
+        gold.orderBy(F.desc("total_sales"), *PRODUCT_KEYS)
         .limit(limit)
         .select(
             F.col("product_name").alias("product"),
@@ -193,7 +195,7 @@ def top_products_rounded(gold: DataFrame, limit: int = 10) -> DataFrame:
 def bottom_products(gold: DataFrame, limit: int = 10) -> DataFrame:
     """Products with the smallest profit."""
     return (
-        gold.orderBy("total_profit", "product_id")
+        gold.orderBy("total_profit", *PRODUCT_KEYS)
         .limit(limit)
         .select(
             F.col("product_name").alias("product"),
@@ -209,7 +211,7 @@ def loss_products(gold: DataFrame, limit: int = 10) -> DataFrame:
     """The worst products among those with a loss."""
     return (
         gold.filter(F.col("total_profit") < 0)
-        .orderBy("total_profit", "product_id")
+        .orderBy("total_profit", *PRODUCT_KEYS)
         .limit(limit)
         .select("product_name", "total_profit")
     )
