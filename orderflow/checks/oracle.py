@@ -90,6 +90,24 @@ fact AS (
               ELSE 'Unknown' END AS shipping_speed
   FROM featured)"""
 
+_SALE = "l_extendedprice * (1.0::DOUBLE - l_discount)"
+_PROFIT = f"{_SALE}\n           - 1.5::DOUBLE * p_retailprice * l_quantity AS profit"
+DEAR_FACT = FACT.replace(
+    _PROFIT, f"({_PROFIT.removesuffix(' AS profit')}) - {q.EXTRA_COST}::DOUBLE * ({_SALE}) AS profit"
+)
+HOLED_FACT = FACT.replace("FROM sales_lines)", "FROM holed)").replace(
+    "featured AS (",
+    """holed AS (
+  SELECT * REPLACE (
+    CASE WHEN ship_mode = '1-URGENT' THEN 0.0::DOUBLE ELSE sales END AS sales,
+    CASE WHEN ship_mode = '2-HIGH' THEN 0 WHEN ship_mode <> '3-MEDIUM' THEN quantity END AS quantity,
+    CASE WHEN ship_mode <> '5-LOW' THEN profit END AS profit,
+    CASE WHEN ship_mode <> '4-NOT SPECIFIED' THEN ship_date END AS ship_date)
+  FROM sales_lines),
+featured AS (""",
+    1,
+)
+
 MEASURES = {
     "total_sales": total("sales"),
     "total_profit": total("profit"),
@@ -109,9 +127,9 @@ def gold_select(table: gold.GoldTable, source: str = "fact") -> str:
     return f"SELECT {keys}, {measures} FROM {source} GROUP BY {keys}"
 
 
-def over(table: gold.GoldTable, select: str) -> str:
+def over(table: gold.GoldTable, select: str, source: str = FACT) -> str:
     """A report on an aggregate table, named g."""
-    return f"WITH {FACT}, g AS ({gold_select(table)}) {select}"
+    return f"WITH {source}, g AS ({gold_select(table)}) {select}"
 
 
 def on_fact(select: str) -> str:
@@ -181,8 +199,17 @@ doubtful AS (
   SELECT * FROM sales_lines UNION ALL SELECT * FROM sales_lines WHERE ship_mode = '1-URGENT')"""
 
 
-def _quality() -> str:
-    rules = q.STRICT_SCHEMA.rules
+HOLED = f"""{SALES},
+doubtful AS (
+  SELECT * EXCLUDE (country) REPLACE (
+    CASE WHEN ship_mode <> '1-URGENT' THEN order_id END AS order_id,
+    CASE WHEN ship_mode NOT IN ('1-URGENT', '2-HIGH') THEN sales END AS sales)
+  FROM sales_lines)"""
+
+
+def _quality(source: str = DOUBTFUL, missing: str = "") -> str:
+    """The report on the relation doubtful, in which one declared column may be missing."""
+    rules = [r for r in q.STRICT_SCHEMA.rules if r.name != missing]
     nulls, ranges, rogue = [], [], []
     for r in rules:
         if not r.nullable:
@@ -222,9 +249,10 @@ def _quality() -> str:
     surplus = "SELECT CAST(SUM(n - 1) AS BIGINT) AS n FROM (SELECT COUNT(*) AS n FROM doubtful GROUP BY ALL)"
     columns = ", ".join(r.name for r in rules)
     surplus = surplus.replace("SELECT COUNT(*) AS n FROM", f"SELECT {columns}, COUNT(*) AS n FROM")
-    return f"""WITH {DOUBTFUL}
-      SELECT 1 AS check_no, 'schema_columns' AS check_name, TRUE AS passed,
-             CAST(0 AS BIGINT) AS failures, '' AS details
+    told = f"missing columns: [''{missing}'']" if missing else ""
+    return f"""WITH {source}
+      SELECT 1 AS check_no, 'schema_columns' AS check_name, {not missing} AS passed,
+             CAST({int(bool(missing))} AS BIGINT) AS failures, '{told}' AS details
       UNION ALL {check(2, "null_check", counted(nulls), "FROM doubtful")}
       UNION ALL {check(3, "value_ranges", counted(ranges), "FROM doubtful")}
       UNION ALL {check(4, "allowed_values", rogue, "")}
@@ -398,7 +426,8 @@ ORACLE = {
     ),
     "loss_subcategories": over(
         gold.CATEGORY,
-        f"SELECT category, sub_category, {_MONEY0}, {rnd('avg_discount * 100.0::DOUBLE', 1)} AS avg_discount_pct "
+        source=DEAR_FACT,
+        select=f"SELECT category, sub_category, {_MONEY0}, {rnd('avg_discount * 100.0::DOUBLE', 1)} AS avg_discount_pct "
         "FROM g WHERE g.total_profit < 0",
     ),
     "most_profitable_subcategories": over(
@@ -455,7 +484,7 @@ ORACLE = {
     "adhoc_sql": on_fact(
         "SELECT f.region, f.profit_tier, COUNT(*) AS line_count, MAX(g.total_orders) AS region_orders "
         "FROM fact f JOIN (SELECT region, COUNT(DISTINCT order_id) AS total_orders FROM fact GROUP BY region) g "
-        "ON f.region = g.region WHERE f.sub_category <> 'Brand#1' GROUP BY f.region, f.profit_tier"
+        "ON f.region = g.region GROUP BY f.region, f.profit_tier"
     ),
     "clean_strip_title": on_sales(
         "SELECT row_id, " + ", ".join(f"{x} AS {c}" for c, x in CLEANED.items()) + " FROM sales_lines"
@@ -493,6 +522,47 @@ ORACLE = {
     "anti_join_new_rows": f"WITH {INCREMENTED} SELECT row_id, order_id, order_date, sales FROM fresh",
     "incremental_fact": f"WITH {INCREMENTED} SELECT row_id, order_date, sales, profit_tier FROM loaded",
     "gold_after_increment": f"WITH {INCREMENTED} {gold_select(gold.MONTH, 'loaded')}",
+    **{
+        f"{t.name}_after_increment": f"WITH {INCREMENTED} {gold_select(t, 'loaded')}"
+        for t in gold.GOLD
+        if t is not gold.MONTH
+    },
+    "recovered_fact": on_sales("SELECT row_id, order_date, quantity, sales FROM sales_lines"),
+    "second_run_fact": on_sales("SELECT row_id, order_date, quantity, sales FROM sales_lines"),
+    "run_reports": on_sales(
+        """SELECT * FROM (VALUES (1, 'success'), (2, 'success'), (3, 'success'), (4, 'failed')) AS r(run, overall_status),
+        (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE order_date >= (SELECT MAX(order_date) FROM sales_lines)
+         - INTERVAL 3 DAY) AS recent FROM sales_lines)"""
+    ).replace(
+        "SELECT * FROM (VALUES",
+        "SELECT CAST(run AS BIGINT) AS run, overall_status, CASE WHEN run = 2 THEN recent ELSE n END AS extracted, "
+        "CASE run WHEN 2 THEN recent WHEN 4 THEN NULL ELSE n END AS cleaned, "
+        "CASE run WHEN 2 THEN 0 WHEN 4 THEN NULL ELSE n END AS inserted, "
+        "CASE WHEN run < 4 THEN n END AS loaded, TRUE AS extract_timed, FALSE AS profiled FROM (VALUES",
+    ),
+    "guarded_features": f"WITH {HOLED_FACT} SELECT row_id, profit_margin_pct, discount_amount, revenue_per_unit, "
+    "profit_per_unit, is_profitable, profit_tier, shipping_days, shipping_speed FROM fact",
+    "tiny_sums": on_sales(
+        "SELECT region, "
+        f"{rnd('SUM(discount * 4e-7::DOUBLE) * 1e6::DOUBLE', 3)} AS total, "
+        f"{rnd('AVG(discount * 4e-7::DOUBLE) * 1e6::DOUBLE', 3)} AS mean FROM sales_lines GROUP BY region"
+    ),
+    "quality_holes": _quality(HOLED, missing="country"),
+    "gate_outcome": f"SELECT 'holes' AS stage, bool_and(passed) AS passed, COUNT(*) AS total, "
+    f"COUNT(*) FILTER (WHERE NOT passed) AS failed, TRUE AS stopped FROM ({_quality(HOLED, missing='country')}) "
+    "WHERE check_no < 6 UNION ALL SELECT 'clean', TRUE, 5, 0, FALSE",
+    "raised_conditions": "SELECT * FROM (VALUES ('missing file', 'SourceNotFound'), ('missing columns', 'MissingColumns'), "
+    "('year out of bounds', 'ValueError'), ('limit out of bounds', 'ValueError'), ('table not loaded', 'TableNotFound'), "
+    "('whole file', 'none')) AS r(condition, raised)",
+    "unexpected_brands": on_sales(
+        "SELECT 'sub_category' AS column_name, sub_category AS value, COUNT(*) AS rows FROM sales_lines "
+        "WHERE sub_category NOT IN ('Brand#1', 'Brand#2') GROUP BY sub_category"
+    ),
+    "mixed_header_csv": on_sales(
+        "SELECT row_id, strftime(order_date, '%-m/%-d/%Y') AS order_date, concat('  ', region, ' ') AS region, "
+        f"product_name, sales, quantity, CASE WHEN order_date >= DATE '{q.WATERMARK}' THEN row_id END AS Note "
+        "FROM sales_lines"
+    ),
     "append_by_name": "SELECT o_orderkey, o_custkey, o_orderstatus, "
     f"CASE WHEN o_orderdate < DATE '{q.WATERMARK}' THEN o_totalprice END AS o_totalprice, "
     "CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions import exact_sum, round_half_even
+from orderflow.functions import exact_mean, exact_sum, round_half_even
 from orderflow.operators import clean, dedup, drift, features, incremental, profile, quality, rows
 from orderflow.plans import gold, run, serve
 from orderflow.session import Stage
@@ -20,6 +23,7 @@ DRIFT_CUT = "2001-01-01"
 YEAR = 2000
 YEARS = (1995, 2001)
 BINS = 10
+EXTRA_COST = 0.28
 
 # Value rules with one region left out and a low quantity bound, so that checks fail.
 STRICT_SCHEMA = STAR_SCHEMA.with_rules(
@@ -32,15 +36,26 @@ STRICT_SCHEMA = STAR_SCHEMA.with_rules(
 
 
 
+# Nothing in the tables breaks these.
+DEFAULT_RANGES = STAR_SCHEMA.with_rules(**{c: {"allowed": None} for c in ("ship_mode", "segment", "region", "category")})
+LENIENT = run.Config(schema=STAR_SCHEMA, fail_on_quality_error=False, make_profile=False)
+
+
 def fact(spark: SparkSession, folder: str) -> DataFrame:
     return features.engineer(conformed_sales(spark, folder))
 
 
-def _gold(table: gold.GoldTable, report=None, *args, **kwargs):
+def dear_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact with so much higher costs that some sub-categories lose and some do not."""
+    sales = conformed_sales(spark, folder)
+    return features.engineer(sales.withColumn("profit", F.col("profit") - F.lit(EXTRA_COST) * F.col("sales")))
+
+
+def _gold(table: gold.GoldTable, report=None, *args, source=fact, **kwargs):
     """A query for an aggregate table, or for a report over it."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        df = gold.build(table, fact(spark, folder))
+        df = gold.build(table, source(spark, folder))
         return report(df, *args, **kwargs) if report else df
 
     return query
@@ -137,6 +152,32 @@ def categorical_features(spark, folder):
     return fact(spark, folder).select("row_id", "profit_tier", "shipping_speed")
 
 
+def guarded_features(spark, folder):
+    """Derived columns of lines without sales, quantity, profit or ship date."""
+    sales = conformed_sales(spark, folder)
+    mode = F.col("ship_mode")
+    holed = sales.withColumns(
+        {
+            "sales": F.when(mode == "1-URGENT", 0.0).otherwise(F.col("sales")),
+            "quantity": F.when(mode == "2-HIGH", 0).when(mode != "3-MEDIUM", F.col("quantity")).cast("bigint"),
+            "profit": F.when(mode != "5-LOW", F.col("profit")),
+            "ship_date": F.when(mode != "4-NOT SPECIFIED", F.col("ship_date")),
+        }
+    )
+    return features.engineer(holed).select(
+        "row_id", "profit_margin_pct", "discount_amount", "revenue_per_unit", "profit_per_unit",
+        "is_profitable", "profit_tier", "shipping_days", "shipping_speed",
+    )
+
+
+def tiny_sums(spark, folder):
+    """Sums and means of values far below a millionth."""
+    tiny = F.col("discount") * F.lit(4e-7)
+    sales = conformed_sales(spark, folder).withColumn("tiny", tiny)
+    scaled = {"total": exact_sum(F.col("tiny")), "mean": exact_mean(F.col("tiny"))}
+    return sales.groupBy("region").agg(*[round_half_even(c * 1e6, 3).alias(n) for n, c in scaled.items()])
+
+
 def tier_counts(spark, folder):
     return fact(spark, folder).groupBy("profit_tier").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -173,8 +214,65 @@ def incremental_fact(spark, folder):
     return incremental.incremental_fact(old, batch).select("row_id", "order_date", "sales", "profit_tier")
 
 
-def gold_after_increment(spark, folder):
-    return gold.build(gold.MONTH, incremental.incremental_fact(*_fact_and_batch(spark, folder)))
+def _after_increment(table: gold.GoldTable):
+    """An aggregate table of the fact that a later batch was loaded into."""
+
+    def query(spark, folder):
+        return gold.build(table, incremental.incremental_fact(*_fact_and_batch(spark, folder)))
+
+    return query
+
+
+def _loaded(spark, folder, config: run.Config) -> Lake:
+    """A lake after a run over the lines as CSV."""
+    lake = Lake(spark, Stage(spark).path("lake"))
+    run.run(spark, _as_csv(spark, folder), lake.root, config)
+    return lake
+
+
+def recovered_fact(spark, folder):
+    """A mark is there and the fact is not, as after a lost table: the run loads everything."""
+    lake = Lake(spark, Stage(spark).path("lake"))
+    run.write_watermark(lake, date.fromisoformat(WATERMARK), "lost")
+    run.run(spark, _as_csv(spark, folder), lake.root, LENIENT)
+    return lake.read(FACT).select("row_id", "order_date", "quantity", "sales")
+
+
+def second_run_fact(spark, folder):
+    """The fact after a first load, a batch that overlaps it, and the same batch again."""
+    lake = Lake(spark, Stage(spark).path("lake"))
+    path = _as_csv(spark, folder, FACT_END)
+    run.run(spark, path, lake.root, LENIENT)
+    later = bronze.since_watermark(conformed_raw(spark, folder), WATERMARK, 0, "M/d/yyyy")
+    bronze.write_csv(later, path, STAR_SCHEMA)
+    for _ in range(2):
+        run.run(spark, path, lake.root, LENIENT)
+    return lake.read(FACT).select("row_id", "order_date", "quantity", "sales")
+
+
+def run_reports(spark, folder):
+    """What four runs report: a first load, a repeat, a full refresh, and one the gate stops."""
+    lake = Lake(spark, Stage(spark).path("lake"))
+    path = _as_csv(spark, folder)
+    for full in (False, False, True):
+        run.run(spark, path, lake.root, LENIENT, full_refresh=full)
+    strict = replace(LENIENT, schema=STAR_SCHEMA.with_rules(quantity={"max_value": 45}), fail_on_quality_error=True)
+    try:
+        run.run(spark, path, lake.root, strict, full_refresh=True)
+    except quality.QualityGateError:
+        pass
+    text = F.col("report")
+    number = lambda p: F.get_json_object(text, p).cast("bigint")
+    return lake.read("runs").select(
+        F.row_number().over(Window.orderBy("run_timestamp")).cast("bigint").alias("run"),
+        "overall_status",
+        number("$.stages.extract.row_count").alias("extracted"),
+        number("$.stages.clean.rows_output").alias("cleaned"),
+        number("$.stages.load.new_rows_inserted").alias("inserted"),
+        number("$.stages.load.rows_loaded").alias("loaded"),
+        F.get_json_object(text, "$.seconds.extract").isNotNull().alias("extract_timed"),
+        F.get_json_object(text, "$.stages.profile").isNotNull().alias("profiled"),
+    )
 
 
 def append_by_name(spark, folder):
@@ -217,6 +315,71 @@ def quality_summary(spark, folder):
     return quality.summarise(quality_report(spark, folder))
 
 
+def _holed_sales(spark, folder):
+    """Lines with missing values in columns that need one, and without a declared column."""
+    sales = conformed_sales(spark, folder)
+    urgent, high = F.col("ship_mode") == "1-URGENT", F.col("ship_mode") == "2-HIGH"
+    return sales.withColumns(
+        {
+            "order_id": F.when(~urgent, F.col("order_id")),
+            "sales": F.when(urgent, float("nan")).when(high, float("inf")).otherwise(F.col("sales")),
+        }
+    ).drop("country")
+
+
+def quality_holes(spark, folder):
+    return quality.quality_report(_holed_sales(spark, folder), STRICT_SCHEMA, date_checks=True)
+
+
+def gate_outcome(spark, folder):
+    """What the gate returns for two reports, and whether it stops where it has to."""
+    rows = []
+    for name, df, schema in (
+        ("holes", _holed_sales(spark, folder), STRICT_SCHEMA),
+        ("clean", conformed_sales(spark, folder), DEFAULT_RANGES),
+    ):
+        report = Stage(spark).put("report", quality.quality_report(df, schema))
+        outcome = quality.gate(report, name, fail_on_error=False)
+        try:
+            quality.gate(report, name)
+            stopped = False
+        except quality.QualityGateError:
+            stopped = True
+        rows.append((name, outcome["passed"], outcome["total_checks"], outcome["failed_checks"], stopped))
+    return spark.createDataFrame(rows, "stage string, passed boolean, total long, failed long, stopped boolean")
+
+
+def raised_conditions(spark, folder):
+    """Conditions that must raise, each on files or frames of the tables."""
+    sales, path = conformed_raw(spark, folder), _as_csv(spark, folder)
+    short = Stage(spark).path("short")
+    sales.select("row_id", "sales").write.option("header", True).csv(short)
+    trends, products = (gold.build(t, fact(spark, folder)) for t in (gold.MONTH, gold.PRODUCT))
+    attempts = {
+        "missing file": lambda: bronze.read_bronze(spark, path + "-none", STAR_SCHEMA),
+        "missing columns": lambda: bronze.read_bronze(spark, short, STAR_SCHEMA),
+        "year out of bounds": lambda: serve.monthly(trends, YEAR, (2014, 2017)),
+        "limit out of bounds": lambda: serve.top_products(products, 0),
+        "table not loaded": lambda: Lake(spark, Stage(spark).root).read(FACT),
+        "whole file": lambda: bronze.read_bronze(spark, path, STAR_SCHEMA),
+    }
+    rows = []
+    for name, attempt in attempts.items():
+        try:
+            attempt()
+            rows.append((name, "none"))
+        except (LookupError, ValueError, FileNotFoundError) as err:
+            rows.append((name, type(err).__name__))
+    return spark.createDataFrame(rows, "condition string, raised string")
+
+
+def unexpected_brands(spark, folder):
+    """More unexpected values than anybody would list."""
+    schema = STAR_SCHEMA.with_rules(sub_category={"allowed": ("Brand#1", "Brand#2")}, category={"allowed": None})
+    rules = [r for r in schema.rules if r.name == "sub_category"]
+    return quality.rogue_values(conformed_sales(spark, folder), rules).drop("position")
+
+
 def rogue_values(spark, folder):
     found = quality.rogue_values(conformed_sales(spark, folder), list(STRICT_SCHEMA.rules))
     return found.drop("position")
@@ -271,7 +434,6 @@ def adhoc_sql(spark, folder):
         SELECT f.Region AS region, f.profit_tier, count(*) AS line_count,
                max(g.total_orders) AS region_orders
         FROM fact_sales f JOIN agg_sales_by_region g ON f.Region = g.Region
-        WHERE f.`Sub-Category` <> 'Brand#1'
         GROUP BY f.Region, f.profit_tier
         """
     )
@@ -280,12 +442,29 @@ def adhoc_sql(spark, folder):
 # --- sources, export, run ----------------------------------------------------------------
 
 
-def _as_csv(spark, folder) -> str:
-    path = Stage(spark).path("csv")
-    bronze.write_csv(conformed_raw(spark, folder), path, STAR_SCHEMA)
+def _as_csv(spark, folder, before: str | None = None) -> str:
+    """The lines as CSV, up to a day if given."""
+    path, raw = Stage(spark).path("csv"), conformed_raw(spark, folder)
+    if before:
+        raw = raw.filter(F.to_date("order_date", "M/d/yyyy") < before)
+    bronze.write_csv(raw, path, STAR_SCHEMA)
     return path
 
 
+def mixed_header_csv(spark, folder):
+    """A folder of files with other column orders, one of them with a column more."""
+    raw, path = conformed_raw(spark, folder), Stage(spark).path("csv")
+    early = F.to_date("order_date", "M/d/yyyy") < WATERMARK
+    bronze.write_csv(raw.filter(early), path, STAR_SCHEMA)
+    turned = raw.filter(~early).select(*[F.col(r.name).alias(r.header) for r in reversed(STAR_SCHEMA.rules)])
+    noted = turned.withColumn("Note", F.col("Row ID"))
+    noted.write.mode("append").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df = bronze.read_bronze(spark, path, STAR_SCHEMA)
+    return df.select("row_id", "order_date", "region", "product_name", "sales", "quantity", "Note")
+
+
 def csv_extract(spark, folder):
     """Lines written to CSV under header names and read back through all gates."""
     batch = bronze.extract(spark, _as_csv(spark, folder), WATERMARK, 3, STAR_SCHEMA)
@@ -301,20 +480,26 @@ def extract_counts(spark, folder):
     return spark.range(1).select(*[F.lit(meta[c]).cast("bigint").alias(c) for c in counts])
 
 
-def export_parity(spark, folder):
-    sales = fact(spark, folder)
-    frames = {FACT: sales, **gold.all_tables(sales)}
-    target = Stage(spark).path("export")
+def _exported(spark, folder) -> tuple[dict[str, DataFrame], str]:
+    """Stored tables and the folder they were exported to."""
+    stage = Stage(spark)
+    lake = Lake(spark, stage.path("lake"))
+    lake.write_fact(fact(spark, folder), "overwrite")
+    run.rebuild_gold(lake, lake.read(FACT), "row_id", stage)
+    frames, target = export.stored_tables(lake), stage.path("export")
     export.export_tables(frames, target)
+    return frames, target
+
+
+def export_parity(spark, folder):
+    frames, target = _exported(spark, folder)
     return export.row_count_parity(spark, frames, target)
 
 
 def export_layout(spark, folder):
-    """Rows and sales per month folder of the exported fact, read back from storage."""
-    sales = fact(spark, folder)
-    lake = Lake(spark, Stage(spark).root)
-    lake.write_fact(sales, "overwrite")
-    written = spark.read.parquet(lake.path(FACT))
+    """Rows and sales per month folder of the exported fact, read back from the export."""
+    _, target = _exported(spark, folder)
+    written = spark.read.parquet(f"{target}/{export.export_name(FACT)}")
     return written.groupBy(F.col("order_month_start").cast("date").alias("month_start")).agg(
         F.count(F.lit(1)).alias("rows"),
         round_half_even(exact_sum(F.col("sales")), 2).alias("total_sales"),
@@ -337,10 +522,7 @@ def next_row_ids(spark, folder):
 
 def end_to_end_regions(spark, folder):
     """CSV to aggregate tables through the whole run; its region table."""
-    root = Stage(spark).path("lake")
-    config = run.Config(schema=STAR_SCHEMA, fail_on_quality_error=False, make_profile=False)
-    run.run(spark, _as_csv(spark, folder), root, config)
-    return Lake(spark, root).read(gold.REGION.name)
+    return _loaded(spark, folder, LENIENT).read(gold.REGION.name)
 
 
 QUERIES = {
@@ -357,7 +539,7 @@ QUERIES = {
     "regional_performance": _gold(gold.REGION, serve.regional_performance),
     "regions_by_profit": _gold(gold.REGION, serve.regions_by_profit),
     "top_subcategories": _gold(gold.CATEGORY, serve.top_sub_categories),
-    "loss_subcategories": _gold(gold.CATEGORY, serve.loss_sub_categories),
+    "loss_subcategories": _gold(gold.CATEGORY, serve.loss_sub_categories, source=dear_fact),
     "most_profitable_subcategories": _gold(gold.CATEGORY, serve.most_profitable_sub_categories),
     "segment_kpis": _gold(gold.SEGMENT, serve.segment_kpis),
     "segment_margin": _gold(gold.SEGMENT, serve.segment_margin),
@@ -388,7 +570,18 @@ QUERIES = {
     "watermark_state": watermark_state,
     "anti_join_new_rows": anti_join_new_rows,
     "incremental_fact": incremental_fact,
-    "gold_after_increment": gold_after_increment,
+    "gold_after_increment": _after_increment(gold.MONTH),
+    **{f"{t.name}_after_increment": _after_increment(t) for t in gold.GOLD if t is not gold.MONTH},
+    "recovered_fact": recovered_fact,
+    "second_run_fact": second_run_fact,
+    "run_reports": run_reports,
+    "guarded_features": guarded_features,
+    "tiny_sums": tiny_sums,
+    "quality_holes": quality_holes,
+    "gate_outcome": gate_outcome,
+    "raised_conditions": raised_conditions,
+    "unexpected_brands": unexpected_brands,
+    "mixed_header_csv": mixed_header_csv,
     "append_by_name": append_by_name,
     "quality_report": quality_report,
     "quality_summary": quality_summary,

@@ -38,6 +38,7 @@ class Config:
     schema: SourceSchema = field(default=DEFAULT_SCHEMA)
     encoding: str = "latin-1"
     sep: str = ","
+    multi_line: bool = False
     date_format: str = DATE_FORMAT
     fail_on_quality_error: bool = True
     min_rows: int = 100
@@ -104,14 +105,21 @@ def write_watermark(lake: Lake, watermark: date, run_id: str) -> None:
 # --- stages ------------------------------------------------------------------------------
 
 
-def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report) -> DataFrame:
-    """Gate the staged raw batch, clean and gate it again, and add the derived columns."""
+def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report, lake: Lake) -> DataFrame:
+    """Gate the staged raw batch, clean and gate it again, and add the derived columns.
+
+    Every unexpected value of a batch goes to the table ``rogue_values`` before the gate.
+    """
     data = report.data
 
     def gate(df: DataFrame, name: str, date_checks: bool, duplicates: int) -> None:
         checks = quality.quality_report(df, config.schema, date_checks, duplicates)
         outcome = quality.gate(checks, name, fail_on_error=False)
         data["quality_checks"].append(outcome)
+        if not all(c["passed"] for c in outcome["checks"] if c["check_name"] == "allowed_values"):
+            rules = [r for r in config.schema.rules if r.name in df.columns]
+            stamp = {"run_id": F.lit(data["run_id"]), "stage": F.lit(name)}
+            lake.append("rogue_values", quality.rogue_values(df, rules).drop("position").withColumns(stamp))
         if not outcome["passed"] and config.fail_on_quality_error:
             failed = [c["check_name"] for c in outcome["checks"] if not c["passed"]]
             raise quality.QualityGateError(f"quality gate failed on {name} data: {failed}")
@@ -241,13 +249,15 @@ def run(
     """Load what is new in ``source`` into the tables under ``root`` and report on it.
 
     The order of writes makes a broken run safe to repeat: fact, aggregate tables, then
-    the high-water mark.  Rows a broken run has appended are known keys to the next one.
+    the high-water mark.  Rows a broken run has appended are known keys to the next one, a
+    replacement that broke never became the table, and a mark without a complete fact is not
+    believed: everything is read again.
     """
     run_id = uuid.uuid4().hex
-    lake, stage, report = Lake(spark, root), Stage(spark, run_id), Report(run_id)
+    lake, stage, report = Lake(spark, root), Stage(spark, run_id, root), Report(run_id)
     data = report.data
     try:
-        since = None if full_refresh else read_watermark(lake)
+        since = None if full_refresh or not lake.exists(FACT) else read_watermark(lake)
 
         def extract_batch() -> DataFrame:
             batch = extract(
@@ -259,13 +269,14 @@ def run(
                 config.date_format,
                 encoding=config.encoding,
                 sep=config.sep,
+                multi_line=config.multi_line,
             )
             staged = stage.put("raw", batch.frame)
             data["stages"]["extract"] = batch.metadata()
             return staged
 
         raw = report.timed("extract", extract_batch)
-        batch = prepare(raw, config, stage, report)
+        batch = prepare(raw, config, stage, report, lake)
         loaded = report.timed("load", lambda: load(lake, batch, config, stage, full_refresh))
         data["stages"]["load"] = loaded
 
@@ -293,11 +304,13 @@ def run(
         report.finish("failed")
         raise
     finally:
-        _keep_report(lake, data)
-        stage.clear()
+        try:
+            keep_report(lake, data)
+        finally:
+            stage.clear()
 
 
-def _keep_report(lake: Lake, data: dict) -> None:
+def keep_report(lake: Lake, data: dict) -> None:
     row = [(data["run_id"], data["run_timestamp"], data["overall_status"], json.dumps(data, default=str))]
     lake.append(
         "runs",

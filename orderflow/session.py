@@ -46,14 +46,19 @@ def build(app: str = "orderflow", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage.
+def shared_folder(spark: SparkSession, root: str | None = None) -> str:
+    """The folder for tables that cut lineage, on storage that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, a
-    laptop) one temporary folder is made for the application.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, ``root`` (a table
+    folder, shared by its nature) takes it.  Without both, only a local session may make a
+    temporary folder of its own: on a cluster every executor would write to its own disk.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else _own_folder(spark.sparkContext.applicationId)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or root
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 @cache
@@ -72,6 +77,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders inside one; none if it does not exist."""
+    target, files = _file_system(spark, path)
+    found = files.listStatus(target) if files.exists(target) else []
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def first_lines(spark: SparkSession, path: str, encoding: str) -> dict[str, str]:
+    """The first line of every data file under a file, folder or pattern, by full name.
+
+    Only the beginning of each file is read, by the driver: one line per file.
+    """
+    jvm = spark.sparkContext._jvm
+    target, files = _file_system(spark, path)
+    matched = [f.getPath() for f in files.globStatus(target) or []]
+    found: dict[str, str] = {}
+    while matched:
+        place = matched.pop()
+        if place.getName().startswith(("_", ".")) and place != target:
+            continue
+        if files.getFileStatus(place).isDirectory():
+            matched.extend(f.getPath() for f in files.listStatus(place))
+            continue
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+            spark.sparkContext._jsc.hadoopConfiguration()
+        ).getCodec(place)
+        stream = files.open(place)
+        raw = codec.createInputStream(stream) if codec else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, encoding))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is not None:
+            found[place.toString()] = line
+    return found
+
+
 def concurrently(spark: SparkSession, *jobs: Callable[[], T]) -> list[T]:
     """Run independent actions at once, so that the small ones fill idle executors."""
     inherit = inheritable_thread_target(spark)
@@ -87,9 +135,9 @@ class Stage:
     executor costs a re-read and not a recomputation, and gives Catalyst real sizes.
     """
 
-    def __init__(self, spark: SparkSession, run: str | None = None):
+    def __init__(self, spark: SparkSession, run: str | None = None, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/stage/{run or uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark, root)}/_stage/{run or uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -104,5 +152,4 @@ class Stage:
 
     def clear(self) -> None:
         """Delete this run's hand-off tables."""
-        target, files = _file_system(self.spark, self.root)
-        files.delete(target, True)
+        delete_folder(self.spark, self.root)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderflow.functions import na_to_null
 from orderflow.operators.clean import DATE_FORMAT
 from orderflow.schema import DEFAULT_SCHEMA, SourceSchema
-from orderflow.session import path_exists
+from orderflow.session import first_lines, path_exists
 
 # Encoding names as users write them and as Spark accepts them.
 _ENCODINGS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8"}
+_SURPLUS = "_surplus_fields"
+
+
+def encoding_name(encoding: str) -> str:
+    """The name Spark accepts, for the batch reader and the stream alike."""
+    return _ENCODINGS.get(encoding.lower(), encoding)
 
 
 class SourceNotFound(FileNotFoundError):
@@ -25,6 +34,11 @@ class MissingColumns(ValueError):
     """The source lacks declared columns."""
 
 
+def header_fields(line: str, sep: str) -> list[str]:
+    """The column names of a header line."""
+    return next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep))
+
+
 def read_text(
     spark: SparkSession,
     path: str,
@@ -32,24 +46,51 @@ def read_text(
     sep: str = ",",
     multi_line: bool = False,
 ) -> DataFrame:
-    """A CSV file or folder with every column as text, named by its header.
+    """A CSV file or folder with every column as text, each file bound by its own header.
 
-    ``enforceSchema`` is off so that a folder whose files order their columns differently
-    fails instead of being bound by position.  ``multi_line`` allows line breaks inside
-    quotes, but makes every file a single task; leave it off where files are large.
+    Files are grouped by their header line and each group is read by its names, so a folder
+    may hold files with other column orders or more columns; what a file lacks is NULL.  A line
+    with more fields than its header fails the next action.  ``multi_line`` allows line
+    breaks inside quotes, but makes every file a single task.
     """
+    charset = encoding_name(encoding)
+    lines = first_lines(spark, path, charset) if path_exists(spark, path) else {}
     if not path_exists(spark, path):
         raise SourceNotFound(f"source not found: {path}; put the raw CSV there or pass another path")
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", _ENCODINGS.get(encoding.lower(), encoding))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, line in sorted(lines.items()):
+        groups.setdefault(tuple(header_fields(line, sep)), []).append(name)
+    frames = [_read_group(spark, files, list(header), charset, sep, multi_line) for header, files in groups.items()]
+    if not frames:
+        return spark.createDataFrame([], T.StructType())
+    # The widest header leads, so that the common columns keep the order most files have.
+    frames.sort(key=lambda f: -len(f.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _read_group(
+    spark: SparkSession, files: list[str], header: list[str], charset: str, sep: str, multi_line: bool
+) -> DataFrame:
+    """Files of one header.  A column behind the last one shows where a line has more fields."""
+    repeated = sorted({c for c in header if header.count(c) > 1})
+    if repeated:
+        raise ValueError(f"a header names columns twice: {repeated}")
+    fields = [T.StructField(c, T.StringType()) for c in [*header, _SURPLUS]]
+    rows = (
+        spark.read.schema(T.StructType(fields))
+        .option("header", True)
+        .option("encoding", charset)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("enforceSchema", False)
+        .option("enforceSchema", True)
         .option("multiLine", multi_line)
+        .csv(files)
+    )
+    told = F.concat(F.lit("a line has more fields than its header; the first too many is: "), F.col(_SURPLUS))
+    return rows.filter(F.when(F.col(_SURPLUS).isNull(), True).otherwise(F.raise_error(told).cast("boolean"))).select(
+        *[F.col(f"`{c}`") for c in header]
     )
-    return reader.csv(path)
 
 
 def check_columns(df: DataFrame, schema: SourceSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -146,14 +187,33 @@ def extract(
 
 
 def write_csv(
-    df: DataFrame, path: str, schema: SourceSchema = DEFAULT_SCHEMA, mode: str = "append"
+    df: DataFrame,
+    path: str,
+    schema: SourceSchema = DEFAULT_SCHEMA,
+    mode: str = "append",
+    sep: str = ",",
+    encoding: str = "latin-1",
 ) -> None:
-    """Write rows under the header names of the source files, in the schema's order."""
-    out = df.select(*[F.col(r.name).alias(r.header) for r in schema.rules])
+    """Write rows under the header names of the source files.
+
+    An append follows the column order of the files that are there; columns of theirs that
+    the schema does not know stay empty.  A first write is in the schema's order.
+    """
+    spark, charset = df.sparkSession, encoding_name(encoding)
+    by_header = {r.header: F.col(r.name).alias(r.header) for r in schema.rules}
+    order = list(by_header)
+    if mode == "append" and path_exists(spark, path):
+        there = first_lines(spark, path, charset)
+        if there:
+            found = header_fields(there[min(there)], sep)
+            order = [*found, *(h for h in order if h not in found)]
+    nothing = F.lit(None).cast("string")
     (
-        out.write.mode(mode)
+        df.select(*[by_header.get(h, nothing.alias(h)) for h in order])
+        .write.mode(mode)
         .option("header", True)
-        .option("encoding", "ISO-8859-1")
+        .option("encoding", charset)
+        .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)

@@ -1,13 +1,18 @@
 """The tables of one deployment as Parquet folders under a root path.
 
-    <root>/fact_sales            order lines, append-only, partitioned by order month
-    <root>/gold/<name>           the five aggregate tables, replaced by every run
-    <root>/state, stats, runs    append-only bookkeeping
-    <root>/profile/<name>        the last profile
+    <root>/fact_sales/<version>     order lines, partitioned by order month
+    <root>/gold/<name>/<version>    the five aggregate tables
+    <root>/profile/<name>/<version> the last profile
+    <root>/versions/<name>          which version of a table holds; the newest row counts
+    <root>/state, stats, runs, rogue_values   append-only bookkeeping
+
+A replacement is written to a new version and becomes the table only by its row in
+``versions``, written last.  One that breaks leaves the table as it was.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -16,11 +21,18 @@ from pyspark.sql import functions as F
 
 from orderflow.plans.gold import GOLD
 from orderflow.schema import DEFAULT_SCHEMA, SourceSchema
-from orderflow.session import path_exists
+from orderflow.session import delete_folder, folders_in, path_exists
 
 MONTH = "order_month_start"
 FACT = "fact_sales"
 GOLD_NAMES = tuple(t.name for t in GOLD)
+# Tables that only grow have no versions.
+BOOKS = ("state", "stats", "runs", "rogue_values")
+VERSIONS = "version string, written_at timestamp"
+
+
+def _new_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
 
 
 class TableNotFound(LookupError):
@@ -48,21 +60,51 @@ class Lake:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def path(self, table: str) -> str:
+    def folder(self, table: str) -> str:
         return f"{self.root}/gold/{table}" if table in GOLD_NAMES else f"{self.root}/{table}"
 
+    def version(self, table: str) -> str | None:
+        """The version that holds; None if the table was never replaced."""
+        pointer = f"{self.root}/versions/{table}"
+        if not path_exists(self.spark, pointer):
+            return None
+        rows = self.spark.read.schema(VERSIONS).parquet(pointer)
+        return rows.agg(F.max_by("version", F.struct("written_at", "version")).alias("v")).first()["v"]
+
+    def path(self, table: str) -> str:
+        """Where the table's files are: its version, or its folder for append-only ones."""
+        if table in BOOKS:
+            return self.folder(table)
+        version = self.version(table)
+        return f"{self.folder(table)}/{version}" if version else self.folder(table)
+
     def find(self, table: str) -> DataFrame | None:
-        """The table, or None if it was never written."""
-        if not path_exists(self.spark, self.path(table)):
+        """The table, or None if it was never written completely."""
+        if table not in BOOKS and not self.version(table):
+            return None
+        path = self.path(table)
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
             return None
         try:
-            return self.spark.read.parquet(self.path(table)).drop(MONTH)
+            return self.spark.read.parquet(path).drop(MONTH)
         except AnalysisException as err:
             # A first load without rows leaves a folder without files.
             if err.getCondition() == "UNABLE_TO_INFER_SCHEMA":
                 return None
             raise
 
+    def _switch(self, table: str, version: str) -> None:
+        """Make a written version the table, and drop those before the one it follows."""
+        last = self.version(table)
+        row = self.spark.range(1).select(
+            F.lit(version).alias("version"),
+            F.current_timestamp().alias("written_at"),
+        )
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/versions/{table}")
+        for old in folders_in(self.spark, self.folder(table)):
+            if old not in (version, last) and old.startswith("v-"):
+                delete_folder(self.spark, f"{self.folder(table)}/{old}")
+
     def fact_since(self, since: date | str | None, buffer_days: int = 0) -> DataFrame:
         """Fact rows on or after a day less the buffer; earlier month folders are not read."""
         if not self.exists(FACT):
@@ -88,22 +130,29 @@ class Lake:
         return [t for t in (FACT, *GOLD_NAMES) if self.exists(t)]
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Full replacement.  ``df`` must not read the table it replaces."""
-        df.write.mode("overwrite").option("compression", "snappy").parquet(self.path(table))
+        """Full replacement: a new version, and the switch to it last."""
+        version = _new_version()
+        df.write.option("compression", "snappy").parquet(f"{self.folder(table)}/{version}")
+        self._switch(table, version)
 
     def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").option("compression", "snappy").parquet(self.path(table))
+        """Add rows to a table that is never replaced."""
+        df.write.mode("append").option("compression", "snappy").parquet(self.folder(table))
 
     def write_fact(self, df: DataFrame, mode: str) -> int:
         """Append to or replace the fact; returns the rows written."""
         written = Observation("fact")
+        version = self.version(FACT) if mode == "append" else None
+        target = version or _new_version()
         (
             by_month(df, written=written)
             .write.mode(mode)
             .option("compression", "snappy")
             .partitionBy(MONTH)
-            .parquet(self.path(FACT))
+            .parquet(f"{self.folder(FACT)}/{target}")
         )
+        if target != version:
+            self._switch(FACT, target)
         return written.get["rows"]
 
     def columns(self, table: str) -> list[tuple[str, str]]:

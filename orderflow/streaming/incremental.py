@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from orderflow.plans.run import Config, Report, load, prepare
+from orderflow.plans.run import Config, Report, keep_report, load, prepare
 from orderflow.session import Stage
-from orderflow.sources.bronze import apply_schema, check_columns, read_text
+from orderflow.sources.bronze import apply_schema, check_columns, encoding_name, read_text
 from orderflow.sources.lake import Lake
 
 
@@ -21,7 +21,8 @@ def start_load(
 ) -> StreamingQuery:
     """Load every file of ``source`` not loaded yet, then stop (``availableNow``).
 
-    The stream's checkpoint takes the place of the high-water mark.  A micro-batch that is
+    Every micro-batch keeps its report in ``runs``.  All files must have the column order of
+    the first one.  The stream's checkpoint takes the place of the high-water mark.  A micro-batch that is
     run again after a failure adds nothing, as its keys are known by then; that is also
     why no event-time watermark is used, which would drop late lines unseen.
     """
@@ -29,7 +30,8 @@ def start_load(
     reader = (
         spark.readStream.schema(header.schema)
         .option("header", True)
-        .option("encoding", "ISO-8859-1" if config.encoding == "latin-1" else config.encoding)
+        .option("encoding", encoding_name(config.encoding))
+        .option("multiLine", config.multi_line)
         .option("sep", config.sep)
         .option("escape", '"')
         .option("enforceSchema", False)
@@ -39,13 +41,20 @@ def start_load(
     lake = Lake(spark, root)
 
     def load_batch(rows: DataFrame, batch_id: int) -> None:
-        stage = Stage(rows.sparkSession)
+        stage, report = Stage(rows.sparkSession, root=root), Report(f"batch-{batch_id}")
         try:
-            raw = stage.put("raw", apply_schema(rows, config.schema))
-            batch = prepare(raw, config, stage, Report(f"batch-{batch_id}"))
-            load(lake, batch, config, stage)
+            raw = report.timed("extract", lambda: stage.put("raw", apply_schema(rows, config.schema)))
+            batch = prepare(raw, config, stage, report, lake)
+            report.data["stages"]["load"] = report.timed("load", lambda: load(lake, batch, config, stage))
+            report.finish("success")
+        except Exception:
+            report.finish("failed")
+            raise
         finally:
-            stage.clear()
+            try:
+                keep_report(lake, report.data)
+            finally:
+                stage.clear()
 
     return (
         reader.csv(source)

@@ -26,23 +26,24 @@ def spark():
     spark.stop()
 
 
-# Five order lines; tests derive broken variants from them.
+# Five order lines: a loss, a break-even, a short postal code and a missing one; tests derive
+# broken variants from them.
 ROWS = [
-    (1, "CA-2016-001", "11/8/2016", "11/11/2016", "Second Class", "CU-1", "Ann Lee", "Consumer",
-     "42420", "Henderson", "Kentucky", "United States", "South", "FUR-BO-1", "Furniture",
-     "Bookcases", "Oak Bookcase", 261.96, 2, 0.0, 41.91),
-    (2, "CA-2016-001", "11/8/2016", "11/11/2016", "Second Class", "CU-1", "Ann Lee", "Consumer",
-     "42420", "Henderson", "Kentucky", "United States", "South", "OFF-LA-1", "Office Supplies",
-     "Labels", "Address Labels", 14.62, 2, 0.0, 6.87),
-    (3, "US-2015-002", "6/12/2016", "6/16/2016", "Standard Class", "CU-2", "Bo Kim", "Corporate",
-     "90036", "Los Angeles", "California", "United States", "West", "OFF-LA-1", "Office Supplies",
-     "Labels", "Address Labels", 22.37, 2, 0.2, 2.52),
-    (4, "CA-2017-003", "9/17/2017", "9/21/2017", "First Class", "CU-2", "Bo Kim", "Corporate",
-     "7094", "Secaucus", "New Jersey", "United States", "East", "OFF-EN-1", "Office Supplies",
-     "Envelopes", "White Envelopes", 3.26, 2, 0.2, 1.10),
-    (5, "CA-2014-004", "2/27/2017", "3/3/2017", "Same Day", "CU-3", "Cy Fox", "Home Office",
-     None, "Fresno", "California", "United States", "West", "OFF-BI-1", "Office Supplies",
-     "Binders", "Round Binder", 4.98, 2, 0.0, 2.44),
+    (1, "T-7001", "3/14/2015", "3/19/2015", "Standard Class", "K-31", "Ines Duarte", "Consumer",
+     "70112", "New Orleans", "Louisiana", "United States", "South", "TEC-PH-1", "Technology",
+     "Phones", "Slate Phone", 899.5, 1, 0.1, -45.2),
+    (2, "T-7001", "3/14/2015", "3/19/2015", "Standard Class", "K-31", "Ines Duarte", "Consumer",
+     "70112", "New Orleans", "Louisiana", "United States", "South", "OFF-PA-4", "Office Supplies",
+     "Paper", "Lined Pad", 18.9, 3, 0.0, 0.0),
+    (3, "T-7040", "10/2/2016", "10/2/2016", "Same Day", "K-08", "Otto Brandt", "Corporate",
+     "2139", "Cambridge", "Massachusetts", "United States", "East", "OFF-PA-4", "Office Supplies",
+     "Paper", "Lined Pad", 31.5, 5, 0.2, 6.3),
+    (4, "T-7055", "1/25/2017", "1/27/2017", "First Class", "K-08", "Otto Brandt", "Corporate",
+     "60614", "Chicago", "Illinois", "United States", "Central", "FUR-CH-2", "Furniture",
+     "Chairs", "Desk Stool", 240.0, 2, 0.3, 12.75),
+    (5, "T-7090", "5/30/2017", "6/4/2017", "Second Class", "K-77", "Pia Lund", "Home Office",
+     None, "Boise", "Idaho", "United States", "West", "TEC-AC-9", "Technology",
+     "Accessories", "Track Ball", 64.99, 1, 0.0, 19.5),
 ]
 
 

@@ -96,3 +96,16 @@ def test_exact_sum_over_nothing(spark):
         exact_sum(F.col("v")).alias("s"), exact_mean(F.col("v")).alias("m")
     )
     assert tuple(row.first()) == (0.0, None)
+
+
+def test_sums_keep_what_lies_below_a_millionth(spark):
+    df = spark.range(1000).selectExpr("4e-7D AS x", "CAST(id AS double) * 1e-9 AS y", "IF(id = 3, double('NaN'), 0.1D) AS z")
+    row = df.agg(exact_sum(df.x).alias("x"), exact_sum(df.y).alias("y"), exact_sum(df.z).alias("z"), exact_mean(df.z).alias("m")).first()
+    assert row["x"] == pytest.approx(4e-4, rel=1e-9) and row["y"] == pytest.approx(4.995e-4, rel=1e-9)
+    assert (row["z"], row["m"]) == (99.9, 0.1)
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    df = spark.range(4000).selectExpr("(id * 7919 % 1000 - 300) * pow(10.0, id % 9 - 5) AS x")
+    sums = {df.repartition(n).agg(exact_sum(F.col("x"))).first()[0] for n in (1, 3, 8)}
+    assert len(sums) == 1

@@ -29,8 +29,8 @@ def test_stats_match_pandas(cleaned):
         assert got[f"{c}_mean"] == round(pdf[c].mean(), 4)
         assert got[f"{c}_std"] == pytest.approx(pdf[c].std(), abs=1e-4)
         assert got[f"{c}_null_rate"] == 0
-    assert (got["unique_customers"], got["unique_products"], got["unique_regions"]) == (3, 4, 3)
-    assert (got["order_date_min"], got["order_date_max"]) == ("2016-06-12", "2017-09-17")
+    assert (got["unique_customers"], got["unique_products"], got["unique_regions"]) == (3, 4, 4)
+    assert (got["order_date_min"], got["order_date_max"]) == ("2015-03-14", "2017-05-30")
 
 
 def test_text_dates_and_absent_columns_are_left_out(raw):
@@ -38,6 +38,13 @@ def test_text_dates_and_absent_columns_are_left_out(raw):
     assert "order_date_min" not in got and "unique_regions" not in got and "profit_mean" not in got
 
 
+def test_no_numbers_are_missing_values(spark):
+    rows = [(1.5, float("nan")), (float("inf"), 2.0), (2.5, None), (float("nan"), 4.0)]
+    got = stats(spark.createDataFrame(rows, "sales double, profit double"))
+    assert (got["sales_mean"], got["sales_null_rate"], got["sales_std"]) == (2.0, 0.5, 0.7071)
+    assert (got["profit_mean"], got["profit_null_rate"]) == (3.0, 0.5)
+
+
 def test_unchanged_has_no_findings(cleaned):
     s = d.drift_stats(cleaned)
     assert d.drift_findings(s, s).isEmpty()
@@ -74,7 +81,7 @@ def numbers(spark):
             "flag": rng.random(4000) < 0.3,
         }
     )
-    df = spark.createDataFrame(pdf).withColumn("gaps", p.drop_nan(p.F.col("gaps")))
+    df = spark.createDataFrame(pdf).withColumn("gaps", p.finite(p.F.col("gaps")))
     return df, pdf
 
 
@@ -120,6 +127,14 @@ def test_approximate_quartiles_are_close(numbers, stage):
     df, pdf = numbers
     got = {r["column_name"]: r for r in p.profile_columns(df, stage, approximate=True).collect()}
     assert got["skewed"]["p50"] == pytest.approx(pdf.skewed.median(), rel=0.02)
+    assert (got["skewed"]["top_value"], got["word"]["top"]) == (7.0, "b")
+    assert got["skewed"]["unique"] == pytest.approx(pdf.skewed.nunique(), rel=0.1)
+    assert got["gaps"]["mean"] == pytest.approx(pdf.gaps.mean(), abs=1e-4)
+
+
+def test_sketches_stage_nothing(numbers, stage, monkeypatch):
+    monkeypatch.setattr(p, "stage_counts", lambda *a: 1 / 0)
+    assert p.profile_columns(numbers[0], stage, approximate=True).count() == 5
 
 
 def test_histogram_matches_numpy(numbers):
@@ -138,7 +153,7 @@ def test_histogram_of_a_constant(spark):
 
 def test_correlation_matches_pandas(numbers):
     df, pdf = numbers
-    got = p.profile_correlation(df, ["skewed", "small", "gaps"]).collect()
+    got = p.profile_correlation(df.repartition(5)).collect()
     for r in got:
         want = pdf[[r["left_column"], r["right_column"]]].corr().iloc[0, 1]
         assert r["correlation"] == pytest.approx(want, abs=1e-4)

@@ -1,4 +1,6 @@
 import random
+import shutil
+from types import SimpleNamespace
 
 import pytest
 from conftest import ROWS, make
@@ -51,11 +53,11 @@ def load(spark, lake, stage, *batches, full=False):
 @pytest.mark.parametrize(
     ("batches", "inserted", "total", "watermark"),
     [
-        ([[1, 2, 3]], 3, 3, "2017-01-03"),
-        ([[1, 2, 3], [4, 5]], 2, 5, "2017-01-05"),
-        ([[1, 2, 3], [1, 2, 3]], 0, 3, "2017-01-03"),
-        ([[1, 2], [2, 3, 4]], 2, 4, "2017-01-04"),
-        ([[1], []], 0, 1, None),
+        ([[7]], 1, 1, "2017-01-07"),
+        ([[14, 3], [12]], 1, 3, "2017-01-12"),
+        ([[5, 6], [6, 5, 6]], 0, 2, "2017-01-06"),
+        ([[9, 8, 20], [8, 21, 22], [20, 23]], 1, 6, "2017-01-23"),
+        ([[2, 4], []], 0, 2, None),
     ],
 )
 def test_load_scenarios(spark, stage, tmp_path, batches, inserted, total, watermark):
@@ -92,7 +94,7 @@ def test_fact_layout_and_missing_tables(spark, tmp_path):
     with pytest.raises(TableNotFound, match="run the load first"):
         lake.read(FACT)
     assert lake.write_fact(batch(spark, [1, 2]), "overwrite") == 2
-    assert [p.name for p in (tmp_path / FACT).glob("order_month_start=*")] == ["order_month_start=2017-01-01"]
+    assert [p.name for p in (tmp_path / FACT).glob("v-*/order_month_start=*")] == ["order_month_start=2017-01-01"]
     assert "order_month_start" not in lake.read(FACT).columns
     assert dict(lake.columns(FACT))["order_date"] == "date"
 
@@ -119,7 +121,7 @@ def test_a_hot_month_is_split_over_files(spark, tmp_path):
         assert Lake(spark, str(tmp_path)).write_fact(rows, "overwrite") == 60000
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
-    assert len(list((tmp_path / FACT).glob("*/*.parquet"))) > 1
+    assert len(list((tmp_path / FACT).glob("v-*/*/*.parquet"))) > 1
 
 
 # --- whole runs --------------------------------------------------------------------------
@@ -166,12 +168,15 @@ def test_late_rows_inside_and_outside_the_buffer(spark, tmp_path):
 def test_failed_gate_stops_before_any_write(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "lake")
     bad = [list(x) for x in lines(1, 5)]
-    bad[0][12] = "Narnia"
+    bad[0][12] = "Overseas"
     write_csv(make(spark, bad), source)
     with pytest.raises(QualityGateError, match="raw"):
         run.run(spark, source, root, QUIET)
     lake = Lake(spark, root)
     assert not lake.exists(FACT) and not lake.exists("state")
+    assert [(r["column_name"], r["value"], r["rows"], r["stage"]) for r in lake.read("rogue_values").collect()] == [
+        ("region", "Overseas", 1, "raw")
+    ]
     assert lake.read("runs").first()["overall_status"] == "failed"
     lenient = run.Config(make_profile=False, min_rows=1, fail_on_quality_error=False)
     assert run.run(spark, source, root, lenient)["stages"]["load"]["rows_loaded"] == 5
@@ -209,7 +214,7 @@ def test_views(spark, stage, tmp_path):
     assert spark.sql("SELECT sum(total_rows) FROM agg_sales_by_region").first()[0] == 3
     lake.register_views(header_names=True)
     got = spark.sql("SELECT `Sub-Category` FROM fact_sales WHERE `Row ID` = 1").first()[0]
-    assert got == "Bookcases"
+    assert got == "Phones"
 
 
 def test_stream_form_equals_the_batch_form(spark, tmp_path):
@@ -222,6 +227,8 @@ def test_stream_form_equals_the_batch_form(spark, tmp_path):
         query.awaitTermination()
         assert query.exception() is None
     assert state(Lake(spark, root)) == [*range(1, 15), 200, 201, 202]
+    runs = Lake(spark, root).read("runs").collect()
+    assert len(runs) == 3 and {r["overall_status"] for r in runs} == {"success"}
     write_csv(make(spark, lines(300, 2)).coalesce(1), source)
     start_load(spark, source, root, str(tmp_path / "cp"), config).awaitTermination()
     assert len(state(Lake(spark, root))) == 19
@@ -248,20 +255,110 @@ def test_export_and_parity(spark, tmp_path):
 
 
 def test_names(spark):
-    assert names.sanitize_name(" Weird  Name!! ") == "weird_name"
-    assert names.sanitize_name("Sub-Category") == "sub_category"
-    assert names.sanitize_name("123abc") == "_123abc"
-    with pytest.raises(ValueError, match="usable"):
-        names.sanitize_name("!!!")
+    wanted = {"  Net -- Total (EUR) ": "net_total_eur", "Ship.Mode": "ship_mode", "2nd Class": "_2nd_class", "__a__b__": "a__b"}
+    assert {n: names.sanitize_name(n) for n in wanted} == wanted
+    for nothing in ("", " _ ", "€ %"):
+        with pytest.raises(ValueError, match="usable"):
+            names.sanitize_name(nothing)
     with pytest.raises(ValueError, match="collide"):
         names.sanitize_columns(spark.createDataFrame([(1, 2)], "`a b` int, `a-b` int"))
 
 
-def test_stage_uses_the_folder_the_session_names(spark, tmp_path):
+def test_stage_is_on_shared_storage(spark, tmp_path):
+    """Named by the session, else under the tables, else local and then only for local masters."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     root = Stage(spark).root
     assert root.startswith(folder) if folder else "orderflow-" in root
 
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = SimpleNamespace(master=master, applicationId="app-x")
+
+    assert Stage(Session("yarn", "hdfs://shared/"), "r", "/lake").root == "hdfs://shared/_stage/r"
+    assert Stage(Session("yarn"), "r", "/lake").root == "/lake/_stage/r"
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="share"):
+            Stage(Session(master), "r")
+    assert "orderflow-app-x" in Stage(Session("local[4]"), "r").root
+
+
+# --- what a broken run leaves ------------------------------------------------------------
+
+
+def test_a_mark_without_a_fact_is_not_believed(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    write_csv(make(spark, lines(1, 40)), source)
+    lake = Lake(spark, root)
+    run.write_watermark(lake, run.date(2017, 1, 27), "lost")
+    assert run.run(spark, source, root, QUIET)["stages"]["load"]["rows_loaded"] == 40
+    shutil.rmtree(tmp_path / "lake" / FACT)
+    assert run.run(spark, source, root, QUIET)["stages"]["load"]["rows_loaded"] == 40
+
+
+def test_a_refresh_that_breaks_leaves_the_tables_as_they_were(spark, stage, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    write_csv(make(spark, lines(1, 30)), source)
+    run.run(spark, source, root, QUIET)
+    lake = Lake(spark, root)
+    broken = batch(spark, [25]).withColumn("sales", F.raise_error(F.lit("disk full")).cast("double"))
+    with pytest.raises(Exception, match="disk full"):
+        lake.write_fact(broken, "overwrite")
+    with pytest.raises(Exception, match="disk full"):
+        lake.replace("sales_by_region", broken)
+    # A version that was written but never switched to is no table either.
+    batch(spark, [26]).write.parquet(f"{lake.folder(FACT)}/v-stray")
+    assert state(lake) == list(range(1, 31))
+    assert lake.read("sales_by_region").agg(F.sum("total_rows")).first()[0] == 30
+    report = run.run(spark, source, root, QUIET)
+    assert report["stages"]["load"]["rows_loaded"] == 30
+    (tmp_path / "lake" / FACT / lake.version(FACT) / "_SUCCESS").unlink()
+    assert not lake.exists(FACT)
+
+
+def test_old_versions_go_and_readers_of_the_last_one_finish(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    readers = []
+    for i in range(4):
+        lake.replace("profile/x", spark.range(i))
+        readers.append(lake.read("profile/x"))
+    assert readers[-2].count() == 2 and lake.read("profile/x").count() == 3
+    assert len([p for p in (tmp_path / "profile/x").iterdir() if p.name.startswith("v-")]) == 2
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("nan"), 1e19])
+def test_a_number_no_sum_can_hold_stops_before_any_write(spark, tmp_path, bad):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    good, rows = lines(1, 20), lines(21, 3, month=2)
+    write_csv(make(spark, good), source)
+    run.run(spark, source, root, QUIET)
+    rows[1] = (*rows[1][:17], bad, *rows[1][18:])
+    spoiled = str(tmp_path / "spoiled")
+    write_csv(make(spark, good + rows), spoiled)
+    with pytest.raises(QualityGateError, match="raw"):
+        run.run(spark, spoiled, root, QUIET)
+    lake = Lake(spark, root)
+    assert state(lake) == list(range(1, 21))
+    # Let through on purpose, the value is missing, and later runs go on.
+    lenient = run.Config(make_profile=False, min_rows=1, fail_on_quality_error=False)
+    for _ in range(2):
+        assert run.run(spark, spoiled, root, lenient)["stages"]["load"]["rows_loaded"] == 23
+    assert lake.read(FACT).filter("sales IS NULL").count() == 1
+
+
+def test_the_report_of_a_run_that_fails_twice_does_not_hide_the_first_error(spark, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    write_csv(make(spark, lines(1, 3)), source)
+    monkeypatch.setattr(run, "prepare", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run.run(spark, source, root, QUIET)
+    cleared = []
+    monkeypatch.setattr(run.Stage, "clear", lambda self: cleared.append(self.root))
+    monkeypatch.setattr(run, "keep_report", lambda *a: [][0])
+    with pytest.raises(IndexError) as err:
+        run.run(spark, source, root, QUIET)
+    assert isinstance(err.value.__context__, ZeroDivisionError) and len(cleared) == 1
+
 
 def test_read_back_rows_equal_written(spark, tmp_path):
     write_csv(make(spark, lines(1, 3)), str(tmp_path / "x"))
