@@ -11,6 +11,7 @@ import os
 import re
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,74 +33,82 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED = 600_000
+CACHED = 1_100_000
 MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
+PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: visible ones as themselves, the rest from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class OddPiece(Exception):
+    """A piece that is no word, so its text has to be encoded whole."""
+
+
+class Words(dict):
+    """Little-endian ids of words, each with the space before it if there is one; bounded.
+
+    The byte-level splitter makes one piece of letters and one of the marks behind them, so a
+    stem's ids are looked up for the next word with that stem, and a piece of plain letters
+    goes to the merge model alone.  All other words pass the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.merges, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return array("I", found.ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if PLAIN(word):
+            found = self.merges(word.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in found]).tobytes()
+        elif not WORD(word):
+            raise OddPiece
+        else:
+            stem = word.rstrip(MARKS)
+            ids = self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
+        if len(self) > CACHED:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """A tokenizer with a bounded cache of words.
+    """A tokenizer that cuts texts at single spaces and line ends, where it always cuts itself.
 
-    The byte-level splitter always cuts at a single space or line end between two other
-    characters, so such texts are encoded word by word with the same ids.  Texts with any other
-    white space, or that hold a special token, are encoded whole.
+    Texts with any other white space, or that hold a special token, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.line = self._ids("\n")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words as one text with a line end after each, and cut the ids there."""
-        raw = self._ids("\n".join([*words, ""]))
-        cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == int.from_bytes(self.line, "little")) * 4).tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(c + 4 for c in cuts)], cuts))
-
-    def _met(self, words: set[str]) -> None:
-        """Learn new words; marks after a letter or digit are a piece of their own, so stems are shared."""
-        known, ended, wanted = self.known, [], set()
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if stem and stem != w and stem[-1].isalnum():
-                ended.append((w, stem, w[len(stem) :]))
-                wanted.add(stem)
-                wanted.add(w[len(stem) :])
-            else:
-                wanted.add(w)
-        self._learn(list(wanted.difference(known)))
-        known.update((w, known[stem] + known[marks]) for w, stem, marks in ended)
+        tokenizer = Tokenizer.from_file(path)
+        self.special = ["\0", *(t.content for t in tokenizer.get_added_tokens_decoder().values())]
+        self.end = array("I", [end_id]).tobytes()
+        self.known = Words(tokenizer)
+        self.line = self.known.whole("\n")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        if len(self.known) > CACHED:
-            self.known = {}
-        self.known["\n"] = self.line
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        new = set().union(*split).difference(self.known)
-        # Without other white space, cutting at white space gives back as many words.
-        plain = len("\n".join(new).split()) == len(new) and "" not in new and " " not in new
-        odd = set() if plain else {w for w in new if not WORD(w)}
-        self._met(new - odd if odd else new)
-        known = self.known.__getitem__
-        return [
-            (
-                b"".join(map(known, parts))
-                if (plain or odd.isdisjoint(parts)) and "\0" not in text and not any(s in text for s in self.special)
-                else self._ids(text)
-            )
-            + self.end
-            for text, parts in zip(texts, split)
-        ]
+        return [self._text(t) + self.end for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.known.whole(text)
+        known, lines = self.known.__getitem__, text.split("\n")
+        try:
+            # A mark before each space keeps it with the word behind it.
+            return self.line.join([b"".join(map(known, x.replace(" ", "\0 ").split("\0"))) for x in lines])
+        except OddPiece:
+            return self.known.whole(text)
 
 
 @cache
