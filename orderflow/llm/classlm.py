@@ -181,10 +181,23 @@ def _numbered(words: list[bytes], frequent: int, families: int) -> np.ndarray:
     return np.array([i if i < frequent else frequent + family(w, families) for i, w in enumerate(words)], np.int64)
 
 
+def _least_listed(counts: DataFrame, listed: int) -> int:
+    """The least count that at most ``listed`` words have, from a table of a few hundred sizes."""
+    step = F.floor(F.log2("n") * 32)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step"))
+    least, so_far = 2**63 - 1, 0
+    for row in sizes.collect():
+        so_far += row.words
+        if so_far > listed:
+            break
+        least = row.n
+    return least
+
+
 def fit(
     counts: DataFrame, texts: DataFrame, frequent: int, families: int, classes: int, listed: int, alpha: float = 0.5
 ) -> Model:
-    top = counts.orderBy(F.desc("n"), "word").limit(listed).select("word", "n").collect()
+    top = sorted(counts.where(F.col("n") >= _least_listed(counts, listed)).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
     words, known = [r.word.encode() for r in top], np.array([r.n for r in top], np.int64)
     frequent = min(frequent, len(words))
     sums = counts.agg(F.sum("n"), F.count("*")).first()
