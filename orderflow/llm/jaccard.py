@@ -445,7 +445,7 @@ def similar(
     stage = Stage(docs.sparkSession)
     ids = stage.put("ids", classes(docs, text, [key]))
     total = ids.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(max(6, math.ceil(math.log2(max(total, 1) / per_part))), 16)
+    bits = min(max(6, math.ceil(math.log2(max(total, 1) / per_part))), 20)
     back = _dealt(docs, text, bits).groupBy("part").applyInPandas(_shared_of(bits), PACKED)
     sets = stage.put("sets", back.groupBy("q").applyInPandas(_merged(bits, percent), "cls long, n int, shared array<bigint>"))
 
