@@ -55,6 +55,12 @@ def from_parts(whole: Column, micros: Column, picos: Column) -> Column:
     return exact.cast("double")
 
 
+def summands(c: Column) -> dict[str, Column]:
+    """The finite value and its additive parts, to be projected before they are added."""
+    value = finite(c)
+    return {"value": value, "whole": whole_part(value), "micros": millionths(value), "picos": trillionths(value)}
+
+
 def exact_sum(c: Column) -> Column:
     """Order-free sum as a double, good to 1e-12 per value; 0.0 over no values.
 

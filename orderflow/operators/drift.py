@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions import exact_mean, round_half_even
-from orderflow.functions.numeric import finite
+from orderflow.functions import round_half_even
+from orderflow.functions.numeric import from_parts, summands
 
 MEASURES = ("sales", "profit", "discount")
 DISTINCT = {
@@ -21,39 +21,48 @@ def drift_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(metric, value, text): one row per statistic of the frame.
 
     Numbers are in ``value``, the date bounds in ``text``.  Columns the frame lacks are
-    left out.  Exact distinct counts are spread over the counted ids by Spark;
-    ``approximate`` replaces them by sketches where the id columns are huge.
+    left out.  NaN and infinities count as missing.  Exact distinct counts are spread over the
+    counted ids; ``approximate`` replaces them by sketches where the id columns are huge.
     """
     columns = set(df.columns)
-    stats = {"row_count": F.count(F.lit(1)), "column_count": F.lit(len(df.columns))}
-    for name in (m for m in MEASURES if m in columns):
-        c = finite(F.col(name))
-        stats[f"{name}_mean"] = round_half_even(exact_mean(c), 4)
-        stats[f"{name}_std"] = round_half_even(F.stddev_samp(c), 4)
+    measures = [m for m in MEASURES if m in columns]
+    # Finite values and their additive parts are projected once and then only added up.
+    parts: dict[str, Column] = {}
+    for name in measures:
+        parts |= {f"{name}_{kind}": c for kind, c in summands(F.col(name)).items()}
+    dated = "order_date" in columns and df.schema["order_date"].dataType.typeName() == "date"
+    lines = df.select(*[c.alias(n) for n, c in parts.items()], *["order_date"] * dated)
+
+    rows = F.count(F.lit(1))
+    stats = {"row_count": rows, "column_count": F.lit(len(df.columns))}
+    for name in measures:
+        value = F.col(f"{name}_value")
+        n = F.count(value)
+        mean = from_parts(*(F.sum(f"{name}_{kind}") for kind in ("whole", "micros", "picos"))) / n
+        stats[f"{name}_mean"] = round_half_even(F.when(n > 0, mean), 4)
+        stats[f"{name}_std"] = round_half_even(F.stddev_samp(value), 4)
         # Zero rows have no null rate, as they have no mean.
-        null_rate = F.when(F.count(F.lit(1)) > 0, F.count_if(c.isNull()) / F.count(F.lit(1)))
-        stats[f"{name}_null_rate"] = round_half_even(null_rate, 6)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    for metric, name in DISTINCT.items():
-        if name in columns:
-            stats[metric] = distinct(F.col(name))
-    one_row = {m: c.cast("double") for m, c in stats.items()}
-    dates = {}
-    if "order_date" in columns and df.schema["order_date"].dataType.typeName() == "date":
-        dates = {
-            "order_date_min": F.date_format(F.min("order_date"), "yyyy-MM-dd"),
-            "order_date_max": F.date_format(F.max("order_date"), "yyyy-MM-dd"),
-        }
-    wide = df.agg(*[c.alias(m) for m, c in {**one_row, **dates}.items()])
-    rows = [
-        F.struct(
-            F.lit(m).alias("metric"),
-            (F.col(m) if m in one_row else F.lit(None).cast("double")).alias("value"),
-            (F.col(m) if m in dates else F.lit(None).cast("string")).alias("text"),
-        )
-        for m in [*one_row, *dates]
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+        stats[f"{name}_null_rate"] = round_half_even(F.when(rows > 0, (rows - n) / rows), 6)
+    values = {m: c.cast("double") for m, c in stats.items()}
+    texts = {}
+    if dated:
+        texts = {f"order_date_{s}": F.date_format(f("order_date"), "yyyy-MM-dd") for s, f in (("min", F.min), ("max", F.max))}
+    wide = lines.agg(*[c.alias(m) for m, c in {**values, **texts}.items()])
+    found = wide.select(F.inline(F.array(*[_row(m, F.col(m) if m in values else None, F.col(m) if m in texts else None) for m in [*values, *texts]])))
+    # Each distinct count reads its own column alone; several in one pass would copy every line.
+    for metric, name in ((m, n) for m, n in DISTINCT.items() if n in columns):
+        ids = df.select(F.col(name).alias("id"))
+        counted = ids.agg(F.approx_count_distinct("id").alias("n")) if approximate else ids.distinct().agg(F.count("id").alias("n"))
+        found = found.unionByName(counted.select(F.inline(F.array(_row(metric, F.col("n").cast("double"), None)))))
+    return found
+
+
+def _row(metric: str, value: Column | None, text: Column | None) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        (F.lit(None).cast("double") if value is None else value).alias("value"),
+        (F.lit(None).cast("string") if text is None else text).alias("text"),
+    )
 
 
 def drift_findings(current: DataFrame, reference: DataFrame, threshold: float = 0.05) -> DataFrame:

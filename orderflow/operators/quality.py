@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderflow.functions.numeric import finite
-from orderflow.operators.dedup import duplicate_count
+from orderflow.operators.dedup import count_duplicates, duplicate_count
 from orderflow.schema import DEFAULT_SCHEMA, ColumnRule, SourceSchema
+from orderflow.session import concurrently
 
 
 class QualityGateError(RuntimeError):
@@ -185,9 +186,27 @@ def summarise(report: DataFrame) -> DataFrame:
     )
 
 
+def checked(df: DataFrame, schema: SourceSchema = DEFAULT_SCHEMA, date_checks: bool = False) -> list[dict]:
+    """The rows of quality_report; its three passes run at once, the duplicates by fingerprint."""
+    missing = sorted(n for n in schema.names if n not in df.columns)
+    rules = [r for r in schema.rules if r.name in df.columns]
+    columnwise, allowed, duplicates = concurrently(
+        df.sparkSession,
+        _columnwise_checks(df, rules, missing, date_checks).collect,
+        _allowed_values_check(df, rules).collect,
+        lambda: count_duplicates(df),
+    )
+    rows = [*columnwise, *allowed, *_duplicate_check(df, duplicates).collect()]
+    return sorted((row.asDict() for row in rows), key=lambda c: c["check_no"])
+
+
 def gate(report: DataFrame, stage: str, fail_on_error: bool = True) -> dict:
     """Run the report (at most six rows reach the driver) and stop on a failed check."""
-    checks = [row.asDict() for row in report.orderBy("check_no").collect()]
+    return judge([row.asDict() for row in report.orderBy("check_no").collect()], stage, fail_on_error)
+
+
+def judge(checks: list[dict], stage: str, fail_on_error: bool = True) -> dict:
+    """The outcome of a report's rows; raises on a failed check if told to."""
     failed = [c for c in checks if not c["passed"]]
     outcome = {
         "stage": stage,

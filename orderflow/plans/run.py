@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 
 from orderflow.operators import drift, incremental, profile, quality
 from orderflow.operators.clean import DATE_FORMAT, cast_numerics, normalise
-from orderflow.operators.dedup import (
-    count_duplicates,
-    drop_full_duplicates,
-    has_repeated_fingerprint,
-)
+from orderflow.operators.dedup import drop_full_duplicates, has_repeated_fingerprint
 from orderflow.operators.features import engineer
 from orderflow.plans import gold
 from orderflow.schema import DEFAULT_SCHEMA, DERIVED, SourceSchema
@@ -112,9 +108,8 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report, lake:
     """
     data = report.data
 
-    def gate(df: DataFrame, name: str, date_checks: bool, duplicates: int) -> None:
-        checks = quality.quality_report(df, config.schema, date_checks, duplicates)
-        outcome = quality.gate(checks, name, fail_on_error=False)
+    def gate(df: DataFrame, name: str, date_checks: bool) -> None:
+        outcome = quality.judge(quality.checked(df, config.schema, date_checks), name, fail_on_error=False)
         data["quality_checks"].append(outcome)
         if not all(c["passed"] for c in outcome["checks"] if c["check_name"] == "allowed_values"):
             rules = [r for r in config.schema.rules if r.name in df.columns]
@@ -132,7 +127,7 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report, lake:
             rows = stage.put("deduplicated", drop_full_duplicates(rows))
         return cast_numerics(rows, config.schema)
 
-    report.timed("quality_raw", lambda: gate(raw, "raw", False, count_duplicates(raw)))
+    report.timed("quality_raw", lambda: gate(raw, "raw", False))
     cleaned = report.timed("clean", cleaned_batch)
     rows_in, rows_out = raw.count(), cleaned.count()
     data["stages"]["clean"] = {
@@ -144,9 +139,7 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report, lake:
     if rows_out < config.min_rows:
         log.warning("only %d rows after cleaning, expected at least %d", rows_out, config.min_rows)
     # Casting can make rows equal that differed as text, so this is counted again.
-    report.timed(
-        "quality_cleaned", lambda: gate(cleaned, "cleaned", True, count_duplicates(cleaned))
-    )
+    report.timed("quality_cleaned", lambda: gate(cleaned, "cleaned", True))
     data["stages"]["engineer"] = {"rows": rows_out, "new_features": sorted(DERIVED)}
     return engineer(cleaned)
 
@@ -179,11 +172,15 @@ def load(
     inserted = load_fact(lake, batch, key, full_refresh)
     fact = lake.find(FACT)
     fact = batch.limit(0) if fact is None else fact
-    names = rebuild_gold(lake, fact, key, stage)
-    newest = incremental.watermark_candidate(batch).first()["watermark"]
+    names, newest, rows = concurrently(
+        lake.spark,
+        lambda: rebuild_gold(lake, fact, key, stage),
+        lambda: incremental.watermark_candidate(batch).first()["watermark"],
+        fact.count,
+    )
     return {
         "gold_tables": names,
-        "rows_loaded": fact.count(),
+        "rows_loaded": rows,
         "new_rows_inserted": inserted,
         "watermark_candidate": newest,
     }
