@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from orderflow.plans.run import Config, Report, keep_report, load, prepare
+from orderflow.plans.run import Config, Report, keep_report, load, load_fact, prepare, rebuild_gold
 from orderflow.session import Stage
 from orderflow.sources.bronze import apply_schema, check_columns, encoding_name, read_text
-from orderflow.sources.lake import Lake
+from orderflow.sources.lake import FACT, Lake
 
 
 def start_load(
@@ -18,10 +18,12 @@ def start_load(
     checkpoint: str,
     config: Config = Config(),
     max_files: int | None = None,
+    rebuild_each: bool = True,
 ) -> StreamingQuery:
     """Load every file of ``source`` not loaded yet, then stop (``availableNow``).
 
-    Every micro-batch keeps its report in ``runs``.  All files must have the column order of
+    ``rebuild_each`` renews the aggregate tables after every micro-batch, which reads the
+    whole fact each time; load_stream does it once.  Every micro-batch keeps its report in ``runs``.  All files must have the column order of
     the first one.  The stream's checkpoint takes the place of the high-water mark.  A micro-batch that is
     run again after a failure adds nothing, as its keys are known by then; that is also
     why no event-time watermark is used, which would drop late lines unseen.
@@ -45,7 +47,7 @@ def start_load(
         try:
             raw = report.timed("extract", lambda: stage.put("raw", apply_schema(rows, config.schema)))
             batch = prepare(raw, config, stage, report, lake)
-            report.data["stages"]["load"] = report.timed("load", lambda: load(lake, batch, config, stage))
+            report.data["stages"]["load"] = report.timed("load", lambda: _load(lake, batch, config, stage, rebuild_each))
             report.finish("success")
         except Exception:
             report.finish("failed")
@@ -63,3 +65,22 @@ def start_load(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _load(lake: Lake, batch: DataFrame, config: Config, stage: Stage, rebuild: bool) -> dict:
+    if rebuild:
+        return load(lake, batch, config, stage)
+    return {"new_rows_inserted": load_fact(lake, batch, config.schema.key)}
+
+
+def load_stream(
+    spark: SparkSession, source: str, root: str, checkpoint: str, config: Config = Config(), max_files: int | None = None
+) -> list[str]:
+    """Load all new files, wait, and renew the aggregate tables once from the whole fact."""
+    query = start_load(spark, source, root, checkpoint, config, max_files, rebuild_each=False)
+    query.awaitTermination()
+    lake, stage = Lake(spark, root), Stage(spark, root=root)
+    try:
+        return rebuild_gold(lake, lake.read(FACT), config.schema.key, stage) if lake.exists(FACT) else []
+    finally:
+        stage.clear()

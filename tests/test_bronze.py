@@ -152,6 +152,15 @@ def test_broadcast_form_never_shuffles_the_fact(spark, stage):
     assert df.count() == 10
 
 
+def test_loading_a_small_batch_never_shuffles_the_fact(spark, stage):
+    fact = stage.put("old", spark.range(200000).selectExpr("id AS row_id", "'x' AS v"))
+    batch = stage.put("more", spark.range(199990, 200010).selectExpr("id AS row_id", "'x' AS v"))
+    df = inc.incremental_fact(fact, batch)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert df.count() == 200010
+
+
 def test_broadcast_is_decided_by_measured_size(spark):
     batch = keyed(spark, [(i, "x") for i in range(100)])
     assert inc.fits_broadcast(batch, "row_id")

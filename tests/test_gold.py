@@ -114,6 +114,16 @@ def test_top_products_limits(tables):
             serve.top_products(gold_products, bad)
 
 
+def test_equal_totals_are_put_in_one_order_by_all_keys(spark):
+    rows = [("P", f"name {i % 3}", f"c{i % 2}", f"s{i}", 10.0, -1.0, 1, 0.1, 5.0, 2) for i in range(12)]
+    names = "product_id string, product_name string, category string, sub_category string, total_sales double, " \
+        "total_profit double, total_orders long, avg_discount double, avg_profit_margin double, total_units long"
+    df = spark.createDataFrame(rows, names)
+    for report in (serve.top_products_rounded, serve.bottom_products, serve.loss_products, serve.top_products):
+        picks = {tuple(map(tuple, report(df.repartition(n), 5).collect())) for n in (1, 3, 7)}
+        assert len(picks) == 1
+
+
 def test_top_n_is_not_a_full_sort(tables):
     plan = serve.top_products(tables["product_performance"])._jdf.queryExecution().executedPlan()
     assert "TakeOrderedAndProject" in plan.toString()
