@@ -147,12 +147,25 @@ WITH sized AS (
         THEN max(level) FILTER (level * w <= cap) OVER () * w ELSE CAST(cap AS DOUBLE) END AS target
     FROM leveled
 ), placed AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target,
+    SELECT s.doc_id, s.source, s.h, s.size, t.source_size, t.target,
            sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.size ROWS UNBOUNDED PRECEDING) - s.size AS here
     FROM sized s JOIN wanted t ON s.source IS NOT DISTINCT FROM t.source
+), due AS (
+    SELECT *, CASE WHEN size > 0 THEN (here + size / 2 < target)::INT + (source_size + here + size / 2 < target)::INT
+        + (2 * source_size + here + size / 2 < target)::INT ELSE 0 END AS n
+    FROM placed
+), gapped AS (
+    SELECT *, target - CAST(sum(n * size) OVER (PARTITION BY source) AS DOUBLE) AS gap FROM due
+), offered AS (
+    SELECT *, CASE WHEN size > 0 AND (CASE WHEN gap > 0 THEN n < 3 ELSE n > 0 END) AND abs(size - abs(gap)) < abs(gap)
+        THEN abs(size - abs(gap)) END AS beyond
+    FROM gapped
+), swapped AS (
+    SELECT *, first_value(CASE WHEN beyond IS NOT NULL THEN h END)
+        OVER (PARTITION BY source ORDER BY beyond NULLS LAST, h) AS best
+    FROM offered
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * ((here + size / 2 < target)::INT + (source_size + here + size / 2 < target)::INT
-           + (2 * source_size + here + size / 2 < target)::INT) AS BIGINT) AS taken
-FROM placed""",
+       CAST(size * (n + CASE WHEN h = best THEN sign(gap) ELSE 0 END) AS BIGINT) AS taken
+FROM swapped""",
 }

@@ -36,7 +36,7 @@ def test_targets_are_met_within_a_document(spark):
     wanted = water(sizes)
     for r in rows:
         assert r["target"] == pytest.approx(wanted[r["source"]]) and r["source_size"] == sizes[r["source"]]
-    assert all(abs(taken[s] - wanted[s]) <= most[s] for s in sizes)
+    assert all(abs(taken[s] - wanted[s]) <= most[s] / 4 for s in sizes)
 
 
 def test_a_small_heavy_source_is_full_and_its_excess_shared(spark):

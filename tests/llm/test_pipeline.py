@@ -73,10 +73,18 @@ def test_mix(stages):
         by.setdefault(r.source, []).append((key, n, r.doc_id))
     target, wanted = water(sizes), []
     for source, rows in by.items():
-        at = 0
-        for _, n, key in sorted(rows):
-            wanted += [key for turn in range(3) if n and turn * sizes[source] + at + n / 2 < target[source]]
+        at, due = 0, {}
+        for order, n, key in sorted(rows):
+            due[order] = [sum(turn * sizes[source] + at + n / 2 < target[source] for turn in range(3)) if n else 0, n, key]
             at += n
+        gap = target[source] - sum(c * n for c, n, _ in due.values())
+        near = [
+            (abs(n - abs(gap)), order) for order, (c, n, _) in due.items()
+            if n and (c < 3 if gap > 0 else c > 0) and abs(n - abs(gap)) < abs(gap)
+        ]
+        if near:
+            due[min(near)[1]][0] += 1 if gap > 0 else -1
+        wanted += [key for c, _, key in due.values() for _ in range(c)]
     assert ids(stages[4]) == sorted(wanted)
 
 
