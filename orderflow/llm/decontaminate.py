@@ -25,6 +25,7 @@ from orderflow.llm.common import slices, small_batches, without
 
 WORDS = re.compile(r"\w+").findall
 K1, B = 1.2, 0.75
+SHORT = 8
 MATCH = T.ArrayType(
     T.StructType(
         [
@@ -293,7 +294,9 @@ class Scanner:
             for item, score in self.index.search(terms):
                 there = there or sequences(passage) | sequences(passage, 2) | sequences(passage, 1)
                 question = _share(sequences(self.index.questions[item]), there)
-                answer = _share(sequences(self.index.answers[item]), there)
+                words = self.index.answers[item]
+                # One changed word would break all sequences of a short answer.
+                answer = _share(sequences(words, 3 if len(words) >= SHORT else 1), there)
                 if question >= self.overlap and answer >= self.overlap:
                     rows.append((self.index.ids[item], score, question, answer))
             self.seen[key] = rows

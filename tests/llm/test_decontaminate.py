@@ -91,6 +91,15 @@ def test_the_answer_must_be_there(spark):
     assert dc.question_and_answer("only this") == ("only this", "")
 
 
+def test_a_word_changed_in_a_short_answer_still_counts(spark):
+    question, _, answer = item(3).partition("? ")
+    words = answer.split()
+    words[2] = "changed"
+    docs = documents(spark, [f"{prose(1, 80)} {question}? {' '.join(words)} {prose(2, 80)}"])
+    leak = dc.find_leaks(docs, items_of(spark, [(3, item(3))])).first().leaks[0]
+    assert leak.question_overlap == 1 and leak.answer_overlap == pytest.approx(5 / 6)
+
+
 def test_odd_texts_items_and_clashing_columns(spark):
     docs = documents(spark, ODD + [item(1)]).selectExpr("*", "1 AS leaks", "2 AS _leaks")
     chosen = items_of(spark, [(1, item(1)), (1, item(1)), (2, None), (None, "x y z"), (3, " !? ")])
