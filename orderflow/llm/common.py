@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 # A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = dict.fromkeys(range(0x09, 0x0E), " ")
-LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,8 +107,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def words(text: str | None) -> list[str]:
-    """The words of a text, by the six ASCII white-space characters alone."""
-    return [w for w in (text or "").translate(SPACES).split(" ") if w]

@@ -20,7 +20,6 @@ from orderflow.llm.common import IS_SPACE, doc_crc, hashed_words, slices, small_
 
 PASSAGE = 64
 # Kinds of bytes: space, line end, lower, upper, digit, a kind per common mark, other marks, rest.
-MARKS = b".,!?|*#&$%-:;\"'()/@<>={}[]_\\~^+"
 KINDS = np.full(256, 5, np.uint8)
 KINDS[0x80:] = 6
 for _code, _bytes in enumerate((b" \t\r\v\f", b"\n", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)))):
