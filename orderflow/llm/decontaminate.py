@@ -241,6 +241,11 @@ def _share(wanted: set, there: set) -> float:
     return len(wanted & there) / len(wanted) if wanted else 1.0
 
 
+def _checked(words: list[str]) -> set[tuple[str, ...]]:
+    """What of a question or answer is looked for: one changed word would break all sequences of a short one."""
+    return sequences(words, 3 if len(words) >= SHORT else 1)
+
+
 class Scanner:
     """Finds the items that texts contain; one per task."""
 
@@ -293,10 +298,8 @@ class Scanner:
             there, rows = None, []
             for item, score in self.index.search(terms):
                 there = there or sequences(passage) | sequences(passage, 2) | sequences(passage, 1)
-                question = _share(sequences(self.index.questions[item]), there)
-                words = self.index.answers[item]
-                # One changed word would break all sequences of a short answer.
-                answer = _share(sequences(words, 3 if len(words) >= SHORT else 1), there)
+                question = _share(_checked(self.index.questions[item]), there)
+                answer = _share(_checked(self.index.answers[item]), there)
                 if question >= self.overlap and answer >= self.overlap:
                     rows.append((self.index.ids[item], score, question, answer))
             self.seen[key] = rows

@@ -100,6 +100,17 @@ def test_a_word_changed_in_a_short_answer_still_counts(spark):
     assert leak.question_overlap == 1 and leak.answer_overlap == pytest.approx(5 / 6)
 
 
+@pytest.mark.parametrize("n", [3, 5, 6, 7])
+def test_a_word_changed_in_a_short_question_still_counts(spark, n):
+    question, answer = prose(3, n).split(), prose(4, 14)
+    changed = [*question]
+    changed[n // 2] = "changed"
+    docs = documents(spark, [f"{prose(1, 80)} {' '.join(changed)}? {answer}. {prose(2, 80)}"])
+    chosen = items_of(spark, [(3, f"{' '.join(question)}? {answer.capitalize()}.")])
+    leak = dc.find_leaks(docs, chosen).first().leaks[0]
+    assert leak.answer_overlap == 1 and leak.question_overlap == pytest.approx((n - 1) / n)
+
+
 def test_odd_texts_items_and_clashing_columns(spark):
     docs = documents(spark, ODD + [item(1)]).selectExpr("*", "1 AS leaks", "2 AS _leaks")
     chosen = items_of(spark, [(1, item(1)), (1, item(1)), (2, None), (None, "x y z"), (3, " !? ")])
