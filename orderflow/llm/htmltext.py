@@ -155,25 +155,28 @@ def template(pages: list[Page], least: int = 2) -> dict[tuple, int]:
     that occurs once a page keeps the tokens in a common order; one that repeats must go round
     its tokens in turn on every page, within one slot of those found before it.
     """
+    places: list[dict[tuple, list[int]]] = []
     vectors: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for i, page in enumerate(pages):
-        for name, n in Counter(page.names).items():
-            vectors[name].append((i, n))
+        places.append(where := defaultdict(list))
+        for place, name in enumerate(page.names):
+            where[name].append(place)
+        for name, at in where.items():
+            vectors[name].append((i, len(at)))
     frequent = max(least, -(-len(pages) // 2))
     classes = defaultdict(list)
     for name, vector in vectors.items():
         if len(vector) >= frequent:
             classes[tuple(vector)].append(name)
     found: dict[tuple, int] = {}
+    outer: list[list[tuple[int, tuple]]] = [[] for _ in pages]
     ranked = sorted(classes.items(), key=lambda c: (sum(n for _, n in c[0]) / len(c[0]), -len(c[0]), -len(c[1])))
     for vector, members in ranked:
         if len(members) < 2:
             continue
-        wanted = set(members)
-        rounds = []
-        for i, _ in vector:
-            rounds.append([name for name in pages[i].names if name in wanted])
-        if all(n == 1 for _, n in vector):
+        rounds = [[name for _, name in _placed(places[i], members)] for i, _ in vector]
+        once = all(n == 1 for _, n in vector)
+        if once:
             number = {m: k for k, m in enumerate(rounds[0])}
             order = [rounds[0][k] for k in _in_order([[number[m] for m in r] for r in rounds])]
             if len(order) < 2:
@@ -184,28 +187,38 @@ def template(pages: list[Page], least: int = 2) -> dict[tuple, int]:
             if any(r != order * (len(r) // size) for r in rounds):
                 continue
         # Nested: from its first to its last token in a round, no outer token of another slot.
-        if found and not _nested(pages, [i for i, _ in vector], order, found, all(n == 1 for _, n in vector)):
+        if found and not _nested(places, [i for i, _ in vector], order, outer, once):
             continue
         depth = max(found.values(), default=0) + 1
         found.update((m, depth) for m in order)
+        for i, _ in vector:
+            outer[i] = sorted(outer[i] + _placed(places[i], order))
     return found
 
 
-def _nested(pages: list[Page], where: list[int], order: list[tuple], outer: dict[tuple, int], once: bool) -> bool:
+def _placed(where: dict[tuple, list[int]], members: list[tuple]) -> list[tuple[int, tuple]]:
+    """The members' places on a page, in page order."""
+    return sorted((place, m) for m in members for place in where[m])
+
+
+def _nested(
+    places: list[dict[tuple, list[int]]], where: list[int], order: list[tuple], outer: list[list[tuple[int, tuple]]], once: bool
+) -> bool:
+    """Whether each round of the class lies within one slot of ``outer``, on every page."""
     slots = set()
-    wanted = set(order)
-    for i in where[:8]:
-        before, start = None, None
-        for name in pages[i].names:
-            if name in wanted:
-                if name == order[0]:
-                    start = before
-                elif start != before:
-                    return False
-            elif name in outer:
-                before = name
+    for i in where:
+        start = None
+        for place, name in _placed(places[i], order):
+            at = bisect_left(outer[i], (place,))
+            before = outer[i][at - 1][1] if at else None
+            if name == order[0]:
+                start = before
+            elif start != before:
+                return False
         slots.add(start)
-    return not once or len(slots) == 1
+        if once and len(slots) > 1:
+            return False
+    return True
 
 
 @dataclass(slots=True)

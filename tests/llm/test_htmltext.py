@@ -67,6 +67,15 @@ def test_tokens_out_of_order_leave_the_class():
     assert kept[0] == "<" and kept[-1] == "</" and {"a", "d"} < set(kept) and len({"b", "c"} & set(kept)) == 1
 
 
+def test_a_class_that_crosses_a_slot_on_a_late_page_is_not_nested():
+    """c and d stand between a and b on the first pages, and on both sides of b from the eleventh on."""
+    inside, across = "<p>a c d b</p>", "<p>a c b d</p>"
+    # c and d are not on the last page, so they are a class apart from a and b.
+    pages = [htmltext.parse(t) for t in [inside] * 10 + [across] * 4 + ["<p>a b</p>"]]
+    found = htmltext.template(pages)
+    assert {(">p", "a"), (">p", "b")} <= set(found) and not {(">p", "c"), (">p", "d")} & set(found)
+
+
 def run(spark, rows, **options):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {r.page_id: r.text for r in htmltext.main_text(pages, **options).collect()}
