@@ -4,8 +4,10 @@ Pages of one host are compared in groups.  A token is a tag or a word together w
 elements it stands in; its occurrence vector says how often it occurs on each page.  Tokens
 with the same vector form an equivalence class.  Classes that are large and frequent enough, in
 the same order on every page and not crossing each other are nested into the template.  What
-lies between neighbouring template tokens is a slot; the slots that hold the article are
-extracted, whole, and all others are dropped.
+lies between neighbouring template tokens is a slot.  A word's role is told apart by the block of
+text it stands in, so blocks that most pages have alike are template too, whatever their labels,
+and are dropped.  Among slots that vary, labels decide first, then richness in words; the slots
+that hold the article are extracted, whole.
 """
 
 from __future__ import annotations
@@ -83,21 +85,29 @@ class Page:
 
     names: list[tuple]
     texts: list[tuple[int, int, Element, str]]  # place of the first word, block, element, text
+    units: list[tuple[int, int]]  # of each text: its block if a line break ended none, and its words
+    blocks: dict[int, tuple[str, str]]  # path and text of each such block
 
 
 def parse(html: str) -> Page:
-    stack, names, texts, block = [ROOT], [], [], 0
+    stack, names, texts, units, block, unit = [ROOT], [], [], [], 0, 0
+    parts: dict[int, list[str]] = {}
     for match in TOKEN.finditer(html):
         raw, closing, name, attributes, text = match.groups()
         if text is not None:
             text = entities.unescape(text)
             here = stack[-1]
             texts.append((len(names), block, here, text))
-            names.extend((here.path, w) for w in text.split())
+            words = text.split()
+            units.append((unit, len(words)))
+            if words:
+                names.extend([(here.path, w) for w in words])
+                parts.setdefault(unit, [here.block]).append(text)
         elif name:
             name = name.lower()
             if name not in INLINE:
                 block += 1
+                unit += name != "br"
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
@@ -113,7 +123,8 @@ def parse(html: str) -> Page:
                     stack.append(opened)
         elif raw:
             names.append((f"{stack[-1].path}>{raw.lower()}", "<>"))
-    return Page(names, texts)
+    blocks = {unit: (path, "".join(rest).strip()) for unit, (path, *rest) in parts.items()}
+    return Page(names, texts, units, blocks)
 
 
 def _close_implied(name: str, stack: list[Element]) -> None:
@@ -242,33 +253,52 @@ def extract(group: list[str]) -> list[str]:
     """The main text of each page of a group of pages of one host.
 
     A slot is named by the template's block tag before it and the block elements around the text.
-    A page keeps its slots of the highest rank, whole.
+    A page keeps its slots of the highest rank, whole but for the template's own blocks of text.
     """
     pages = [parse(h) for h in group]
     distinct = list({tuple(p.names): p for p in pages}.values())
     fixed = template(distinct) if len(distinct) > 2 else {}
+    standing = _standing(distinct)
     slots: dict[tuple, Slot] = {}
     slotted = []
     for page in pages:
         marks = [i for i, name in enumerate(page.names) if name[1] in BLOCK_TAGS and name in fixed]
         rows = []
-        for place, block, element, text in page.texts:
+        for (place, block, element, text), (unit, n) in zip(page.texts, page.units):
             at = bisect_left(marks, place)
             slot = slots.setdefault((page.names[marks[at - 1]] if at else None, element.block), Slot(element))
-            n = len(text.split())
-            slot.words += n
-            slot.linked += n * element.link
+            known = bool(standing) and page.blocks.get(unit) in standing
+            if not known:
+                slot.words += n
+                slot.linked += n * element.link
             if n or block:
-                rows.append((slot, block, text))
+                rows.append((slot, block, text, known))
         slotted.append(rows)
     richest = max((s.words - s.linked for s in slots.values() if not s.element.aside), default=0)
     return [_joined(rows, richest) for rows in slotted]
 
 
-def _joined(rows: list[tuple[Slot, int, str]], richest: int) -> str:
-    best = max((slot.rank(richest) for slot, _, text in rows if text.strip()), default=0)
+def _standing(pages: list[Page], least: int = 3) -> frozenset[tuple[str, str]]:
+    """Blocks of text that are template: alike on half of the different pages, three at least.
+
+    The words of such a block occur on the same pages, once for each time the block does and in
+    its order: told apart from equal words elsewhere, they are a valid class.
+    """
+    if len(pages) < least:
+        return frozenset()
+    frequent = max(least, -(-len(pages) // 2))
+    seen = Counter(block for page in pages for block in set(page.blocks.values()))
+    return frozenset(block for block, n in seen.items() if n >= frequent)
+
+
+def _joined(rows: list[tuple[Slot, int, str, bool]], richest: int) -> str:
+    """The page's best slots without blocks of the template; with them if it has nothing else there."""
+    for rows in ([row for row in rows if not row[3]], rows):
+        best = max((slot.rank(richest) for slot, _, text, _ in rows if text.strip()), default=0)
+        if best:
+            break
     blocks: dict[int, list[str]] = {}
-    for slot, block, text in rows:
+    for slot, block, text, _ in rows:
         if best and slot.rank(richest) == best:
             blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())

@@ -76,6 +76,27 @@ def test_a_class_that_crosses_a_slot_on_a_late_page_is_not_nested():
     assert {(">p", "a"), (">p", "b")} <= set(found) and not {(">p", "c"), (">p", "d")} & set(found)
 
 
+NOTICE = "Readers may <b>write</b> to the editors about anything that is printed here and shall be answered soon"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("n", [4, 12])
+def test_what_stands_on_all_pages_is_dropped_without_a_label(tag, n):
+    """A notice, a byline and a share line inside the article, and a box of many words beside it."""
+    made = [body(i, tag) for i in range(n)]
+    inside = [
+        html.replace("<p><b>", f"<p>By the same hand</p><p>{NOTICE}</p><p><b>", 1).replace(f"</{tag}>", f"<p>Pass it on</p></{tag}>")
+        for html, _ in made
+    ]
+    pages = [page(i, f"<div class=x1>{f'<p>{NOTICE}</p>' * 9}</div>{html}") for i, html in enumerate(inside)]
+    assert htmltext.extract(pages) == [t for _, t in made]
+
+
+def test_an_article_that_only_repeats_stays():
+    pages = [page(i, "<article><p>one text</p><p>on all pages</p></article>") for i in range(6)]
+    assert htmltext.extract(pages) == ["one text on all pages"] * 6
+
+
 def run(spark, rows, **options):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     return {r.page_id: r.text for r in htmltext.main_text(pages, **options).collect()}
