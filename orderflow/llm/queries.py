@@ -28,6 +28,12 @@ def mixed(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per copy the mix takes, with its time and its place in the training order."""
+    found = mixing.mix(table(spark, folder, "documents")).select("doc_id", "source", "size", "positions")
+    return mixing.training_ranks(found, "source", "doc_id").select("doc_id", "source", "size", "position", "rank")
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = Stage(spark).path("tokens")
     tokenfiles.write_tokens(table(spark, folder, "documents"), path, tokenizer_path())
@@ -83,6 +89,7 @@ QUERIES = {
     "op7_token_files": token_files,
     "op8_class_lm": class_lm_scores,
     "op9_curriculum_mix": mixed,
+    "op9_training_order": training_order,
     "op10_jaccard_join": similar_documents,
 }
 

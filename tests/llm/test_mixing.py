@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 from helpers import ODD, documents, prose, words
 from orderflow.llm import mixing
+from orderflow.llm.queries import QUERIES
 
 
 def water(sizes, weights=(5, 2, 1), limit=3):
@@ -84,3 +85,26 @@ def test_of_repeated_rows_one_makes_up_the_gap(spark):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     assert len(found) == len(rows) and all(abs(taken[s] - target[s]) <= 30 for s in target)
+
+
+def test_the_training_order_is_registered_with_ranks(spark, tmp_path):
+    """Every taken copy once, at the time its source's schedule gives it, ranked by that time."""
+    docs = documents(spark, [prose(i, 1 + i % 23) for i in range(300)], ("a", "b", "c", "d"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [r.asDict() for r in QUERIES["op9_training_order"](spark, str(tmp_path)).collect()]
+    rows.sort(key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(len(rows)))
+    order = [(r["position"], r["source"], r["doc_id"]) for r in rows]
+    assert order == sorted(order)
+    taken, target = defaultdict(int), {}
+    for r in run(docs):
+        taken[r["doc_id"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    copied = defaultdict(int)
+    for r in rows:
+        copied[r["doc_id"]] += r["size"]
+    assert copied == {k: n for k, n in taken.items() if n}
+    for source, slope in (("a", 0.5), ("b", -0.5), ("c", 0.0), ("d", 0.5)):
+        own = [r for r in rows if r["source"] == source]
+        half = sum(r["size"] for r in own if r["position"] < 0.5) / target[source]
+        assert half == pytest.approx((1 - slope) / 2 + slope / 4, abs=0.05)
