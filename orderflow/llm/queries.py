@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import classlm, decontaminate, htmltext, jaccard, mixing, onebit, quality, sharding, tokenfiles, warc
+from orderflow.llm import bincompletion, classlm, decontaminate, htmltext, jaccard, mixing, onebit, parttrie, quality
+from orderflow.llm import sharding, shallot, tokenfiles, vectorsql, warc
 from orderflow.llm.common import doc_crc, table
 from orderflow.session import Stage
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -79,6 +81,21 @@ def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, folder, "pages")), keep=["page_id"])
 
 
+def part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = parttrie.compress(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return shallot.cluster(table(spark, folder, "embeddings"))
+
+
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = bincompletion.pack(docs, tokenizer_path(WORD_TOKENIZER), keep_tokens=False)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_decontamination": leaked_items,
     "op2_html_templates": page_texts,
@@ -91,6 +108,9 @@ QUERIES = {
     "op9_curriculum_mix": mixed,
     "op9_training_order": training_order,
     "op10_jaccard_join": similar_documents,
+    "op11_part_trie": part_codes,
+    "op12_shallot_clusters": clusters,
+    "op13_bin_completion": packed,
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -108,6 +128,8 @@ CRC = (
 )
 
 ORACLE = {
+    "op11_part_trie": vectorsql.part_codes(),
+    "op12_shallot_clusters": vectorsql.clusters(),
     # Order by (hash of the text, hash of the id), then place each middle byte; crc32 comes from
     # a table the bytes of the text are folded through.
     "op3_sampled_splitters": f"""

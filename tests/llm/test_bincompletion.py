@@ -1,0 +1,168 @@
+import random
+import zlib
+from array import array
+from collections import Counter
+from hashlib import blake2b
+
+import numpy as np
+import pytest
+from helpers import DOCS, ODD, documents, prose
+from orderflow.llm import bincompletion as packing
+from orderflow.llm.queries import WORD_TOKENIZER, tokenizer_path
+
+PATH = tokenizer_path(WORD_TOKENIZER)
+
+
+def fewest(items, capacity):
+    """By all subsets: the least number of sequences."""
+    best = [(0, capacity)] + [None] * (2 ** len(items) - 1)
+    for chosen in range(1, len(best)):
+        options = []
+        for i, size in enumerate(items):
+            if chosen >> i & 1:
+                bins, full = best[chosen ^ 1 << i]
+                options.append((bins, full + size) if full + size <= capacity else (bins + 1, size))
+        best[chosen] = min(options)
+    return best[-1][0]
+
+
+def contents(found, capacity):
+    """All pieces of a packing, each sequence of which fits."""
+    out = Counter()
+    for filling, times in found:
+        assert sum(a * n for a, n in filling) <= capacity
+        for a, n in filling:
+            out[a] += n * times
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_search_finds_the_fewest(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 20, 31, 50, 100])
+    low = rng.choice([1, capacity // 5 + 1, capacity // 4])
+    items = [rng.randint(low, capacity * 3 // 5) for _ in range(rng.randint(1, 12))]
+    counts = np.bincount(items, minlength=capacity + 1)
+    greedy = packing.best_fit_decreasing(counts, capacity)
+    bins = sum(n for _, n in greedy)
+    assert contents(greedy, capacity) == Counter(items)
+    wanted = fewest(items, capacity)
+    assert packing.lower_bound(counts, capacity) <= wanted <= bins
+    found = packing.search(counts, capacity, [], bins, nodes=4000, width=20000)
+    assert min(bins, found.bins) == wanted and found.whole
+    if found.packing:
+        assert contents(found.packing, capacity) == Counter(items)
+
+
+def test_best_fit_by_counts_is_best_fit_piece_by_piece():
+    rng = random.Random(3)
+    items = sorted((rng.randint(1, 300) for _ in range(3000)), reverse=True)
+    rooms = []
+    for size in items:
+        fits = [r for r in rooms if r >= size]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 1000) - size)
+    found = packing.best_fit_decreasing(np.bincount(items, minlength=1001), 1000)
+    assert sum(n for _, n in found) == len(rooms)
+    left = Counter()
+    for filling, n in found:
+        left[1000 - sum(a * k for a, k in filling)] += n
+    assert left == Counter(rooms)
+
+
+def test_branches_on_tasks_beat_best_fit(spark):
+    """Two of 6 and four of 4 fill two and a bit by best fit; completion finds the better way."""
+    items = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6] * 7 + [27, 23, 25, 25]
+    counts = np.bincount(items, minlength=61)
+    for capacity in range(60, 45, -1):
+        greedy = sum(n for _, n in packing.best_fit_decreasing(counts[: capacity + 1], capacity))
+        found = packing.best_packing(spark, counts[: capacity + 1], capacity, nodes=200, width=3000, branches=8)
+        assert contents(found, capacity) == Counter(items)
+        assert packing.lower_bound(counts[: capacity + 1], capacity) <= sum(n for _, n in found) <= greedy
+
+
+def test_branches_improve_the_incumbent(spark):
+    rng, improved = random.Random(11), 0
+    for _ in range(40):
+        items = [rng.randint(20, 60) for _ in range(12)]
+        counts = np.bincount(items, minlength=101)
+        greedy = sum(n for _, n in packing.best_fit_decreasing(counts, 100))
+        if greedy > packing.lower_bound(counts, 100):
+            found = packing.best_packing(spark, counts, 100, nodes=2000, width=20000, branches=64)
+            assert contents(found, 100) == Counter(items)
+            assert sum(n for _, n in found) == fewest(items, 100)
+            improved += sum(n for _, n in found) < greedy
+    assert improved
+
+
+def check(rows, texts, capacity, end_id=0):
+    """Whole documents in gapless sequences, ids as the tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(PATH).encode
+    wanted = Counter()
+    for key, text in texts:
+        ids = [*encode(text or "", add_special_tokens=False).ids, end_id]
+        for piece, start in enumerate(range(0, len(ids), capacity)):
+            part = ids[start : start + capacity]
+            wanted[(key, piece, start, len(part), zlib.crc32(array("I", part).tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in by_sequence.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))]
+        assert sum(n for _, n in held) <= capacity
+    return len(by_sequence)
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 2048])
+def test_odd_texts_are_packed_whole(spark, capacity):
+    texts = [*ODD, *[prose(i, 3 + 7 * i) for i in range(30)], "Don't <|endoftext|> ΣΑΣ é \x1c　x", *["again and again"] * 50]
+    docs = documents(spark, texts).repartition(5)
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = packing.pack(docs, PATH, capacity=capacity).collect()
+    sequences = check(rows, pairs, capacity)
+    counts = np.bincount([r.length for r in rows], minlength=capacity + 1)
+    assert packing.lower_bound(counts, capacity) <= sequences <= packing.lower_bound(counts, capacity) + 1
+
+
+def test_sequences_hold_their_pieces_in_order(spark):
+    docs = documents(spark, [prose(i, 20 + i) for i in range(25)]).repartition(3)
+    packed = packing.pack(docs, PATH, capacity=100)
+    at = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    for r in packed.collect():
+        sequence = at[r.sequence_id]
+        assert sequence.tokens[r.offset : r.offset + r.length] == r.tokens
+        assert zlib.crc32(array("I", r.tokens).tobytes()) == r.ids_crc32
+        assert (r.offset, r.doc_id, r.piece, r.length) in [tuple(p) for p in sequence.pieces]
+
+
+def test_clashing_columns_are_ignored_and_an_empty_table_is_packed(spark):
+    names = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "nth", "tokens", "rank", "before", "n", "key", "body"]
+    texts = [(i, prose(i, 30)) for i in range(8)]
+    frame = spark.createDataFrame([(*t, *[0] * len(names)) for t in texts], "doc_id long, text string" + "".join(f", {n} int" for n in names))
+    check(packing.pack(frame, PATH, keep_tokens=False).collect(), texts, 2048)
+    assert packing.pack(spark.createDataFrame([], DOCS), PATH).collect() == []
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = tokenizer_path()
+    assert packing.drops_white_space(PATH) and not packing.drops_white_space(path)
+    docs = documents(spark, ["two  words", "a\tb"])
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(path).encode
+    for r, text in zip(packing.pack(docs, path).orderBy("doc_id").collect(), ["two  words", "a\tb"]):
+        assert r.tokens == [*encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_words_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    encoder = packing.Encoder(PATH, 0)
+    texts = [prose(i, 300) for i in range(6)]
+    whole = [encoder.words.whole(t) + encoder.end for t in texts]
+    assert encoder(texts) == whole and len(encoder.words) < 150
+    assert blake2b(b"".join(encoder(texts[::-1])[::-1])).digest() == blake2b(b"".join(whole)).digest()
