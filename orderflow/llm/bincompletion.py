@@ -4,7 +4,7 @@ How many pieces there are of each length is all a packing depends on, and that t
 rows than a sequence has tokens.  A best-fit decreasing packing of it is the incumbent.  Where the
 incumbent misses the lower bound, a branch-and-bound takes the largest length left, enumerates the
 fillings around it that no other filling dominates, fullest first, and leaves a branch as soon as
-its waste shows that it cannot beat the incumbent.  Branches are searched by Spark tasks.  The best
+its waste shows that it cannot beat the incumbent.  Spark tasks search, several branches at once.  The best
 plan says which ranks of each length go into which sequences; each piece finds its place from its
 rank among the pieces of its length.
 """
@@ -17,6 +17,7 @@ import re
 import string
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -92,37 +93,50 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Packing:
 # --- completions ---------------------------------------------------------------------------
 
 
-def completions(counts: np.ndarray, room: int, waste: int, most: int) -> tuple[list[Filling], bool]:
+def completions(counts: np.ndarray, room: int, waste: int, most: int, enough: int) -> tuple[list[Filling], bool]:
     """Undominated fillings of ``room`` that leave at most ``waste`` empty, fullest first.
 
     Filling a is dominated by b if a's pieces can be packed into places of the size of b's: then
     b is never worse.  So a filling goes if a piece that is left would still fit, if some of its
     pieces could be exchanged for a single longer one, or two and more for one of their sum.
-    ``most`` bounds the steps; the second result tells whether all fillings were seen.
+    The work ends after ``most`` steps or with ``enough`` fillings that leave nothing empty; the
+    second result tells whether all fillings were seen.
     """
-    lengths = [x for x in np.flatnonzero(counts[: room + 1])[::-1].tolist() if x]
-    tokens = [*np.cumsum([int(counts[x]) * x for x in lengths][::-1])[::-1].tolist(), 0]
+    there = np.flatnonzero(counts[: room + 1]).tolist()
+    there = there[1:] if there and not there[0] else there
+    held = {x: int(counts[x]) for x in there}
+    lengths, falling = there[::-1], [-x for x in there[::-1]]
+    tokens = [*np.cumsum([held[x] * x for x in there])[::-1].tolist(), 0]
     found: list[Filling] = []
-    steps = 0
+    steps = exact = 0
+
+    def keep(filling: Filling, left: int) -> None:
+        nonlocal exact
+        if left <= waste and not dominated(filling, held, there, left):
+            found.append(filling)
+            exact += not left
 
     def grow(at: int, left: int, filling: Filling) -> None:
         nonlocal steps
         steps += 1
-        if left <= waste and not dominated(filling, counts, left):
-            found.append(filling)
-        for i in range(at, len(lengths)):
-            if steps > most or left - tokens[i] > waste:
-                return  # even all that is left would waste too much
+        keep(filling, left)
+        first = bisect_left(falling, -left, at)
+        if first < len(lengths) and lengths[first] == left:
+            keep((*filling, (left, 1)), 0)  # one piece that fills what is left
+            first += 1
+        for i in range(first, len(lengths)):
+            if steps > most or exact >= enough or left - tokens[i] > waste:
+                return  # in the last case even all shorter pieces would waste too much
             length = lengths[i]
-            for times in range(min(left // length, int(counts[length])), 0, -1):
+            for times in range(min(left // length, held[length]), 0, -1):
                 grow(i + 1, left - times * length, (*filling, (length, times)))
 
     grow(0, room, ())
     order = sorted(found, key=lambda f: (-sum(a * n for a, n in f), sum(n for _, n in f), f))
-    return order, steps <= most
+    return order, steps <= most and exact < enough
 
 
-def dominated(filling: Filling, counts: np.ndarray, slack: int) -> bool:
+def dominated(filling: Filling, held: dict[int, int], there: list[int], slack: int) -> bool:
     """Whether a piece that is left could be added, or stand for pieces that are no longer in all."""
     used, sums = dict(filling), {0: 0}
     for length, times in filling:  # reachable sums, each with the most pieces that make it
@@ -130,92 +144,109 @@ def dominated(filling: Filling, counts: np.ndarray, slack: int) -> bool:
             for k in range(1, times + 1):
                 at = total + k * length
                 sums[at] = max(sums.get(at, 0), pieces + k)
-    left = counts.copy()
-    for length, times in filling:
-        left[length] -= times
-    there = np.flatnonzero(left > 0)
     for total, pieces in sums.items():
         # A single piece is no reason to exchange one of its own length.
-        first = total if pieces > 1 else total + 1
-        at = np.searchsorted(there, max(first, 1))
-        if at < len(there) and there[at] <= total + slack:
-            return True
+        at = bisect_left(there, total if pieces > 1 else total + 1)
+        while at < len(there) and there[at] <= total + slack:
+            if held[there[at]] > used.get(there[at], 0):
+                return True
+            at += 1
     return False
 
 
+class Effort(NamedTuple):
+    """How far a search goes; a packing is whole whatever these are."""
+
+    nodes: int = 8000  # visits
+    steps: int = 100  # fillings looked at in a visit
+    enough: int = 2  # full ones that end a visit's look
+
+
 class Found(NamedTuple):
     bins: int
     packing: Packing
     whole: bool  # nothing was left out, so no packing is better
 
 
-def search(counts: np.ndarray, capacity: int, begun: Packing, best: int, nodes: int, width: int) -> Found:
+def search(counts: np.ndarray, capacity: int, begun: Packing, best: int, effort: Effort) -> Found:
     """Bin completion below ``begun``: the best packing of fewer than ``best`` sequences.
 
     Equal sequences are branched on together: a filling is taken as often as it can be, then less
     often.  What is left to pack decides the rest of a branch, so the same remainder is not
-    visited again with as many sequences.  ``nodes`` and ``width`` bound the work.
+    visited again with as many sequences.  Now and then the remainder is packed by best fit, which
+    may be the next incumbent.
     """
     counts = counts.astype(np.int64)
-    total = int((counts * np.arange(capacity + 1)).sum())
-    path: Packing = list(begun)
-    least = lower_bound(counts, capacity)
+    total, least = int((counts * np.arange(capacity + 1)).sum()), lower_bound(counts, capacity)
     known: dict[bytes, int] = {}
-    out = {"bins": best, "packing": [], "whole": True, "left": nodes}
+    packing, whole, visits = [], True, 0
 
     def take(filling: Filling, times: int) -> None:
         for length, n in filling:
             counts[length] -= n * times
 
-    def visit(bins: int, waste: int) -> None:
-        if bins + lower_bound(counts, capacity) >= out["bins"]:
-            return
-        # What is left, packed by best fit, may already be the next incumbent.
-        rest = best_fit_decreasing(counts, capacity)
-        if bins + sum(n for _, n in rest) < out["bins"]:
-            out["bins"], out["packing"] = bins + sum(n for _, n in rest), [*path, *rest]
+    def spare(filling: Filling) -> int:
+        return capacity - sum(a * n for a, n in filling)
+
+    def choices(bins: int, waste: int) -> Iterator[tuple[Filling, int]]:
+        """What a node branches into; nothing where no better packing can be below it."""
+        nonlocal best, packing, whole, visits
+        visits += 1
         there = np.flatnonzero(counts)
-        if not len(there) or out["bins"] <= least:
+        if bins + lower_bound(counts, capacity) >= best:
+            return
+        if not len(there):
+            best, packing = bins, list(path)
             return
         state = blake2b(counts.tobytes(), digest_size=16).digest()
         if known.get(state, bins + 1) <= bins:
             return
         known[state] = bins
-        if out["left"] <= 0:
-            out["whole"] = False
-            return
-        out["left"] -= 1
+        if visits % 256 == 1:
+            rest = best_fit_decreasing(counts, capacity)
+            if bins + sum(n for _, n in rest) < best:
+                best, packing = bins + sum(n for _, n in rest), [*path, *rest]
         largest = int(there[-1])
-        allowed = (out["bins"] - 1) * capacity - total - waste  # for a packing that is better
         counts[largest] -= 1
-        options, all_seen = completions(counts, capacity - largest, allowed, width)
+        room, allowed = capacity - largest, (best - 1) * capacity - total - waste
+        options, all_seen = completions(counts, room, allowed, effort.steps, effort.enough)
         counts[largest] += 1
-        out["whole"] &= all_seen
-        for inner in options:
-            filling = _with(inner, largest)
-            spare = capacity - sum(a * n for a, n in filling)
+        whole &= all_seen
+        for filling in (_with(f, largest) for f in options):
             times = min(int(counts[a]) // n for a, n in filling)
             # A single filling that nothing dominates is never worse than another one.
             fewest = times - 1 if all_seen and len(options) == 1 else 0
-            for m in range(times, fewest, -1):
-                # A better incumbent found meanwhile leaves less to waste.
-                if waste + spare * m > (out["bins"] - 1) * capacity - total:
-                    continue
-                take(filling, m)
-                path.append((filling, m))
-                visit(bins + m, waste + spare * m)
-                path.pop()
-                take(filling, -m)
-                if out["bins"] <= least:
-                    return
-                if out["left"] <= 0:
-                    out["whole"] = False
-                    return
-
+            while times > fewest:
+                if empty := spare(filling):  # no more of them than a better packing may waste
+                    times = min(times, ((best - 1) * capacity - total - waste) // empty)
+                if times > fewest:
+                    yield filling, times
+                times -= 1
+
+    path: Packing = []
     for filling, times in begun:
         take(filling, times)
-    visit(sum(n for _, n in begun), sum((capacity - sum(a * k for a, k in f)) * n for f, n in begun))
-    return Found(out["bins"], out["packing"], out["whole"] or out["bins"] <= least)
+        path.append((filling, times))
+    bins, waste = sum(n for _, n in path), sum(spare(f) * n for f, n in path)
+    stack = [choices(bins, waste)]
+    while stack and best > least:
+        if visits >= effort.nodes:
+            whole = False
+            break
+        chosen = next(stack[-1], None)
+        if chosen is None:
+            stack.pop()
+            if stack:
+                filling, m = path.pop()
+                take(filling, -m)
+                bins, waste = bins - m, waste - spare(filling) * m
+            continue
+        filling, m = chosen
+        take(filling, m)
+        path.append(chosen)
+        bins, waste = bins + m, waste + spare(filling) * m
+        stack.append(choices(bins, waste))
+    return Found(best, packing, whole or best <= least)
 
 
 def _with(filling: Filling, length: int) -> Filling:
@@ -225,55 +256,59 @@ def _with(filling: Filling, length: int) -> Filling:
     return ((length, 1), *filling)
 
 
-def best_packing(spark: SparkSession, counts: np.ndarray, capacity: int, nodes: int, width: int, branches: int) -> Packing:
-    """The incumbent, or a better packing from bin completion if the bound leaves room for one.
+def best_packing(spark: SparkSession, counts: np.ndarray, capacity: int, effort: Effort, branches: int) -> Packing:
+    """The best fit decreasing packing, or a better one where the bound leaves room for it.
 
-    Lengths with a single filling are packed at once.  The choices for the next one, a filling and
-    how often it is taken, are branches that Spark tasks search at the same time.
+    One task dives first, since the first way down often reaches the bound.  If it does not, the
+    choices for the first length that has some, a filling and how often it is taken, are
+    branches that Spark tasks search at the same time.
     """
     packing = best_fit_decreasing(counts, capacity)
-    bins = sum(n for _, n in packing)
-    if bins <= lower_bound(counts, capacity):
-        return packing
-    waste, begun, rest, options = (bins - 1) * capacity - int((counts * np.arange(capacity + 1)).sum()), [], counts.copy(), []
-    while len(options) < 2 and rest.any():
+    least = lower_bound(counts, capacity)
+
+    def tried(starts: list[Packing], packing: Packing) -> Packing:
+        bins = sum(n for _, n in packing)
+
+        def explore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column(0).to_pylist():
+                    found = search(counts, capacity, starts[number], bins, effort)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), pa.array([found.bins]), pa.array([json.dumps(found.packing)])],
+                        ["branch", "bins", "packing"],
+                    )
+
+        rows = spark.range(len(starts), numPartitions=len(starts))
+        won = rows.mapInArrow(explore, "branch long, bins long, packing string").orderBy("bins", "branch").first()
+        if won["bins"] >= bins:
+            return packing
+        return [(tuple(map(tuple, filling)), n) for filling, n in json.loads(won["packing"])]
+
+    for starts in (lambda: [[]], lambda: first_choices(counts, capacity, packing, effort, branches)):
+        if sum(n for _, n in packing) > least and (found := starts()):
+            packing = tried(found, packing)
+    return packing
+
+
+def first_choices(counts: np.ndarray, capacity: int, packing: Packing, effort: Effort, branches: int) -> list[Packing]:
+    """Ways to begin: what has a single filling is packed, then each filling of the next length."""
+    rest, begun = counts.copy(), []
+    waste = (sum(n for _, n in packing) - 1) * capacity - int((counts * np.arange(capacity + 1)).sum())
+    while rest.any():
         largest = int(np.flatnonzero(rest)[-1])
         rest[largest] -= 1
-        inner, all_seen = completions(rest, capacity - largest, waste, width)
+        inner, all_seen = completions(rest, capacity - largest, waste, effort.steps, effort.enough)
         rest[largest] += 1
-        options = [_with(f, largest) for f in inner]
-        if not options:
-            return packing
-        if len(options) == 1 and all_seen:
-            times = min(int(rest[a]) // n for a, n in options[0])
-            begun.append((options[0], times))
-            waste -= times * (capacity - sum(a * n for a, n in options[0]))
-            for a, n in options[0]:
-                rest[a] -= n * times
-        elif len(options) == 1:
-            break
-    if not rest.any():
-        return begun  # within the waste of a better packing throughout
-    most = [(f, min(int(rest[a]) // n for a, n in f)) for f in options]
-    less = range(max((times for _, times in most), default=0))
-    starts = list(islice(([*begun, (f, times - j)] for j in less for f, times in most if times > j), branches))
-    if not starts:
-        return packing
-
-    def explore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number in batch.column(0).to_pylist():
-                found = search(counts, capacity, starts[number], bins, nodes, width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([found.bins]), pa.array([json.dumps(found.packing)])],
-                    ["branch", "bins", "packing"],
-                )
-
-    tried = spark.range(len(starts), numPartitions=len(starts)).mapInArrow(explore, "branch long, bins long, packing string")
-    won = tried.orderBy("bins", "branch").first()
-    if won["bins"] >= bins:
-        return packing
-    return [(tuple(map(tuple, filling)), n) for filling, n in json.loads(won["packing"])]
+        most = [(f, min(int(rest[a]) // n for a, n in f)) for f in (_with(f, largest) for f in inner)]
+        if len(most) != 1 or not all_seen:
+            less = range(max((times for _, times in most), default=0))
+            return list(islice(([*begun, (f, times - j)] for j in less for f, times in most if times > j), branches))
+        begun += most
+        filling, times = most[0]
+        waste -= times * (capacity - sum(a * n for a, n in filling))
+        for a, n in filling:
+            rest[a] -= n * times
+    return [begun]
 
 
 # --- pieces --------------------------------------------------------------------------------
@@ -454,9 +489,8 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     keep_tokens: bool = True,
-    nodes: int = 60,
-    width: int = 2000,
-    branches: int = 24,
+    effort: Effort = Effort(),
+    branches: int = 12,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, tokens]) per piece.
 
@@ -465,9 +499,8 @@ def pack(
     documents like all others.  An empty table gives an empty result.  Other columns are ignored,
     whatever their names.  Very long texts are held one at a time, as bytes of ids.
 
-    The driver holds a count per length, ``capacity`` numbers at most.  ``nodes``, ``width`` and
-    ``branches`` bound the search for a better packing than best-fit decreasing, not the result:
-    every piece is packed.
+    The driver holds a count per length, ``capacity`` numbers at most.  ``effort`` and ``branches`` bound
+    the search for a better packing than best-fit decreasing, not the result: every piece is packed.
     """
     spark, stage = docs.sparkSession, Stage(docs.sparkSession)
     cut = stage.put("pieces", pieces(docs, path, end_id, capacity, key, text))
@@ -475,7 +508,7 @@ def pack(
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in held.groupBy("length").agg(F.sum("n")).collect():
         counts[length] = n
-    plan = Plan(best_packing(spark, counts, capacity, nodes, width, branches))
+    plan = Plan(best_packing(spark, counts, capacity, effort, branches))
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -11,6 +11,7 @@ from orderflow.llm import bincompletion as packing
 from orderflow.llm.queries import WORD_TOKENIZER, tokenizer_path
 
 PATH = tokenizer_path(WORD_TOKENIZER)
+FULL = packing.Effort(20_000, 100_000, 10**9)
 
 
 def fewest(items, capacity):
@@ -48,7 +49,7 @@ def test_search_finds_the_fewest(seed):
     assert contents(greedy, capacity) == Counter(items)
     wanted = fewest(items, capacity)
     assert packing.lower_bound(counts, capacity) <= wanted <= bins
-    found = packing.search(counts, capacity, [], bins, nodes=4000, width=20000)
+    found = packing.search(counts, capacity, [], bins, FULL)
     assert min(bins, found.bins) == wanted and found.whole
     if found.packing:
         assert contents(found.packing, capacity) == Counter(items)
@@ -77,7 +78,7 @@ def test_branches_on_tasks_beat_best_fit(spark):
     counts = np.bincount(items, minlength=61)
     for capacity in range(60, 45, -1):
         greedy = sum(n for _, n in packing.best_fit_decreasing(counts[: capacity + 1], capacity))
-        found = packing.best_packing(spark, counts[: capacity + 1], capacity, nodes=200, width=3000, branches=8)
+        found = packing.best_packing(spark, counts[: capacity + 1], capacity, packing.Effort(300, 300, 3), branches=8)
         assert contents(found, capacity) == Counter(items)
         assert packing.lower_bound(counts[: capacity + 1], capacity) <= sum(n for _, n in found) <= greedy
 
@@ -89,7 +90,7 @@ def test_branches_improve_the_incumbent(spark):
         counts = np.bincount(items, minlength=101)
         greedy = sum(n for _, n in packing.best_fit_decreasing(counts, 100))
         if greedy > packing.lower_bound(counts, 100):
-            found = packing.best_packing(spark, counts, 100, nodes=2000, width=20000, branches=64)
+            found = packing.best_packing(spark, counts, 100, FULL, branches=64)
             assert contents(found, 100) == Counter(items)
             assert sum(n for _, n in found) == fewest(items, 100)
             improved += sum(n for _, n in found) < greedy
