@@ -588,6 +588,13 @@ ORACLE = {
         "concat('  ', region, ' ') AS region, CAST(product_id AS VARCHAR) AS product_id, category, sub_category, "
         f"product_name, sales, quantity, discount, profit FROM sales_lines WHERE {SINCE}"
     ),
+    "ledger_extract": on_sales(
+        "SELECT row_id, strftime(order_date, '%-m/%-d/%Y') AS order_date, sales, "
+        "SUM(1) OVER ()::BIGINT AS batch_rows, source_rows, TRUE AS files_left_closed FROM sales_lines, "
+        f"(SELECT count(*) + count(*) FILTER (WHERE order_date >= DATE '{q.WATERMARK}' AND order_date < DATE "
+        f"'{q.FACT_END}') AS source_rows FROM sales_lines), (VALUES (1), (2)) AS delivery(n) "
+        f"WHERE {SINCE} AND (n = 1 OR order_date >= DATE '{q.WATERMARK}' AND order_date < DATE '{q.FACT_END}')"
+    ),
     "extract_counts": on_sales(
         f"SELECT COUNT(*) AS rows_before_filter, COUNT(*) FILTER (WHERE {SINCE}) AS row_count, "
         "CAST(19 AS BIGINT) AS column_count FROM sales_lines"

@@ -19,6 +19,7 @@ from orderflow.sources.lake import FACT, Lake
 # Dates the incremental queries cut at, and the served year; all lie inside the data.
 FACT_END = "2001-06-15"
 WATERMARK = "2001-06-01"
+LEDGER_CUT = "1998-01-01"
 DRIFT_CUT = "2001-01-01"
 YEAR = 2000
 YEARS = (1995, 2001)
@@ -471,6 +472,30 @@ def csv_extract(spark, folder):
     return batch.frame
 
 
+def ledger_extract(spark, folder):
+    """Three deliveries, all of them read once; then only files that can hold what is new.
+
+    The last delivery overlaps the one before.  Every row tells how many rows the source held
+    and whether files were left closed.
+    """
+    stage, raw = Stage(spark), conformed_raw(spark, folder)
+    lake, path, day = Lake(spark, stage.path("lake")), stage.path("csv"), F.to_date("order_date", "M/d/yyyy")
+    for wanted in (day < LEDGER_CUT, (day >= LEDGER_CUT) & (day < FACT_END), day >= WATERMARK):
+        bronze.write_csv(raw.filter(wanted), path, STAR_SCHEMA)
+    for name, since in (("first", None), ("again", WATERMARK)):
+        batch, read = bronze.extract_unread(Stage(spark), path, lake.find("files"), since, 3, STAR_SCHEMA, run_id=name)
+        lake.append("files", read)
+    counts = batch.metadata()
+    return batch.frame.select(
+        "row_id",
+        "order_date",
+        "sales",
+        F.lit(counts["rows_before_filter"]).cast("long").alias("source_rows"),
+        F.lit(counts["row_count"]).cast("long").alias("batch_rows"),
+        F.lit(counts["files_skipped"] > 0).alias("files_left_closed"),
+    )
+
+
 def extract_counts(spark, folder):
     """The counts observed while the batch of csv_extract is written."""
     batch = bronze.extract(spark, _as_csv(spark, folder), WATERMARK, 3, STAR_SCHEMA)
@@ -593,6 +618,7 @@ QUERIES = {
     "profile_correlation": profile_correlation,
     "profile_missing": profile_missing,
     "csv_extract": csv_extract,
+    "ledger_extract": ledger_extract,
     "extract_counts": extract_counts,
     "export_parity": export_parity,
     "export_layout": export_layout,

@@ -21,7 +21,7 @@ from orderflow.operators.features import engineer
 from orderflow.plans import gold
 from orderflow.schema import DEFAULT_SCHEMA, DERIVED, SourceSchema
 from orderflow.session import Stage, concurrently
-from orderflow.sources.bronze import extract
+from orderflow.sources.bronze import extract_unread
 from orderflow.sources.lake import FACT, Lake
 
 log = logging.getLogger("orderflow")
@@ -257,20 +257,23 @@ def run(
         since = None if full_refresh or not lake.exists(FACT) else read_watermark(lake)
 
         def extract_batch() -> DataFrame:
-            batch = extract(
-                spark,
+            batch, read = extract_unread(
+                stage,
                 source,
+                lake.find("files"),
                 since,
                 config.buffer_days,
                 config.schema,
                 config.date_format,
+                run_id=run_id,
                 encoding=config.encoding,
                 sep=config.sep,
                 multi_line=config.multi_line,
             )
-            staged = stage.put("raw", batch.frame)
+            # What a file holds is true whether the load succeeds or not; the mark decides.
+            lake.append("files", read)
             data["stages"]["extract"] = batch.metadata()
-            return staged
+            return batch.frame
 
         raw = report.timed("extract", extract_batch)
         batch = prepare(raw, config, stage, report, lake)

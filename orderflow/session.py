@@ -89,37 +89,6 @@ def folders_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found if f.isDirectory())
 
 
-def first_lines(spark: SparkSession, path: str, encoding: str) -> dict[str, str]:
-    """The first line of every data file under a file, folder or pattern, by full name.
-
-    Only the beginning of each file is read, by the driver: one line per file.
-    """
-    jvm = spark.sparkContext._jvm
-    target, files = _file_system(spark, path)
-    matched = [f.getPath() for f in files.globStatus(target) or []]
-    found: dict[str, str] = {}
-    while matched:
-        place = matched.pop()
-        if place.getName().startswith(("_", ".")) and place != target:
-            continue
-        if files.getFileStatus(place).isDirectory():
-            matched.extend(f.getPath() for f in files.listStatus(place))
-            continue
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
-            spark.sparkContext._jsc.hadoopConfiguration()
-        ).getCodec(place)
-        stream = files.open(place)
-        raw = codec.createInputStream(stream) if codec else stream
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, encoding))
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        if line is not None:
-            found[place.toString()] = line
-    return found
-
-
 def concurrently(spark: SparkSession, *jobs: Callable[[], T]) -> list[T]:
     """Run independent actions at once, so that the small ones fill idle executors."""
     inherit = inheritable_thread_target(spark)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -14,11 +13,13 @@ from pyspark.sql import types as T
 from orderflow.functions import na_to_null
 from orderflow.operators.clean import DATE_FORMAT
 from orderflow.schema import DEFAULT_SCHEMA, SourceSchema
-from orderflow.session import first_lines, path_exists
+from orderflow.session import Stage, path_exists
+from orderflow.sources.files import Reading, SourceNotFound, header_fields, headers, ledger_rows, list_files, literal, plan_reading
 
 # Encoding names as users write them and as Spark accepts them.
 _ENCODINGS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8"}
 _SURPLUS = "_surplus_fields"
+SOURCE_FILE = "_source_file"
 
 
 def encoding_name(encoding: str) -> str:
@@ -26,55 +27,46 @@ def encoding_name(encoding: str) -> str:
     return _ENCODINGS.get(encoding.lower(), encoding)
 
 
-class SourceNotFound(FileNotFoundError):
-    """The source path does not exist."""
-
-
 class MissingColumns(ValueError):
     """The source lacks declared columns."""
 
 
-def header_fields(line: str, sep: str) -> list[str]:
-    """The column names of a header line."""
-    return next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep))
-
-
 def read_text(
     spark: SparkSession,
     path: str,
     encoding: str = "latin-1",
     sep: str = ",",
     multi_line: bool = False,
+    reading: Reading | None = None,
+    keep_file: bool = False,
 ) -> DataFrame:
     """A CSV file or folder with every column as text, each file bound by its own header.
 
     Files are grouped by their header line and each group is read by its names, so a folder
     may hold files with other column orders or more columns; what a file lacks is NULL.  A line
     with more fields than its header fails the next action.  ``multi_line`` allows line
-    breaks inside quotes, but makes every file a single task.
+    breaks inside quotes, but makes every file a single task.  ``reading`` is a planned list of
+    files; without it all are read.  ``keep_file`` adds each row's file.  Encodings have to write ASCII as ASCII.
     """
     charset = encoding_name(encoding)
-    lines = first_lines(spark, path, charset) if path_exists(spark, path) else {}
-    if not path_exists(spark, path):
-        raise SourceNotFound(f"source not found: {path}; put the raw CSV there or pass another path")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for name, line in sorted(lines.items()):
-        groups.setdefault(tuple(header_fields(line, sep)), []).append(name)
-    frames = [_read_group(spark, files, list(header), charset, sep, multi_line) for header, files in groups.items()]
+    planned = reading or plan_reading(spark, path, charset)
+    groups = planned.groups(sep).items()
+    frames = [_read_group(spark, files, list(header), charset, sep, multi_line) for header, files in groups]
     if not frames:
         return spark.createDataFrame([], T.StructType())
     # The widest header leads, so that the common columns keep the order most files have.
     frames.sort(key=lambda f: -len(f.columns))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows if keep_file else rows.drop(SOURCE_FILE)
 
 
 def _read_group(
     spark: SparkSession, files: list[str], header: list[str], charset: str, sep: str, multi_line: bool
 ) -> DataFrame:
     """Files of one header.  A column behind the last one shows where a line has more fields."""
-    repeated = sorted({c for c in header if header.count(c) > 1})
+    repeated = sorted({c for c in header if header.count(c) > 1 or c in (_SURPLUS, SOURCE_FILE)})
     if repeated:
-        raise ValueError(f"a header names columns twice: {repeated}")
+        raise ValueError(f"a header names columns twice, or as this reader names its own: {repeated}")
     fields = [T.StructField(c, T.StringType()) for c in [*header, _SURPLUS]]
     rows = (
         spark.read.schema(T.StructType(fields))
@@ -85,11 +77,11 @@ def _read_group(
         .option("escape", '"')
         .option("enforceSchema", True)
         .option("multiLine", multi_line)
-        .csv(files)
+        .csv([literal(f) for f in files])
     )
     told = F.concat(F.lit("a line has more fields than its header; the first too many is: "), F.col(_SURPLUS))
     return rows.filter(F.when(F.col(_SURPLUS).isNull(), True).otherwise(F.raise_error(told).cast("boolean"))).select(
-        *[F.col(f"`{c}`") for c in header]
+        *[F.col(f"`{c}`") for c in header], F.col("_metadata.file_path").alias(SOURCE_FILE)
     )
 
 
@@ -186,6 +178,67 @@ def extract(
     return Extraction(observed.filter(keep), path, None if since is None else str(since), counts)
 
 
+@dataclass
+class Batch:
+    """A staged batch of the files that had to be read, and its counts."""
+
+    frame: DataFrame
+    counts: dict
+
+    def metadata(self) -> dict:
+        return self.counts
+
+
+def extract_unread(
+    stage: Stage,
+    path: str,
+    ledger: DataFrame | None = None,
+    since: date | str | None = None,
+    buffer_days: int = 3,
+    schema: SourceSchema = DEFAULT_SCHEMA,
+    date_format: str = DATE_FORMAT,
+    encoding: str = "latin-1",
+    run_id: str = "",
+    **options,
+) -> tuple[Batch, DataFrame]:
+    """The raw batch to load, out of the files that can hold some of it, and their ledger rows.
+
+    Files the ledger rules out are not opened.  All rows of the others are staged once, each
+    with its file; counts and newest dates per file come from two of the staged columns.
+    """
+    spark = stage.spark
+    reading = plan_reading(spark, path, encoding_name(encoding), ledger, since, buffer_days)
+    if not reading.header_of and reading.skipped:
+        raw = spark.createDataFrame([], T.StructType([T.StructField(r.header, T.StringType()) for r in schema.rules]))
+        raw = raw.withColumn(SOURCE_FILE, F.lit(None).cast("string"))
+    else:
+        raw = read_text(spark, path, encoding, reading=reading, keep_file=True, **options)
+    typed = apply_schema(check_columns(raw, schema), schema)
+    day = F.try_to_date("order_date", date_format) if date_format else F.col("order_date")
+    read = stage.put("read", typed)
+    keep = since_predicate(F.col("order_date"), since, buffer_days, date_format)
+    # A file the tasks found nothing in has no row here and none to load.
+    per_file = stage.put(
+        "per_file",
+        read.groupBy(F.col(SOURCE_FILE).alias("file")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(keep).alias("kept"), F.max(day).alias("newest")
+        ),
+    )
+    rows, kept = per_file.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("kept"), F.lit(0))).first()
+    frame = (read if since is None else read.filter(keep)).drop(SOURCE_FILE)
+    counts = {
+        "source_path": path,
+        "row_count": kept,
+        "column_count": len(frame.columns),
+        "columns": frame.columns,
+        "since": None if since is None else str(since),
+        "rows_before_filter": rows + reading.rows_skipped,
+        "files_opened": len(reading.files),
+        "files_skipped": reading.skipped,
+    }
+    return Batch(frame, counts), ledger_rows(spark, reading, per_file.drop("kept"), run_id)
+
+
 def write_csv(
     df: DataFrame,
     path: str,
@@ -203,9 +256,10 @@ def write_csv(
     by_header = {r.header: F.col(r.name).alias(r.header) for r in schema.rules}
     order = list(by_header)
     if mode == "append" and path_exists(spark, path):
-        there = first_lines(spark, path, charset)
-        if there:
-            found = header_fields(there[min(there)], sep)
+        first = list_files(spark, path).orderBy("path").first()
+        begins = first and headers(spark, [literal(first["path"])], charset).first()
+        if begins:
+            found = header_fields(begins["header"], sep)
             order = [*found, *(h for h in order if h not in found)]
     nothing = F.lit(None).cast("string")
     (

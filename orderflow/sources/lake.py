@@ -4,7 +4,7 @@
     <root>/gold/<name>/<version>    the five aggregate tables
     <root>/profile/<name>/<version> the last profile
     <root>/versions/<name>          which version of a table holds; the newest row counts
-    <root>/state, stats, runs, rogue_values   append-only bookkeeping
+    <root>/state, stats, runs, rogue_values, files   append-only bookkeeping
 
 A replacement is written to a new version and becomes the table only by its row in
 ``versions``, written last.  One that breaks leaves the table as it was.
@@ -27,7 +27,7 @@ MONTH = "order_month_start"
 FACT = "fact_sales"
 GOLD_NAMES = tuple(t.name for t in GOLD)
 # Tables that only grow have no versions.
-BOOKS = ("state", "stats", "runs", "rogue_values")
+BOOKS = ("state", "stats", "runs", "rogue_values", "files")
 VERSIONS = "version string, written_at timestamp"
 
 

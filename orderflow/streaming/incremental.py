@@ -23,10 +23,12 @@ def start_load(
     """Load every file of ``source`` not loaded yet, then stop (``availableNow``).
 
     ``rebuild_each`` renews the aggregate tables after every micro-batch, which reads the
-    whole fact each time; load_stream does it once.  Every micro-batch keeps its report in ``runs``.  All files must have the column order of
-    the first one.  The stream's checkpoint takes the place of the high-water mark.  A micro-batch that is
-    run again after a failure adds nothing, as its keys are known by then; that is also
-    why no event-time watermark is used, which would drop late lines unseen.
+    whole fact each time; load_stream does it once.  Every micro-batch keeps its report in
+    ``runs``.  All files must have the column order of the first one: another header stops the
+    stream, and fields beyond the header are dropped unseen, unlike in a batch run.  The
+    stream's checkpoint takes the place of the high-water mark.  A micro-batch that is run again
+    after a failure adds nothing, as its keys are known by then; that is also why no event-time
+    watermark is used, which would drop late lines unseen.
     """
     header = check_columns(read_text(spark, source, config.encoding, config.sep), config.schema)
     reader = (

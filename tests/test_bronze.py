@@ -6,7 +6,10 @@ from conftest import ROWS, make
 from orderflow.operators import incremental as inc
 from orderflow.operators import rows as r
 from orderflow.schema import DEFAULT_SCHEMA
+from orderflow.session import Stage
 from orderflow.sources import bronze
+from orderflow.sources.files import headers
+from orderflow.sources.lake import Lake
 
 HEADERS = [rule.header for rule in DEFAULT_SCHEMA.rules]
 
@@ -120,6 +123,62 @@ def test_since_with_buffer(spark, tmp_path, since, kept):
     assert meta["since"] == since
 
 
+def dated(rows, day):
+    return [(*r[:2], day, day, *r[4:]) for r in rows]
+
+
+def unread(spark, stage, lake, path, since, name):
+    """A reading with the ledger, as a run does it."""
+    batch, read = bronze.extract_unread(Stage(spark, f"{stage.root}/{name}"), str(path), lake.find("files"), since, 3, run_id=name)
+    lake.append("files", read)
+    return batch
+
+
+def test_a_repeat_opens_only_files_that_reach_the_mark(spark, stage, tmp_path):
+    source, lake = tmp_path / "in", Lake(spark, str(tmp_path / "lake"))
+    source.mkdir()
+    csv(source / "old [1].csv", dated(ROWS, "1/5/2015"))
+    csv(source / "late.csv", dated(ROWS, "6/1/2017"), order=list(reversed(range(len(HEADERS)))))
+    csv(source / "undated.csv", dated(ROWS[:2], None))
+    (source / "blank.csv").write_text("\n")
+    first = unread(spark, stage, lake, source, None, "a")
+    assert (first.counts["row_count"], first.counts["files_opened"], first.counts["files_skipped"]) == (12, 4, 0)
+    csv(source / "new.csv", dated(ROWS[:3], "6/4/2017"))
+    again = unread(spark, stage, lake, source, "2017-06-03", "b")
+    assert (again.counts["row_count"], again.counts["rows_before_filter"]) == (8, 15)
+    assert (again.counts["files_opened"], again.counts["files_skipped"]) == (2, 3)
+    assert sorted(r["order_date"] for r in again.frame.collect()) == ["6/1/2017"] * 5 + ["6/4/2017"] * 3
+    opened = {r["file"].rsplit("/", 1)[-1] for r in lake.read("files").where("run_id = 'b'").collect()}
+    assert opened == {"late.csv", "new.csv"}
+    # Nothing reaches this mark: no file is opened, and the batch is empty with its columns.
+    none = unread(spark, stage, lake, source, "2020-01-01", "c")
+    assert (none.frame.columns, none.frame.count(), none.counts["files_opened"]) == (DEFAULT_SCHEMA.names, 0, 0)
+    assert none.counts["rows_before_filter"] == 15
+
+
+def test_a_file_that_changed_is_read_again(spark, stage, tmp_path):
+    source, lake = tmp_path / "in", Lake(spark, str(tmp_path / "lake"))
+    source.mkdir()
+    csv(source / "a.csv", dated(ROWS, "1/5/2015"))
+    unread(spark, stage, lake, source, None, "a")
+    csv(source / "a.csv", dated(ROWS, "1/5/2015") + dated([(9, *ROWS[0][1:])], "6/4/2017"))
+    again = unread(spark, stage, lake, source, "2017-06-03", "b")
+    assert [r["row_id"] for r in again.frame.collect()] == [9] and again.counts["files_opened"] == 1
+
+
+def test_headers_are_read_by_tasks(spark, tmp_path):
+    csv(tmp_path / "a.csv")
+    (tmp_path / "b.csv").write_text("\n  \nRow ID,Nöte\n1,x\n", encoding="latin-1")
+    found = {r["file"].rsplit("/", 1)[-1]: r["header"] for r in headers(spark, [str(tmp_path)], "ISO-8859-1").collect()}
+    assert found == {"a.csv": ",".join(HEADERS), "b.csv": "Row ID,Nöte"}
+
+
+def test_own_names_in_a_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Row ID,_source_file\n1,x\n")
+    with pytest.raises(ValueError, match="_source_file"):
+        bronze.read_text(spark, str(tmp_path / "a.csv"))
+
+
 def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     bronze.write_csv(make(spark, ROWS), path)
