@@ -527,6 +527,9 @@ ORACLE = {
         for t in gold.GOLD
         if t is not gold.MONTH
     },
+    "maintained_tables": f"WITH {INCREMENTED} SELECT region, total_sales, total_profit, total_orders FROM "
+    f"({gold_select(gold.REGION, 'loaded')}) UNION ALL SELECT order_month_name, total_sales, total_profit, total_orders "
+    f"FROM ({gold_select(gold.MONTH, 'loaded')})",
     "recovered_fact": on_sales("SELECT row_id, order_date, quantity, sales FROM sales_lines"),
     "second_run_fact": on_sales("SELECT row_id, order_date, quantity, sales FROM sales_lines"),
     "run_reports": on_sales(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderflow.functions import exact_mean, exact_sum, round_half_even
 from orderflow.operators import clean, dedup, drift, features, incremental, profile, quality, rows
-from orderflow.plans import gold, run, serve
+from orderflow.plans import gold, maintained, run, serve
 from orderflow.session import Stage
 from orderflow.sources import bronze, export, names
 from orderflow.sources.conformed import STAR_SCHEMA, conformed_raw, conformed_sales, star_table
@@ -216,14 +216,37 @@ def incremental_fact(spark, folder):
 
 
 def _after_increment(table: gold.GoldTable):
-    """An aggregate table of the fact that a later batch was loaded into."""
+    """An aggregate table from the state of a fact, and a later batch merged into it."""
 
     def query(spark, folder):
-        return gold.build(table, incremental.incremental_fact(*_fact_and_batch(spark, folder)))
+        stage = Stage(spark)
+        old, batch = _fact_and_batch(spark, folder)
+        new = stage.put("new", incremental.new_rows(batch, old))
+        before, after = gold.line_parts(old), gold.line_parts(new)
+        if len(table.distinct_ids) > 1:
+            before = stage.put("rolled", gold.roll_up(before, table.grain))
+        pairs = {c: stage.put(f"pairs_{c}", maintained.distinct_pairs(table, before, c)) for c in table.distinct_ids}
+        sums = stage.put("sums", maintained.counted(table, None, before, pairs))
+        fresh = {c: maintained.unseen(maintained.distinct_pairs(table, after, c), pairs[c]) for c in pairs}
+        return table.ordered(table.from_sums(maintained.counted(table, sums, after, fresh)))
 
     return query
 
 
+def maintained_tables(spark, folder):
+    """The region and month tables of a lake after three loads, the last a repeat of the second."""
+    lake, stage = Lake(spark, Stage(spark).path("lake")), Stage(spark)
+    old, batch = _fact_and_batch(spark, folder)
+    run.load_fact(lake, old, "row_id")
+    maintained.renew(lake, stage)
+    for name in ("second", "third"):
+        run.load_fact(lake, batch, "row_id")
+        maintained.renew(lake, Stage(spark, f"{stage.root}/{name}"))
+    region, month = lake.read(gold.REGION.name), lake.read(gold.MONTH.name)
+    shared = ["total_sales", "total_profit", "total_orders"]
+    return region.select("region", *shared).unionByName(month.select(F.col("order_month_name").alias("region"), *shared))
+
+
 def _loaded(spark, folder, config: run.Config) -> Lake:
     """A lake after a run over the lines as CSV."""
     lake = Lake(spark, Stage(spark).path("lake"))
@@ -597,6 +620,7 @@ QUERIES = {
     "incremental_fact": incremental_fact,
     "gold_after_increment": _after_increment(gold.MONTH),
     **{f"{t.name}_after_increment": _after_increment(t) for t in gold.GOLD if t is not gold.MONTH},
+    "maintained_tables": maintained_tables,
     "recovered_fact": recovered_fact,
     "second_run_fact": second_run_fact,
     "run_reports": run_reports,

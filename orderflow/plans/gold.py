@@ -107,6 +107,16 @@ class GoldTable:
             .select(*self.columns)
         )
 
+    def from_sums(self, sums: DataFrame) -> DataFrame:
+        """The table out of parts per key with the counts of distinct ids next to them."""
+        counts = {"total_orders": "order_id_n", "total_customers": "customer_id_n"}
+        measures = {m: lambda c=c: F.coalesce(F.sum(c), F.lit(0)) for m, c in counts.items()}
+        return (
+            sums.groupBy(*self.keys)
+            .agg(*[(measures.get(m) or _MEASURES[m])().alias(m) for m in self.measures])
+            .select(*self.columns)
+        )
+
     def ordered(self, df: DataFrame) -> DataFrame:
         """Sorted for reading, ties broken by the keys."""
         lead = [F.desc(c) if self.descending else F.asc(c) for c in self.sort]

@@ -18,7 +18,7 @@ from orderflow.operators import drift, incremental, profile, quality
 from orderflow.operators.clean import DATE_FORMAT, cast_numerics, normalise
 from orderflow.operators.dedup import drop_full_duplicates, has_repeated_fingerprint
 from orderflow.operators.features import engineer
-from orderflow.plans import gold
+from orderflow.plans import gold, maintained
 from orderflow.schema import DEFAULT_SCHEMA, DERIVED, SourceSchema
 from orderflow.session import Stage, concurrently
 from orderflow.sources.bronze import extract_unread
@@ -157,9 +157,10 @@ def load_fact(lake: Lake, batch: DataFrame, key: str, full_refresh: bool = False
 
 
 def rebuild_gold(lake: Lake, fact: DataFrame, key: str, stage: Stage) -> list[str]:
-    """All five aggregate tables from the whole fact, replaced."""
-    rolled = stage.put("order_rollup", gold.order_roll_up(fact, key))
-    tables = gold.all_tables(fact, rolled, key)
+    """All five aggregate tables, kept up from their state; ``fact`` stands in for one without rows."""
+    if lake.exists(FACT):
+        return maintained.renew(lake, stage, key)
+    tables = gold.all_tables(fact, key=key)
     concurrently(lake.spark, *[partial(lake.replace, name, df) for name, df in tables.items()])
     return list(tables)
 
@@ -167,7 +168,7 @@ def rebuild_gold(lake: Lake, fact: DataFrame, key: str, stage: Stage) -> list[st
 def load(
     lake: Lake, batch: DataFrame, config: Config, stage: Stage, full_refresh: bool = False
 ) -> dict:
-    """Fact first, then the aggregate tables from everything ever loaded."""
+    """Fact first, then the aggregate tables, of everything ever loaded, from their state and the batch."""
     key = config.schema.key
     inserted = load_fact(lake, batch, key, full_refresh)
     fact = lake.find(FACT)

@@ -22,8 +22,8 @@ def start_load(
 ) -> StreamingQuery:
     """Load every file of ``source`` not loaded yet, then stop (``availableNow``).
 
-    ``rebuild_each`` renews the aggregate tables after every micro-batch, which reads the
-    whole fact each time; load_stream does it once.  Every micro-batch keeps its report in
+    ``rebuild_each`` renews the aggregate tables after every micro-batch; load_stream does it
+    once for all of them.  Every micro-batch keeps its report in
     ``runs``.  All files must have the column order of the first one: another header stops the
     stream, and fields beyond the header are dropped unseen, unlike in a batch run.  The
     stream's checkpoint takes the place of the high-water mark.  A micro-batch that is run again
@@ -78,7 +78,7 @@ def _load(lake: Lake, batch: DataFrame, config: Config, stage: Stage, rebuild: b
 def load_stream(
     spark: SparkSession, source: str, root: str, checkpoint: str, config: Config = Config(), max_files: int | None = None
 ) -> list[str]:
-    """Load all new files, wait, and renew the aggregate tables once from the whole fact."""
+    """Load all new files, wait, and renew the aggregate tables once."""
     query = start_load(spark, source, root, checkpoint, config, max_files, rebuild_each=False)
     query.awaitTermination()
     lake, stage = Lake(spark, root), Stage(spark, root=root)

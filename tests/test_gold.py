@@ -148,3 +148,29 @@ def test_loss_reports(spark):
         ("Machines", 7.0, 30.0),
         ("Tables", 10.0, 15.5),
     ]
+
+
+@pytest.mark.parametrize("table", gold.GOLD, ids=lambda t: t.name)
+def test_a_merge_reads_the_state_and_the_batch_alone(spark, stage, table):
+    """No file of the fact is in the plan, and the state's pairs are not shuffled for a small batch."""
+    from orderflow.plans import maintained
+
+    wide = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("o"), F.col("id") % 900).alias("order_id"),
+        F.concat(F.lit("c"), F.col("id") % 70).alias("customer_id"), F.concat(F.lit("r"), F.col("id") % 4).alias("region"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("segment"), F.concat(F.lit("p"), F.col("id") % 300).alias("product_id"),
+        F.lit("n").alias("product_name"), F.concat(F.lit("k"), F.col("id") % 5).alias("category"), F.lit("u").alias("sub_category"),
+        F.lit(2017).cast("bigint").alias("order_year"), (F.col("id") % 12).alias("order_month"), F.lit("x").alias("order_month_name"),
+        (F.col("id") / 7).alias("sales"), (F.col("id") / 70).alias("profit"), F.lit(0.1).alias("discount"),
+        F.lit(3.5).alias("profit_margin_pct"), F.lit(2).cast("bigint").alias("quantity"),
+    )
+    old, new = stage.put("fact", wide.where("id % 10 < 9")), stage.put("batch", wide.where("id % 10 = 9 OR id < 0"))
+    parts = gold.line_parts(old)
+    pairs = {c: stage.put(c, maintained.distinct_pairs(table, parts, c)) for c in table.distinct_ids}
+    sums = stage.put("sums", maintained.counted(table, None, parts, pairs))
+    after = gold.line_parts(new)
+    fresh = {c: maintained.unseen(maintained.distinct_pairs(table, after, c), pairs[c]) for c in pairs}
+    merged = table.from_sums(maintained.counted(table, sums, after, fresh))
+    assert not [f for f in merged.inputFiles() if f"/{'fact'}/" in f]
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(merged.collect()) == key(table.from_parts(gold.line_parts(wide)).collect())
