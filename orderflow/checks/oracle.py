@@ -575,6 +575,11 @@ ORACLE = {
     "rogue_values": _rogue_values(),
     "drift_stats": on_fact(_stats("fact")),
     "drift_findings": _drift_findings(),
+    "drift_between_runs": _drift_findings(),
+    "row_minimum": on_sales(
+        "SELECT run::BIGINT AS run, rows_output, run = 2 AS below_min_rows FROM (VALUES (1), (2)) AS runs(run), "
+        f"(SELECT COUNT(*) AS rows_output FROM sales_lines WHERE order_date < DATE '{q.LEDGER_CUT}')"
+    ),
     "profile_columns": _profile_columns(),
     "profile_histogram": _profile_histogram(),
     "profile_correlation": _profile_correlation(),

@@ -419,6 +419,31 @@ def drift_findings(spark, folder):
     return drift.drift_findings(drift.drift_stats(sales), drift.drift_stats(before))
 
 
+def drift_between_runs(spark, folder):
+    """What two loads stored of their statistics, compared: the second one read its batch alone."""
+    lake, sales = Lake(spark, Stage(spark).path("lake")), fact(spark, folder)
+    cut = F.col("order_date") < DRIFT_CUT
+    for name, batch in (("first", sales.filter(cut)), ("second", sales.filter(~cut))):
+        run.load(lake, batch, LENIENT, Stage(spark))
+        run.compare(lake, lake.read(FACT), LENIENT, name)
+    stats = lake.read("stats")
+    of = {name: stats.filter(F.col("run_id") == name) for name in ("first", "second")}
+    return drift.drift_findings(of["second"], of["first"])
+
+
+def row_minimum(spark, folder):
+    """Whether the reports of two runs say that too few rows came."""
+    lake, path = Lake(spark, Stage(spark).path("lake")), _as_csv(spark, folder, LEDGER_CUT)
+    for least in (1, 10**9):
+        run.run(spark, path, lake.root, replace(LENIENT, min_rows=least), full_refresh=True)
+    text = F.col("report")
+    return lake.read("runs").select(
+        F.row_number().over(Window.orderBy("run_timestamp")).cast("bigint").alias("run"),
+        F.get_json_object(text, "$.stages.clean.rows_output").cast("bigint").alias("rows_output"),
+        F.get_json_object(text, "$.stages.clean.below_min_rows").cast("boolean").alias("below_min_rows"),
+    )
+
+
 def profile_columns(spark, folder):
     return profile.profile_columns(fact(spark, folder), Stage(spark))
 
@@ -637,6 +662,8 @@ QUERIES = {
     "rogue_values": rogue_values,
     "drift_stats": drift_stats,
     "drift_findings": drift_findings,
+    "drift_between_runs": drift_between_runs,
+    "row_minimum": row_minimum,
     "profile_columns": profile_columns,
     "profile_histogram": profile_histogram,
     "profile_correlation": profile_correlation,

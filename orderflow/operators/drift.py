@@ -57,6 +57,49 @@ def drift_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     return found
 
 
+def stat_parts(df: DataFrame) -> DataFrame:
+    """One row of what the statistics of a frame are merged from: counts, exact sums, spreads, days."""
+    measures = [m for m in MEASURES if m in df.columns]
+    lines = df.select(
+        *[c.alias(f"{m}_{kind}") for m in measures for kind, c in summands(F.col(m)).items()],
+        *[c for c in ("order_date",) if c in df.columns],
+    )
+    parts = [F.count(F.lit(1)).alias("row_count")]
+    for m in measures:
+        value = F.col(f"{m}_value")
+        parts += [F.count(value).alias(f"{m}_n"), F.avg(value).alias(f"{m}_avg"), F.var_pop(value).alias(f"{m}_spread")]
+        parts += [F.sum(f"{m}_{kind}").alias(f"{m}_{kind}") for kind in ("whole", "micros", "picos")]
+    if "order_date" in df.columns:
+        parts += [F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day")]
+    return lines.agg(*parts)
+
+
+def stats_from_parts(parts: DataFrame, distinct: dict[str, int], columns: int) -> DataFrame:
+    """The statistics of drift_stats out of rows of stat_parts, one per batch.
+
+    Counts and sums add up exactly; spreads about each batch's mean are moved to the mean of all.
+    """
+    rows = F.sum("row_count")
+    values = {"row_count": rows, "column_count": F.lit(columns)}
+    for m in (m for m in MEASURES if f"{m}_n" in parts.columns):
+        n = F.sum(f"{m}_n")
+        mean = from_parts(*(F.sum(f"{m}_{kind}") for kind in ("whole", "micros", "picos"))) / n
+        values[f"{m}_mean"] = round_half_even(F.when(n > 0, mean), 4)
+        each = F.filter(F.collect_list(F.struct(*[F.col(f"{m}_{k}").alias(k) for k in ("n", "avg", "spread")])), lambda b: b["n"] > 0)
+        middle = F.aggregate(each, F.lit(0.0), lambda t, b: t + b["n"] * b["avg"]) / n
+        about = F.aggregate(each, F.lit(0.0), lambda t, b: t + b["n"] * (b["spread"] + (b["avg"] - middle) * (b["avg"] - middle)))
+        values[f"{m}_std"] = round_half_even(F.when(n > 1, F.sqrt(about / (n - 1))), 4)
+        values[f"{m}_null_rate"] = round_half_even(F.when(rows > 0, (rows - n) / rows), 6)
+    texts = {}
+    if "first_day" in parts.columns:
+        days = (("min", F.min("first_day")), ("max", F.max("last_day")))
+        texts = {f"order_date_{s}": F.date_format(c, "yyyy-MM-dd") for s, c in days}
+    values |= {metric: F.lit(n) for metric, n in distinct.items()}
+    wide = parts.agg(*[c.cast("double").alias(m) for m, c in values.items()], *[c.alias(m) for m, c in texts.items()])
+    told = [_row(m, F.col(m), None) for m in values] + [_row(m, None, F.col(m)) for m in texts]
+    return wide.select(F.inline(F.array(*told)))
+
+
 def _row(metric: str, value: Column | None, text: Column | None) -> Column:
     return F.struct(
         F.lit(metric).alias("metric"),

@@ -2,7 +2,8 @@
 
 A table's state is its additive parts per key and, for each id it counts, the distinct pairs of
 key and id.  A batch adds its parts; of its pairs only those the state lacks are counted and
-stored.  So a load reads the batch and the pairs of the state, never the fact.
+stored.  So a load reads the batch and the pairs of the state, never the fact.  The statistics that
+drift is measured by are kept in the same way.
 
 The state of a fact is a chain of versions under ``gold_state``.  A version holds the sums over all
 batches so far and the pairs its own batches added.  Its row in ``versions/gold_state``, written
@@ -18,15 +19,32 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.operators import drift
 from orderflow.plans import gold
 from orderflow.plans.gold import PARTS, GoldTable, line_parts, roll_up
 from orderflow.session import Stage, concurrently, delete_folder, folders_in, path_exists
 from orderflow.sources.lake import FACT, Lake
 
 CHAIN = "version string, written_at timestamp, fact_version string, upto string, whole boolean"
+EVERY = "every_line"
 LONGEST = 50  # versions in a chain before all pairs are written into one
 
 
+def statistics(lake: Lake) -> DataFrame | None:
+    """The drift statistics of the whole fact, from what each batch left; None without a state."""
+    chain = rows_of(lake, lake.version(FACT)) if lake.version(FACT) else []
+    if not chain or chain[-1]["upto"] != lake.batches(FACT)[-1]:
+        return None
+    spark, fact = lake.spark, lake.read(FACT)
+    folders = [f"{lake.root}/gold_state/{r['version']}" for r in chain]
+    distinct = {
+        metric: spark.read.schema(fact.select(c).schema).parquet(*(f"{f}/pairs/{EVERY}/{c}" for f in folders)).count()
+        for metric, c in drift.DISTINCT.items()
+        if c in fact.columns
+    }
+    return drift.stats_from_parts(spark.read.parquet(*(f"{f}/stats" for f in folders)), distinct, len(fact.columns))
+
+
 def distinct_pairs(table: GoldTable, parts: DataFrame, column: str) -> DataFrame:
     """The table's keys with each id they occur with, once; no pair has a NULL."""
     pair = [*table.keys, column]
@@ -111,11 +129,22 @@ def _merge(lake: Lake, stage: Stage, key: str, chain: list, pending: list[str],
     # The three order tables share a roll-up to about a row per order.
     rolled = stage.put("order_rollup", roll_up(delta, list(dict.fromkeys(c for t in gold.ORDER_TABLES for c in t.grain))))
     source = {t: rolled if t in gold.ORDER_TABLES else delta for t in gold.GOLD}
+    # Ids without a key are what the drift statistics count.
+    lines = lake.read_batches(FACT, pending)
+    every = GoldTable(EVERY, (), (), ())
+    source[every] = lines
     counts = [(t, c) for t in gold.GOLD for c in t.distinct_ids]
+    counts += [(every, c) for c in drift.DISTINCT.values() if c in lines.columns]
 
     def place(of: str, table: GoldTable, column: str) -> str:
         return f"{state}/{of}/pairs/{table.name}/{column}"
 
+    def write_stats() -> None:
+        drift.stat_parts(lines).write.parquet(f"{state}/{version}/stats")
+        if whole and chain:
+            known = spark.read.parquet(*(f"{state}/{r['version']}/stats" for r in chain))
+            known.write.mode("append").parquet(f"{state}/{version}/stats")
+
     def write_pairs(table: GoldTable, column: str) -> None:
         pairs, known = distinct_pairs(table, source[table], column), None
         if chain:
@@ -138,6 +167,6 @@ def _merge(lake: Lake, stage: Stage, key: str, chain: list, pending: list[str],
             )
         counted(table, sums, source[table], fresh).write.parquet(f"{state}/{version}/sums/{table.name}")
 
-    concurrently(spark, *[partial(write_pairs, t, c) for t, c in counts])
+    concurrently(spark, write_stats, *[partial(write_pairs, t, c) for t, c in counts])
     concurrently(spark, *[partial(write_sums, t) for t in gold.GOLD])
     return version

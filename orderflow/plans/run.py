@@ -134,6 +134,7 @@ def prepare(raw: DataFrame, config: Config, stage: Stage, report: Report, lake:
         "rows_input": rows_in,
         "rows_output": rows_out,
         "rows_dropped": rows_in - rows_out,
+        "below_min_rows": rows_out < config.min_rows,
         "dtypes": dict(cleaned.dtypes),
     }
     if rows_out < config.min_rows:
@@ -190,7 +191,9 @@ def load(
 def compare(lake: Lake, fact: DataFrame, config: Config, run_id: str) -> dict:
     """Drift against the previous run; this run's statistics become the next reference."""
     history = lake.find("stats")
-    current = drift.drift_stats(fact, config.approximate)
+    current = maintained.statistics(lake)
+    if current is None:
+        current = drift.drift_stats(fact, config.approximate)
     stamped = current.withColumns(
         {"run_id": F.lit(run_id), "computed_at": F.current_timestamp()}
     )

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from orderflow.operators import drift as d
 from orderflow.operators import profile as p
@@ -169,3 +170,28 @@ def test_missing_patterns(spark):
     df = spark.createDataFrame([(1, None), (None, None), (2, None), (3, "x")], "a int, b string")
     got = {r["missing_columns"]: r["rows"] for r in p.profile_missing(df).collect()}
     assert got == {"b": 2, "a,b": 1, "": 1}
+
+
+def test_statistics_merge_to_those_of_all_rows(spark, stage, tmp_path):
+    """Batches of one row, without a value, and with far other means; and what a load keeps of them."""
+    from test_run import batch
+
+    from orderflow.plans import maintained, run
+    from orderflow.sources.lake import FACT, Lake
+
+    whole = batch(spark, list(range(1, 25)))
+    cuts = [whole.where("row_id <= 10"), whole.where("row_id = 11"), whole.where("row_id > 11")]
+    cuts[0] = cuts[0].withColumn("sales", F.col("sales") * 1e6)
+    cuts[1] = cuts[1].withColumns({"profit": F.lit(None).cast("double"), "customer_id": F.lit(None).cast("string")})
+    lake = Lake(spark, str(tmp_path))
+    assert maintained.statistics(lake) is None
+    for n, rows in enumerate(cuts):
+        run.load(lake, rows, run.Config(), stage)
+        wanted = {r["metric"]: (r["value"], r["text"]) for r in d.drift_stats(lake.read(FACT)).collect()}
+        got = {r["metric"]: (r["value"], r["text"]) for r in maintained.statistics(lake).collect()}
+        assert got.keys() == wanted.keys()
+        for metric, (value, text) in wanted.items():
+            assert got[metric][1] == text and (got[metric][0] == value or abs(got[metric][0] - value) <= 1e-4), metric
+    # A fact the state does not reach has no statistics to offer.
+    run.load_fact(lake, batch(spark, [28]), "row_id")
+    assert maintained.statistics(lake) is None
