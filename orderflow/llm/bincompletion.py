@@ -332,6 +332,10 @@ class Words(dict):
     def __init__(self, tokenizer):
         self.tokenizer, self.merges, self.letters, self.held = tokenizer, tokenizer.model.tokenize, byte_letters(), 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
@@ -347,8 +351,7 @@ class Words(dict):
             stem = word.rstrip(string.punctuation)
             ids = self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
         if self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
+            self.forget()
         self.held += len(word) + len(ids) + 180  # what Python adds to both
         self[word] = ids
         return ids
@@ -437,6 +440,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, key: str, tex
                 [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, numbers), tokens],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "tokens"],
             )
+        ids_of.words.forget()  # the worker goes on to other stages
 
     small_batches(docs.sparkSession, 2000)
     return docs.select(F.col(f"`{key}`").alias("key"), text_of(F.col(f"`{text}`")).alias("body")).mapInArrow(cut, schema)

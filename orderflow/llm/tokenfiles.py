@@ -33,7 +33,7 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED = 1_100_000
+CACHE_BYTES = 64 << 20
 MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
 PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+").fullmatch
@@ -59,7 +59,11 @@ class Words(dict):
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.merges, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
+        self.tokenizer, self.merges, self.letters, self.held = tokenizer, tokenizer.model.tokenize, byte_letters(), 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -74,8 +78,9 @@ class Words(dict):
         else:
             stem = word.rstrip(MARKS)
             ids = self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
-        if len(self) > CACHED:
-            self.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
+        self.held += len(word) + len(ids) + 180  # what Python adds to both
         self[word] = ids
         return ids
 
@@ -113,7 +118,7 @@ class Encoder:
 
 @cache
 def encoder(path: str, end_id: int) -> Encoder:
-    """One per Python worker, so that its cache outlives a task."""
+    """One per Python worker; its words last for a task."""
     return Encoder(path, end_id)
 
 
@@ -136,6 +141,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
                 [key, "part", "place", "tokens", "n_tokens"],
             )
             place += n
+        # The worker goes on to other stages, which have no use for the words.
+        ids_of.known.forget()
 
     small_batches(docs.sparkSession, 2000)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
