@@ -33,7 +33,7 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHE_BYTES = 64 << 20
+CACHED, CACHE_BYTES = 400_000, 64 << 20  # words, and bytes of them
 MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
 PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+").fullmatch
@@ -78,7 +78,7 @@ class Words(dict):
         else:
             stem = word.rstrip(MARKS)
             ids = self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
-        if self.held > CACHE_BYTES:
+        if len(self) > CACHED or self.held > CACHE_BYTES:
             self.forget()
         self.held += len(word) + len(ids) + 180  # what Python adds to both
         self[word] = ids
