@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED, CACHE_BYTES = 400_000, 64 << 20  # words, and bytes of them
+CACHED, CACHE_BYTES = 1_100_000, 240 << 20  # words, and bytes of them
+IDLE_SECONDS = 5.0
 MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
 PLAIN = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+").fullmatch
@@ -60,11 +62,21 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.merges, self.letters, self.held = tokenizer, tokenizer.model.tokenize, byte_letters(), 0
+        self.timer: Timer | None = None
 
     def forget(self) -> None:
         self.clear()
         self.held = 0
 
+    def wanted(self, now: bool) -> None:
+        """Keep the words while tasks follow each other; drop them once the worker does other work."""
+        if self.timer:
+            self.timer.cancel()
+        self.timer = None if now else Timer(IDLE_SECONDS, self.forget)
+        if self.timer:
+            self.timer.daemon = True
+            self.timer.start()
+
     def whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return array("I", found.ids).tobytes()
@@ -118,7 +130,7 @@ class Encoder:
 
 @cache
 def encoder(path: str, end_id: int) -> Encoder:
-    """One per Python worker; its words last for a task."""
+    """One per Python worker, so that its words outlast a task."""
     return Encoder(path, end_id)
 
 
@@ -130,6 +142,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
         from pyspark import TaskContext
 
         part, place, ids_of = TaskContext.get().partitionId(), 0, encoder(path, end_id)
+        ids_of.known.wanted(now=True)
         for batch in slices(batches, "_text", 3 << 20):
             ids = ids_of(batch.column(1).to_pylist())
             sizes = np.array([len(x) // 4 for x in ids], np.int32)
@@ -141,8 +154,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
                 [key, "part", "place", "tokens", "n_tokens"],
             )
             place += n
-        # The worker goes on to other stages, which have no use for the words.
-        ids_of.known.forget()
+        ids_of.known.wanted(now=False)
 
     small_batches(docs.sparkSession, 2000)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

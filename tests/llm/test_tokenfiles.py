@@ -63,3 +63,18 @@ def test_layout_and_selective_reads(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     tokenfiles.write_tokens(documents(spark, []), str(tmp_path / "t"), tokenizer_path())
     assert tokenfiles.with_starts(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_words_are_dropped_once_nobody_wants_them(monkeypatch):
+    import time
+
+    monkeypatch.setattr(tokenfiles, "IDLE_SECONDS", 0.3)
+    words = tokenfiles.Encoder(tokenizer_path(), 2).known
+    whole = words["kept"]
+    words.wanted(now=False)
+    words.wanted(now=True)
+    time.sleep(0.6)
+    assert "kept" in words
+    words.wanted(now=False)
+    time.sleep(0.6)
+    assert not len(words) and words["kept"] == whole
