@@ -62,7 +62,7 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.merges, self.letters, self.held = tokenizer, tokenizer.model.tokenize, byte_letters(), 0
-        self.timer: Timer | None = None
+        self.space, self.timer = self.letters[ord(" ")], None
 
     def forget(self) -> None:
         self.clear()
@@ -83,7 +83,9 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if PLAIN(word):
-            found = self.merges(word.encode().decode("latin-1").translate(self.letters))
+            # ASCII letters are written as themselves, and the space as one other letter.
+            written = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.merges(written)
             ids = array("I", [t.id for t in found]).tobytes()
         elif not WORD(word):
             raise OddPiece
