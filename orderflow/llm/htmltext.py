@@ -4,10 +4,14 @@ Pages of one host are compared in groups.  A token is a tag or a word together w
 elements it stands in; its occurrence vector says how often it occurs on each page.  Tokens
 with the same vector form an equivalence class.  Classes that are large and frequent enough, in
 the same order on every page and not crossing each other are nested into the template.  What
-lies between neighbouring template tokens is a slot.  A word's role is told apart by the block of
-text it stands in, so blocks that most pages have alike are template too, whatever their labels,
-and are dropped.  Among slots that vary, labels decide first, then richness in words; the slots
-that hold the article are extracted, whole.
+lies between neighbouring template tokens is a slot.
+
+A word's role is told by its class and its place.  The words of a block of text that nearly all
+pages have alike are template tokens; a slot that holds nothing else is furniture, labelled or not,
+and so are such blocks at the two ends of the article, and a last line that all pages begin alike.
+Between varying blocks a repeated line is the article's own, like a shared heading, and stays.
+Elements and labels say which slots cannot hold the article (menus, forms, comments) or must
+(article, main); where they say nothing, slots go by how much of them varies.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orderflow.llm.common import small_batches, without
+from orderflow.llm.common import free_name, small_batches, without
 from orderflow.session import Stage
 
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|object|canvas|math"
@@ -55,28 +61,61 @@ EDGE_LABEL = re.compile(r"(?:^|[-_\s])(?:header|footer|masthead)(?:$|[-_\s])", r
 MAIN_LABEL = re.compile(r"(?:^|[-_\s])(?:main|articlebody|article-?(?:body|content|text)|post-?(?:body|content)|entry-content)(?:$|[-_\s])", re.I)
 
 
-@dataclass(frozen=True, slots=True)
+# Class names that tell a page's state, such as has-sidebar or nav-open, name no element's role.
+STATE = re.compile(r"(?:has|with|without|no|not|is|js)-.*|.*-(?:open|opened|closed|active|enabled|ready)", re.I)
+COMMENT = frozenset("comment comments reply replies".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that hold text of their own beside other blocks: the container of that text.
+BOX = frozenset("div section article main td body html".split())
+
+
+@dataclass(eq=False, slots=True)
 class Element:
+    """An open element; ``block`` is the path of the block around it, ``box`` of that block's container."""
+
     name: str
     path: str
     block: str
+    box: str
+    heading: bool
     aside: bool
     main: bool
     link: bool
-
-
-ROOT = Element("", "", "", False, False, False)
-
-
-def _opened(name: str, attributes: str, above: Element) -> Element:
-    labels = " ".join(a or b or c for _, a, b, c in LABEL.findall(attributes)) if attributes.strip() else ""
-    main = above.main or name in ("article", "main") or bool(labels and MAIN_LABEL.search(labels))
-    aside = above.aside or name in ASIDE or bool(labels and ASIDE_LABEL.search(labels))
-    if not main:
-        aside = aside or name == "header" or bool(labels and EDGE_LABEL.search(labels))
-    path = f"{above.path}>{name}" + (f".{labels}" if labels else "")
-    block = above.block if name in INLINE and (aside, main) == (above.aside, above.main) else path
-    return Element(name, path, block, aside, main, above.link or name == "a")
+    start: tuple[str, str]
+    end: tuple[str, str]
+
+
+ROOT = Element("", "", "", "", False, False, False, False, ("", "<"), ("", "</"))
+
+
+@lru_cache(2048)
+def _roles(labels: str) -> tuple[bool, bool, bool, bool]:
+    """Whether the labels name furniture, a page's edge, the article, or a reader's comment."""
+    names = labels.split()
+    told = " ".join(n for n in names if not STATE.fullmatch(n))
+    return bool(ASIDE_LABEL.search(told)), bool(EDGE_LABEL.search(told)), bool(MAIN_LABEL.search(told)), not COMMENT.isdisjoint(names)
+
+
+def _opened(name: str, labels: str, above: Element) -> Element:
+    path = f"{above.path}>{name}"
+    if name in ("html", "body"):
+        # What a page is called says nothing about the parts of it.
+        return Element(name, path, path, path, False, False, False, False, (path, "<"), (path, "</"))
+    furniture, edge, article, comment = _roles(labels) if labels else (False, False, False, False)
+    main = above.main or article or name in ("article", "main")
+    if name == "main":
+        aside = False
+    elif name == "article":
+        aside = above.aside or comment
+    else:
+        aside = above.aside or furniture or name in ASIDE or (not main and (edge or name == "header"))
+    path += f".{labels}" if labels else ""
+    if name in INLINE and (aside, main) == (above.aside, above.main):
+        block, box, heading = above.block, above.box, above.heading
+    else:
+        block, box, heading = path, path if name in BOX else above.path, name in HEADING
+    mark = "~" if name in INLINE else ""
+    return Element(name, path, block, box, heading, aside, main, above.link or name == "a", (path, "<" + mark), (path, "</" + mark))
 
 
 @dataclass(slots=True)
@@ -89,13 +128,15 @@ class Page:
     blocks: dict[int, tuple[str, str]]  # path and text of each such block
 
 
-def parse(html: str) -> Page:
+def parse(html: str, known: dict[tuple, Element] | None = None) -> Page:
+    """The page's tokens; ``known`` keeps elements that pages of a group have in common."""
+    known = {} if known is None else known
     stack, names, texts, units, block, unit = [ROOT], [], [], [], 0, 0
     parts: dict[int, list[str]] = {}
     for match in TOKEN.finditer(html):
         raw, closing, name, attributes, text = match.groups()
         if text is not None:
-            text = entities.unescape(text)
+            text = entities.unescape(text) if "&" in text else text
             here = stack[-1]
             texts.append((len(names), block, here, text))
             words = text.split()
@@ -111,14 +152,18 @@ def parse(html: str) -> Page:
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        names.append((stack[i].path, "</~" if name in INLINE else "</"))
+                        names.append(stack[i].end)
                         del stack[i:]
                         break
             else:
                 if name not in INLINE and name != "br":
                     _close_implied(name, stack)
-                opened = _opened(name, attributes, stack[-1])
-                names.append((opened.path, "<~" if name in INLINE else "<"))
+                labels = " ".join(a or b or c for _, a, b, c in LABEL.findall(attributes)) if attributes.strip() else ""
+                key = (stack[-1], name, labels)
+                opened = known.get(key)
+                if opened is None:
+                    opened = known[key] = _opened(*key[1:], key[0])
+                names.append(opened.start)
                 if name not in VOID and not attributes.rstrip().endswith("/"):
                     stack.append(opened)
         elif raw:
@@ -166,19 +211,24 @@ def template(pages: list[Page], least: int = 2) -> dict[tuple, int]:
     that occurs once a page keeps the tokens in a common order; one that repeats must go round
     its tokens in turn on every page, within one slot of those found before it.
     """
+    frequent = max(least, -(-len(pages) // 2))
+    seen: Counter[tuple] = Counter()
+    for page in pages:
+        seen.update(set(page.names))
+    # The places of all other tokens are never asked for.
+    often = {name for name, n in seen.items() if n >= frequent}
     places: list[dict[tuple, list[int]]] = []
     vectors: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for i, page in enumerate(pages):
         places.append(where := defaultdict(list))
         for place, name in enumerate(page.names):
-            where[name].append(place)
+            if name in often:
+                where[name].append(place)
         for name, at in where.items():
             vectors[name].append((i, len(at)))
-    frequent = max(least, -(-len(pages) // 2))
     classes = defaultdict(list)
     for name, vector in vectors.items():
-        if len(vector) >= frequent:
-            classes[tuple(vector)].append(name)
+        classes[tuple(vector)].append(name)
     found: dict[tuple, int] = {}
     outer: list[list[tuple[int, tuple]]] = [[] for _ in pages]
     ranked = sorted(classes.items(), key=lambda c: (sum(n for _, n in c[0]) / len(c[0]), -len(c[0]), -len(c[1])))
@@ -234,36 +284,51 @@ def _nested(
 
 @dataclass(slots=True)
 class Slot:
-    """What the pages of a group have between two neighbouring template tokens."""
+    """What the pages of a group have between two neighbouring template tokens; words of template blocks apart."""
 
     element: Element
     words: int = 0
     linked: int = 0
 
-    def rank(self, richest: int) -> int:
-        """2: in the article; 1: rich in words that are not links; 0: neither."""
-        if self.element.aside:
+    def rank(self, richest: int, box: str) -> int:
+        """2: in the article; 1: varies and is rich in words that are not links, or stands in the richest slot's box."""
+        if self.element.aside or not self.words:
             return 0
         if self.element.main:
             return 2
-        return int(self.words - self.linked >= max(1, richest // 10) and self.linked * 2 <= self.words)
+        if self.linked * 2 > self.words:
+            return 0
+        beside = bool(box) and (self.element.box == box or self.element.box.startswith(box + ">"))
+        return int(beside or self.words - self.linked >= max(1, richest // 10))
+
+
+@dataclass(slots=True)
+class Text:
+    """A text token of a page: where it stands, and whether its block is of the template."""
+
+    slot: Slot
+    block: int
+    unit: int
+    text: str
+    known: bool
 
 
 def extract(group: list[str]) -> list[str]:
     """The main text of each page of a group of pages of one host.
 
     A slot is named by the template's block tag before it and the block elements around the text.
-    A page keeps its slots of the highest rank, whole but for the template's own blocks of text.
+    A page keeps its slots of the highest rank, whole but for template blocks at their ends.
     """
-    pages = [parse(h) for h in group]
-    distinct = list({tuple(p.names): p for p in pages}.values())
+    elements: dict[tuple, Element] = {}
+    parsed = {h: parse(h, elements) for h in dict.fromkeys(group)}
+    distinct = list({tuple(p.names): p for p in parsed.values()}.values())
     fixed = template(distinct) if len(distinct) > 2 else {}
     standing = _standing(distinct)
     slots: dict[tuple, Slot] = {}
-    slotted = []
-    for page in pages:
+    slotted: dict[str, list[Text]] = {}
+    for html, page in parsed.items():
         marks = [i for i, name in enumerate(page.names) if name[1] in BLOCK_TAGS and name in fixed]
-        rows = []
+        rows = slotted[html] = []
         for (place, block, element, text), (unit, n) in zip(page.texts, page.units):
             at = bisect_left(marks, place)
             slot = slots.setdefault((page.names[marks[at - 1]] if at else None, element.block), Slot(element))
@@ -272,35 +337,100 @@ def extract(group: list[str]) -> list[str]:
                 slot.words += n
                 slot.linked += n * element.link
             if n or block:
-                rows.append((slot, block, text, known))
-        slotted.append(rows)
-    richest = max((s.words - s.linked for s in slots.values() if not s.element.aside), default=0)
-    return [_joined(rows, richest) for rows in slotted]
+                rows.append(Text(slot, block, unit, text, known))
+    open_ = [s for s in slots.values() if not (s.element.aside or s.element.heading)]
+    top = max(open_, key=lambda s: s.words - s.linked, default=None)
+    richest = top.words - top.linked if top else 0
+    # The whole page is no box.
+    box = top.element.box if richest and not re.fullmatch(r"(?:>html|>body)*", top.element.box) else ""
+    kept = {html: _chosen(rows, richest, box) for html, rows in slotted.items()}
+    closing = _closing(list({tuple(_words(rows)): rows for rows in kept.values() if rows}.values()))
+    texts = {html: _joined(_without_last(rows, closing)) for html, rows in kept.items()}
+    return [texts[html] for html in group]
 
 
 def _standing(pages: list[Page], least: int = 3) -> frozenset[tuple[str, str]]:
-    """Blocks of text that are template: alike on half of the different pages, three at least.
+    """Blocks of text that are template tokens: alike on nine of ten different pages, three at least.
 
     The words of such a block occur on the same pages, once for each time the block does and in
     its order: told apart from equal words elsewhere, they are a valid class.
     """
     if len(pages) < least:
         return frozenset()
-    frequent = max(least, -(-len(pages) // 2))
+    frequent = max(least, -(-len(pages) * 9 // 10))
     seen = Counter(block for page in pages for block in set(page.blocks.values()))
     return frozenset(block for block, n in seen.items() if n >= frequent)
 
 
-def _joined(rows: list[tuple[Slot, int, str, bool]], richest: int) -> str:
-    """The page's best slots without blocks of the template; with them if it has nothing else there."""
-    for rows in ([row for row in rows if not row[3]], rows):
-        best = max((slot.rank(richest) for slot, _, text, _ in rows if text.strip()), default=0)
-        if best:
+def _chosen(rows: list[Text], richest: int, box: str) -> list[Text]:
+    """The texts of the page's best slots; an article that only repeats what all pages have is kept."""
+    ranks = [row.slot.rank(richest, box) for row in rows]
+    # A heading belongs to what follows it in its own box, whether it varies or not.
+    after, within = 0, ""
+    for i in range(len(rows) - 1, -1, -1):
+        element = rows[i].slot.element
+        if not rows[i].text.strip():
+            continue
+        if element.heading and not element.aside:
+            own = 2 if element.main else after if within == element.box or within.startswith(element.box + ">") else 0
+            ranks[i] = own
+        else:
+            after, within = ranks[i], element.box
+    best = max((r for r, row in zip(ranks, rows) if row.text.strip()), default=0)
+    varies = any(r == best and not row.known and row.text.strip() for r, row in zip(ranks, rows))
+    if not best or not varies:
+        return [row for row in rows if row.slot.element.main and not row.slot.element.aside]
+    return _trimmed([row for r, row in zip(ranks, rows) if r == best])
+
+
+def _trimmed(rows: list[Text]) -> list[Text]:
+    """The texts without template blocks at the beginning, behind headings, and at the end."""
+    drop: set[int] = set()
+    for row in rows:
+        if row.known and not row.slot.element.heading:
+            drop.add(row.unit)
+        elif row.text.strip() and not row.slot.element.heading:
+            break
+    for row in reversed(rows):
+        if row.known:
+            drop.add(row.unit)
+        elif row.text.strip():
             break
+    return [row for row in rows if row.unit not in drop]
+
+
+def _words(rows: list[Text]) -> list[str]:
+    return [row.text for row in rows]
+
+
+def _last(rows: list[Text]) -> tuple[int, tuple[str, ...]] | None:
+    """The last block with words, if there is another before it, and how it begins."""
+    unit = next((row.unit for row in reversed(rows) if row.text.strip()), None)
+    if unit is None or not any(row.text.strip() for row in rows if row.unit != unit):
+        return None
+    mine = [row for row in rows if row.unit == unit]
+    words = "".join(row.text for row in mine).split()
+    return (unit, (mine[0].slot.element.block, *words[:2])) if len(words) > 2 else None
+
+
+def _closing(pages: list[list[Text]], least: int = 8) -> tuple[str, ...] | None:
+    """How the last block begins on nine of ten different pages, eight at least: template tokens before a slot."""
+    if len(pages) < least:
+        return None
+    seen = Counter(last[1] for last in map(_last, pages) if last)
+    start, n = max(seen.items(), key=lambda s: s[1], default=(None, 0))
+    return start if n >= max(least, -(-len(pages) * 9 // 10)) else None
+
+
+def _without_last(rows: list[Text], closing: tuple[str, ...] | None) -> list[Text]:
+    last = _last(rows) if closing else None
+    return [row for row in rows if row.unit != last[0]] if last and last[1] == closing else rows
+
+
+def _joined(rows: list[Text]) -> str:
     blocks: dict[int, list[str]] = {}
-    for slot, block, text, _ in rows:
-        if best and slot.rank(richest) == best:
-            blocks.setdefault(block, []).append(text)
+    for row in rows:
+        blocks.setdefault(row.block, []).append(row.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return " ".join(b for b in joined if b)
 
@@ -311,31 +441,33 @@ def main_text(
     """``pages`` with the main text in place of the html; empty where there is none.
 
     Pages of one host are dealt into groups of about ``per_group`` pages and ``most_bytes`` by a
-    hash of the page, so a host of any size makes many small groups with a template each.  A
+    hash of the whole row, so a host of any size makes many small groups with a template each.  A
     group with fewer than three different pages has no template and goes by elements alone.
-    NULL html is empty, a NULL url is a host of its own; copies of a page count once in the
-    template and are all extracted.  A column named like the new one is replaced.
+    NULL html is empty, a NULL url is a host of its own; equal pages of a group are extracted
+    once and count once in the template.  Html of any length is read whole; an empty table gives
+    no rows.  A column named like the new one is replaced, all others are handed through.
     """
     spark = pages.sparkSession
     small_batches(spark)
     base = without(pages, *({column} - {html}))
+    name, groups, group = (free_name(pages, n) for n in ("_host", "_groups", "_group"))
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][-+.\w]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     hosts = (
-        base.groupBy(host.alias("_host"))
-        .agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.length(html), F.lit(0))).alias("_size"))
-        .withColumn("_groups", F.greatest(F.ceil(F.col("_n") / per_group), F.ceil(F.col("_size") / most_bytes)))
-        .where("_groups > 1")
-        .select("_host", "_groups")
+        base.groupBy(host.alias(name))
+        .agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length(html), F.lit(0))).alias("size"))
+        .select(name, F.greatest(F.ceil(F.col("n") / per_group), F.ceil(F.col("size") / most_bytes)).alias(groups))
+        .where(F.col(groups) > 1)
     )
     hosts = Stage(spark).put("hosts", hosts)
     # Only hosts with more than one group are in the table; past this size both sides are shuffled.
     hosts = F.broadcast(hosts) if hosts.count() <= 200_000 else hosts
     keep = [c for c in base.columns if c != html]
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in base.schema if not isinstance(f.dataType, T.MapType)])
     keyed = (
-        base.withColumn("_host", host)
-        .join(hosts, "_host", "left")
-        .withColumn("_group", F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.coalesce("_groups", F.lit(1))))
-        .drop("_groups")
+        base.withColumn(name, host)
+        .join(hosts, name, "left")
+        .withColumn(group, F.pmod(hashed, F.coalesce(groups, F.lit(1))))
+        .drop(groups)
     )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -344,4 +476,4 @@ def main_text(
         return out
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != html), f"{column} string"])
-    return keyed.groupBy("_host", "_group").applyInPandas(run, schema)
+    return keyed.groupBy(name, group).applyInPandas(run, schema)

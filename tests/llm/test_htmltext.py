@@ -119,3 +119,77 @@ def test_clashing_and_extra_columns(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "old", 5)], "page_id int, url string, html string, Text string, _n int")
     rows = htmltext.main_text(pages).collect()
     assert [r.asDict() for r in rows] == [{"page_id": 1, "url": "http://a/", "_n": 5, "text": "x"}]
+
+
+@pytest.mark.parametrize(
+    "label", ["page has-sidebar", "sidebar-left blog", "nav-open", "search results", "social", "cookie", "site-header menu-open"]
+)
+def test_labels_of_the_whole_page_say_nothing(label):
+    made = [body(i) for i in range(8)]
+    pages = [page(i, html).replace("<body>", f'<body id="{label}" class="{label} n{i}">') for i, (html, _) in enumerate(made)]
+    assert htmltext.extract(pages) == [t for _, t in made]
+    wrapped = [page(i, f'<div class="has-sidebar nav-open">{html}</div>') for i, (html, _) in enumerate(made)]
+    assert htmltext.extract(wrapped) == [t for _, t in made]
+
+
+@pytest.mark.parametrize("label", ["entry share", "related-work", "story social", "post-comments-open"])
+def test_labels_of_the_article_itself_do_not_remove_it(label):
+    made = [body(i) for i in range(8)]
+    pages = [page(i, html.replace("<article>", f'<article class="{label}">')) for i, (html, _) in enumerate(made)]
+    assert htmltext.extract(pages) == [t for _, t in made]
+
+
+@pytest.mark.parametrize("comment", ['<div class="comments"><article><p>so</p></article></div>', '<article class="comment"><p>so</p></article>'])
+def test_readers_comments_go_though_they_are_articles(comment):
+    made = [body(i) for i in range(5)]
+    assert htmltext.extract([page(i, html + comment) for i, (html, _) in enumerate(made)]) == [t for _, t in made]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("n", [4, 8, 30])
+def test_a_shared_heading_and_a_repeated_line_between_varying_blocks_stay(tag, n):
+    articles = [
+        (f"<{tag}><h1>{a}</h1><p>{b}</p><h2>In short</h2><p>{c}</p><p>said by all</p><p>{d}</p></{tag}>", f"{a} {b} In short {c} said by all {d}")
+        for a, b, c, d in ([prose(100 * i + k, 15) for k in range(4)] for i in range(n))
+    ]
+    assert htmltext.extract([page(i, html) for i, (html, _) in enumerate(articles)]) == [t for _, t in articles]
+
+
+def test_a_heading_shared_by_two_pages_stays():
+    articles = [f"<article><h2>In short</h2><p>{prose(i)}</p></article>" for i in range(2)]
+    assert htmltext.extract([page(i, a) for i, a in enumerate(articles)]) == [f"In short {prose(i)}" for i in range(2)]
+
+
+def test_a_box_within_the_article_that_never_varies_goes_wherever_it_stands():
+    made = [body(i) for i in range(6)]
+    box = "<div class=x2><p>Letters may be sent in at any time</p></div>"
+    assert htmltext.extract([page(i, html.replace("<ul>", box + "<ul>", 2)) for i, (html, _) in enumerate(made)]) == [t for _, t in made]
+
+
+def test_a_last_line_that_all_pages_begin_alike_goes():
+    made = [body(i) for i in range(8)]
+    pages = [page(i, html.replace("</article>", f"<p>Read next: {prose(i + 70, 4)}</p></article>")) for i, (html, _) in enumerate(made)]
+    assert htmltext.extract(pages) == [t for _, t in made]
+
+
+def test_the_template_decides_where_no_label_does(monkeypatch):
+    """Boxes of many words that all pages have alike, without labels, before and after the article."""
+    made = [body(i, "div") for i in range(10)]
+    pages = [f"<body><div class=q><p>{NOTICE}</p><p>{NOTICE}</p></div>{html}<div class=r><p>{NOTICE}</p></div>" for html, _ in made]
+    assert htmltext.extract(pages) == [t for _, t in made]
+    monkeypatch.setattr(htmltext, "template", lambda pages: {})
+    monkeypatch.setattr(htmltext, "_standing", lambda pages: frozenset())
+    assert all(NOTICE.split()[0] in text for text in htmltext.extract(pages))
+
+
+def test_a_very_long_page_is_read_whole():
+    text = " ".join(["word"] * 200_000)
+    assert htmltext.extract([f"<article><p>{text}</p></article>"]) == [text]
+
+
+def test_internal_names_repeated_rows_and_other_types(spark):
+    names = ["_host", "_groups", "_group", "n", "size", "host"]
+    pages = spark.createDataFrame([(7, "http://a/", "<p>x</p>")] * 3, "page_id int, url string, html string")
+    pages = pages.selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(names)), "map('k', 1) AS m")
+    rows = [r.asDict() for r in htmltext.main_text(pages, per_group=1).collect()]
+    assert len(rows) == 3 and all(r["text"] == "x" and [r[n] for n in names] == list(range(6)) and r["m"] == {"k": 1} for r in rows)
