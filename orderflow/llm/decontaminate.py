@@ -3,14 +3,17 @@
 The roles are turned round: the test items are indexed, and every passage of every training
 text is a query.  A posting's impact is the BM25 part of its term divided by the score the item
 gives itself, so a score says which share of the item a passage covers, and one threshold fits
-all items.  Items above it are verified: enough of the question's and of the answer's word
-sequences must stand in the passage.
+all items.  Items above it are verified in windows of their own size: one and the same window must
+reach the score and hold enough of the question's and of the answer's word sequences.  Items are
+indexed in bands of like length, each with passages of its own, so a long item does not widen the
+passages that short ones are looked for in.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import slices, small_batches, without
+from orderflow.llm.common import free_name, slices, small_batches, without
 
 WORDS = re.compile(r"\w+").findall
 K1, B = 1.2, 0.75
@@ -55,6 +58,16 @@ def sequences(words: list[str], width: int = 3) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
 
 
+def window_of(length: int) -> int:
+    """The words among which an item of so many words must stand."""
+    return length + length // 2 + 4
+
+
+def band_of(length: int) -> int:
+    """Items whose windows differ by less than four times share a band."""
+    return max(0, (window_of(length) - 1).bit_length() - 4) // 2
+
+
 @dataclass
 class Index:
     """Postings by term, in item order, with the greatest impact of each block of postings."""
@@ -67,6 +80,7 @@ class Index:
     impacts: list[list[float]]
     peaks: list[list[float]]
     most: np.ndarray
+    parts: list[dict[str, float]]  # of each item: its terms' impacts
     longest: int
     threshold: float
     block: int
@@ -178,25 +192,37 @@ def weighed_terms(items: DataFrame, text: str = "text", key: str = "item_id") ->
 
 
 def build_indexes(
-    items: DataFrame, threshold: float, text: str = "text", key: str = "item_id", per_index: int = 20_000, block: int = 8
-) -> Iterator[Index]:
-    """Indexes of at most ``per_index`` items each, with statistics over all items.
+    items: DataFrame,
+    threshold: float,
+    text: str = "text",
+    key: str = "item_id",
+    per_index: int = 20_000,
+    block: int = 8,
+    most_words: int = 2_000_000,
+) -> Iterator[list[Index]]:
+    """Indexes of about ``per_index`` items and ``most_words`` words, by bands, with statistics over all items.
 
-    Every index is small enough to be broadcast; many items make many indexes, one at a time.
+    Every list of them is small enough to be broadcast; many items make many lists, one at a time.
     """
     rows = weighed_terms(items, text, key)
-    stats = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
-    total, average, longest = stats
+    total, average, held = rows.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.size("words"))).first()
     if not total:
         return
+    parts = max(-(-total // per_index), -(-held // most_words))
     seen = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    numbered = rows.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(-(-total // per_index))))
-    for part in range(-(-total // per_index)):
+    numbered = rows.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(parts)))
+    for part in range(parts):
         mine = numbered.where(F.col("part") == part)
         chosen = sorted((r.item, r.body) for r in mine.select("item", "body").collect())
         used = mine.select(F.explode("words").alias("term")).distinct()
         df = {r.term: r.df for r in seen.join(used, "term", "left_semi").collect()}
-        yield make_index(chosen, df, total, average, longest, threshold, block)
+        bands: dict[int, list[tuple[int, str]]] = {}
+        for item, body in chosen:
+            bands.setdefault(band_of(len(tokens(body))), []).append((item, body))
+        yield [
+            make_index(alike, df, total, average, max(len(tokens(body)) for _, body in alike), threshold, block)
+            for _, alike in sorted(bands.items())
+        ]
 
 
 def make_index(
@@ -206,6 +232,7 @@ def make_index(
     terms: dict[str, int] = {}
     items: list[list[int]] = []
     impacts: list[list[float]] = []
+    shares: list[dict[str, float]] = []
     for i, words in enumerate(bodies):
         norm = K1 * (1 - B + B * len(words) / average)
         parts = {}
@@ -214,6 +241,7 @@ def make_index(
             idf = np.log(1 + (total - df.get(w, 1) + 0.5) / (df.get(w, 1) + 0.5))
             parts[w] = idf * tf * (K1 + 1) / (tf + norm)
         own = sum(parts.values())
+        shares.append({w: float(value / own) for w, value in parts.items()})
         for w, value in parts.items():
             t = terms.setdefault(w, len(terms))
             if t == len(items):
@@ -231,6 +259,7 @@ def make_index(
         impacts=impacts,
         peaks=[[max(x[k : k + block]) for k in range(0, len(x), block)] for x in impacts],
         most=np.array([max(x) for x in impacts]),
+        parts=shares,
         longest=longest,
         threshold=threshold,
         block=block,
@@ -249,31 +278,36 @@ def _checked(words: list[str]) -> set[tuple[str, ...]]:
 class Scanner:
     """Finds the items that texts contain; one per task."""
 
-    def __init__(self, index: Index, overlap: float):
-        self.index, self.overlap = index, overlap
-        self.stride = index.longest
+    def __init__(self, indexes: Index | list[Index], overlap: float):
+        self.indexes = [indexes] if isinstance(indexes, Index) else indexes
+        self.overlap = overlap
         self.seen: dict[tuple, list] = {}
 
     def __call__(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each text its verified items, the best passage of each.
+        """For each text its verified items, the best window of each."""
+        words = [tokens(t or "") for t in texts]
+        out: list[list[dict]] = [[] for _ in texts]
+        for band in range(len(self.indexes)):
+            self._scan(band, words, out)
+        return [self._best(found) for found in out]
+
+    def _scan(self, band: int, words: list[list[str]], out: list[list[dict]]) -> None:
+        """A passage has twice the words of the band's widest window and starts every so many.
 
-        A passage has twice as many words as the longest item and starts every so many, so each
-        item that stands in the text stands whole in a passage.
+        So every window of every item stands whole in the passage in whose first half it begins.
         """
-        index, stride = self.index, self.stride
-        words = [tokens(t or "") for t in texts]
+        index = self.indexes[band]
+        stride = window_of(index.longest)
         counts = np.array([len(w) for w in words])
         flat = np.fromiter((i for w in words for i in map(index.terms.get, w, repeat(-1))), np.int64, counts.sum())
         bins = np.maximum(-(-counts // stride), 1)
         base = np.concatenate([[0], np.cumsum(bins)])
-        doc = np.repeat(np.arange(len(texts)), counts)
+        doc = np.repeat(np.arange(len(words)), counts)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
         cell = base[doc] + place // stride
         hit = flat >= 0
         size = len(index.terms)
         # A passage is a cell and the one after it, in the same text.
-        last = np.zeros(base[-1], bool)
-        last[base[1:] - 1] = True
         mine = cell[hit] * size + flat[hit]
         before = (cell[hit] - 1) * size + flat[hit]
         first = np.zeros(base[-1], bool)
@@ -281,33 +315,58 @@ class Scanner:
         pairs = np.unique(np.concatenate([mine, before[~first[cell[hit]]]]))
         window, term = pairs // size, pairs % size
         possible = index.possible(window, term, base[-1])
-        out: list[list[dict]] = [[] for _ in texts]
         edges = np.searchsorted(window, np.arange(base[-1] + 1))
         for w in np.flatnonzero(possible):
             d = int(np.searchsorted(base, w, side="right")) - 1
             begin = int(w - base[d]) * stride
             passage = words[d][begin : begin + 2 * stride]
-            self._verify(term[edges[w] : edges[w + 1]].tolist(), passage, begin, out[d])
-        return [self._best(found) for found in out]
+            self._verify(band, term[edges[w] : edges[w + 1]].tolist(), passage, begin, out[d])
 
-    def _verify(self, terms: list[int], passage: list[str], begin: int, out: list[dict]) -> None:
-        key = tuple(passage)
+    def _verify(self, band: int, terms: list[int], passage: list[str], begin: int, out: list[dict]) -> None:
+        key = (band, *passage)
         if key not in self.seen:
             if len(self.seen) > 2000:
                 self.seen.clear()
-            there, rows = None, []
-            for item, score in self.index.search(terms):
+            index, there, rows = self.indexes[band], None, []
+            for item, _ in index.search(terms):
                 there = there or sequences(passage) | sequences(passage, 2) | sequences(passage, 1)
-                question = _share(_checked(self.index.questions[item]), there)
-                answer = _share(_checked(self.index.answers[item]), there)
-                if question >= self.overlap and answer >= self.overlap:
-                    rows.append((self.index.ids[item], score, question, answer))
+                question, answer = _checked(index.questions[item]), _checked(index.answers[item])
+                # What the passage has not, no window of it has.
+                if _share(question, there) >= self.overlap and _share(answer, there) >= self.overlap:
+                    rows += self._in_window(index, item, passage, question, answer)
             self.seen[key] = rows
-        for item, score, question, answer in self.seen[key]:
-            out.append(
-                {"item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer,
-                 "first_word": begin, "last_word": begin + len(passage) - 1}
-            )
+        out.extend({**row, "first_word": row["first_word"] + begin, "last_word": row["last_word"] + begin} for row in self.seen[key])
+
+    def _in_window(self, index: Index, item: int, passage: list[str], question: set, answer: set) -> list[dict]:
+        """The item's best window: among those that reach score and overlaps, the highest, then the first.
+
+        Windows that begin at a word of the item are enough: any other has no more of it than the next of these.
+        """
+        impacts, width = index.parts[item], window_of(len(index.questions[item]) + len(index.answers[item]))
+        half = window_of(index.longest)
+        places = [i for i, w in enumerate(passage) if w in impacts]
+        held: Counter[str] = Counter()
+        best, score, upto = None, 0.0, 0
+        for k, place in enumerate(places):
+            if place >= half:
+                break
+            while upto < len(places) and places[upto] < place + width:
+                w = passage[places[upto]]
+                score += impacts[w] * (not held[w])
+                held[w] += 1
+                upto += 1
+            if score >= index.threshold - 1e-9 and (best is None or score > best["score"] + 1e-9):
+                end = places[upto - 1]
+                part = passage[place : end + 1]
+                there = sequences(part) | sequences(part, 2) | sequences(part, 1)
+                asked, told = _share(question, there), _share(answer, there)
+                if asked >= self.overlap and told >= self.overlap:
+                    best = {"item_id": index.ids[item], "score": score, "question_overlap": asked, "answer_overlap": told,
+                            "first_word": place, "last_word": end}
+            w = passage[place]
+            held[w] -= 1
+            score -= impacts[w] * (not held[w])
+        return [best] if best else []
 
     @staticmethod
     def _best(found: list[dict]) -> list[dict]:
@@ -330,7 +389,7 @@ def find_leaks(
 ) -> DataFrame:
     """``docs`` with an array of the test items each text holds; empty where it is clean.
 
-    NULL, blank and repeated texts are searched like any other; items with a NULL id or text
+    Texts of any length are searched whole.  NULL, blank and repeated texts are searched like any other; items with a NULL id or text
     or without words are no items; equal items count once, and items that share an id are
     searched one by one.  A column named like the new one is replaced, the rest, or those in
     ``keep``, are handed through.
@@ -340,13 +399,13 @@ def find_leaks(
     keep = list(frame.columns if keep is None else keep)
     empty = F.array().cast(MATCH)
     frame = frame.select(*dict.fromkeys([*keep, text])).withColumn(column, empty)
-    for index in build_indexes(items, threshold, per_index=per_index):
-        frame = _scanned(frame, index, text, overlap, column)
+    for indexes in build_indexes(items, threshold, per_index=per_index):
+        frame = _scanned(frame, indexes, text, overlap, column)
     return frame.select(*keep, column)
 
 
-def _scanned(frame: DataFrame, index: Index, text: str, overlap: float, column: str) -> DataFrame:
-    shared = frame.sparkSession.sparkContext.broadcast(index)
+def _scanned(frame: DataFrame, indexes: list[Index], text: str, overlap: float, column: str) -> DataFrame:
+    shared = frame.sparkSession.sparkContext.broadcast(indexes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, overlap)
@@ -363,5 +422,6 @@ def _scanned(frame: DataFrame, index: Index, text: str, overlap: float, column:
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the texts that hold a test item."""
-    found = find_leaks(docs, items, text, column="_leaks", **options)
-    return found.where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = free_name(docs, "_leaks")
+    found = find_leaks(docs, items, text, column=leaks, **options)
+    return found.where(F.size(leaks) == 0).drop(leaks)

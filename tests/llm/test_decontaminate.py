@@ -120,3 +120,65 @@ def test_odd_texts_items_and_clashing_columns(spark):
     assert kept.count() == len(ODD)
     assert dc.find_leaks(docs, items_of(spark, [])).count() == len(ODD) + 1
     assert dc.find_leaks(documents(spark, []), chosen).count() == 0
+
+
+def scattered(item, n, rng):
+    """The item's words at random places of a text of other words."""
+    text = prose(rng.randrange(10**6), n).split()
+    for place, w in zip(rng.sample(range(n), len(item.split())), item.split()):
+        text[place] = w
+    return " ".join(text)
+
+
+@pytest.mark.parametrize("longest", [46, 400, 3000])
+def test_a_long_item_does_not_make_scattered_words_a_leak(spark, longest):
+    rng = random.Random(longest)
+    chosen = [(1, item(1)), (2, item(2, 4)), (3, item(3, longest))]
+    texts = [scattered(item(1 + i % 2, (20, 4)[i % 2]), 4000, rng) for i in range(20)]
+    texts += [f"{prose(800 + i, 1500)} {body} {prose(850 + i, 1500)}" for i, (_, body) in enumerate(chosen)]
+    found = dc.find_leaks(documents(spark, texts), items_of(spark, chosen)).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found if r.leaks} == {20: [1], 21: [2], 22: [3]}
+
+
+def plainly(text, bodies, split, df, average, threshold, overlap):
+    """Every window of every item, scored and compared on its own."""
+    words, out = dc.tokens(text), {}
+    for i, body in enumerate(bodies):
+        own = bm25(body, body, df, len(bodies), average)
+        for begin in range(len(words)):
+            part = words[begin : begin + dc.window_of(len(body))]
+            score = bm25(body, part, df, len(bodies), average) / own
+            shares = []
+            for side in split[i]:
+                width = min(3 if len(side) >= 8 else 1, len(side))
+                wanted = {tuple(side[k : k + width]) for k in range(len(side) - width + 1)} if width else set()
+                there = {tuple(part[k : k + width]) for k in range(len(part) - width + 1)}
+                shares.append(len(wanted & there) / len(wanted) if wanted else 1.0)
+            if score >= threshold - 1e-9 and min(shares) >= overlap:
+                out[i] = max(out.get(i, 0.0), score)
+    return out
+
+
+def test_the_whole_result_is_that_of_trying_every_window():
+    rng = random.Random(8)
+    pool = [prose(i, 1) for i in range(90)]
+    say = lambda n: " ".join(rng.choices(pool, k=n))
+    chosen = [(i, f"{say(rng.choice([2, 5, 9, 30, 90])).capitalize()}? {say(rng.choice([1, 4, 10])).capitalize()}.") for i in range(30)]
+    bodies = [dc.tokens(t) for _, t in chosen]
+    split = [tuple(map(dc.tokens, dc.question_and_answer(t))) for _, t in chosen]
+    df = Counter(w for b in bodies for w in set(b))
+    average = sum(map(len, bodies)) / len(bodies)
+    bands = {}
+    for i, t in chosen:
+        bands.setdefault(dc.band_of(len(bodies[i])), []).append((i, t))
+    assert len(bands) > 2
+    indexes = [dc.make_index(b, df, 30, average, max(len(bodies[i]) for i, _ in b), 0.6, 3) for b in bands.values()]
+    texts = []
+    for _ in range(25):
+        near = chosen[rng.randrange(30)][1].split()
+        for _ in range(rng.randrange(4)):
+            near.insert(rng.randrange(len(near)), rng.choice(pool))
+        texts.append(" ".join([say(rng.randrange(120)), *near, say(rng.randrange(120))]))
+    found = [{m["item_id"]: m["score"] for m in ms} for ms in dc.Scanner(indexes, 0.5)(texts)]
+    assert sum(map(len, found)) >= 25
+    assert found == [pytest.approx(plainly(t, bodies, split, df, average, 0.6, 0.5)) for t in texts]
