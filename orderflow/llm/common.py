@@ -101,6 +101,25 @@ def hashed_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed_bits(np.add.reduceat(sums, starts)), first
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of ``df`` under names no operator uses itself, but for ``used``; and each one's new name.
+
+    Renaming moves no data.  ``given_back`` undoes it.
+    """
+    kept = {u.lower() for u in used}
+    names = {c: c if c.lower() in kept else f"given_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def new_name(names: dict[str, str], column: str) -> str:
+    """What ``set_aside`` made of the column, whatever its case."""
+    return next(n for c, n in names.items() if c.lower() == column.lower())
+
+
+def given_back(names: dict[str, str]) -> list[Column]:
+    return [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column has it."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name, hashed_words, mixed_bits, slices, small_batches, text_of
+from orderflow.llm.common import free_name, given_back, hashed_words, mixed_bits, new_name, set_aside, slices, small_batches, text_of
 from orderflow.session import Stage
 
 WIDTH = 5
@@ -478,8 +478,10 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """``docs`` with one document of each component: the smallest key, NULL last.
 
     Documents without words are all kept, for they are like nothing.  Of repeated rows that are
-    chosen one is kept.
+    chosen one is kept.  Columns of any name are handed through.
     """
+    docs, names = set_aside(docs)
+    text, key = new_name(names, text), new_name(names, key)
     stage = Stage(docs.sparkSession)
     found = stage.put("found", similar(docs, text, key, percent).where("cls IS NOT NULL"))
     best = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "cls")).alias("best")
@@ -490,4 +492,4 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     kept = named.join(chosen, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_named") == F.col("_cls")), "left_semi")
     if not again:
         kept = kept.dropDuplicates([key, "_named"])
-    return kept.union(named.where(F.col("_named").isNull())).select(*columns)
+    return kept.union(named.where(F.col("_named").isNull())).select(*given_back(names))

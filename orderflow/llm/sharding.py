@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import hash_text, text_of, without
+from orderflow.llm.common import given_back, hash_text, new_name, set_aside, text_of, without
 from orderflow.session import Stage
 
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -71,9 +71,18 @@ def shard(
 
     The boundaries that are collected number shards x ranges_per_shard, whatever the input.
     NULL text: 8 bytes, crc of nothing.  NULL keys and repeated rows are records like any
-    other.  Columns named like an added one are replaced.  An empty table gives no rows.
+    other, texts of any length count whole.  Columns named like an added one are replaced, all
+    others, whatever their names, are handed through.  An empty table gives no rows.
     """
-    spark, stage = docs.sparkSession, Stage(docs.sparkSession)
+    base, names = set_aside(without(docs, *ADDED))
+    found = _sharded(base, shards, new_name(names, text), new_name(names, key), ranges_per_shard, draws_per_range, whole_copies)
+    return found.select(*given_back(names), *ADDED)
+
+
+def _sharded(
+    docs: DataFrame, shards: int, text: str, key: str, ranges_per_shard: int, draws_per_range: int, whole_copies: float
+) -> DataFrame:
+    stage = Stage(docs.sparkSession)
     slim = stage.put("keys", _keyed(docs, text, key).select(*KEYS[:3]))
     total = slim.agg(F.sum("_size")).first()[0] or 0
     ranges = shards * ranges_per_shard
@@ -155,7 +164,7 @@ def shard(
         )
 
     firsts = stage.put("firsts", placed(slim).groupBy("_shard").agg(F.min("_row").alias("_start")))
-    result = placed(_keyed(without(docs, *ADDED), text, key)).join(F.broadcast(firsts), "_shard")
+    result = placed(_keyed(docs, text, key)).join(F.broadcast(firsts), "_shard")
     return result.withColumns(
         {
             "size": F.col("_size"),

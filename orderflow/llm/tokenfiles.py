@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from orderflow.llm.common import slices, small_batches, text_of
 
 # Parquet settings by column: ids repeat and take a dictionary; sorted whole numbers take deltas.
+OWN = frozenset("part place tokens n_tokens ids_crc32 start _text _offset _inside _all".split())
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
@@ -136,9 +137,17 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def key_name(key: str) -> str:
+    """The key's name in the files: underscores go before one that the files or their readers use themselves."""
+    while key.lower() in OWN:
+        key = f"_{key}"
+    return key
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key, part, place in the part and token ids; parts and places follow the key order."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, part int, place long, tokens array<int>, n_tokens int"
+    name = key_name(key)
+    schema = f"`{name}` {docs.schema[key].dataType.simpleString()}, part int, place long, tokens array<int>, n_tokens int"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,17 +162,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), tokens, pa.array(sizes)],
-                [key, "part", "place", "tokens", "n_tokens"],
+                [name, "part", "place", "tokens", "n_tokens"],
             )
             place += n
         ids_of.known.wanted(now=False)
 
     small_batches(docs.sparkSession, 2000)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key), text_of(text).alias("_text"))
+    rows = docs.select(F.col(f"`{key}`").alias(name), text_of(text).alias("_text"))
     return (
-        rows.repartitionByRange(parts, key)
-        .sortWithinPartitions(key, "_text")
+        rows.repartitionByRange(parts, name)
+        .sortWithinPartitions(name, "_text")
         .mapInArrow(encode, schema)
     )
 
@@ -171,8 +180,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", k
 def write_tokens(docs: DataFrame, folder: str, path: str, **options) -> None:
     """Write ``docs`` in key order; ``folder`` then holds a file or more per part.
 
-    NULL texts hold the end id alone, NULL keys come first, equal keys are ordered by text.
-    An empty table writes an empty file.
+    NULL texts hold the end id alone, NULL keys come first, equal keys are ordered by text,
+    repeated rows are written each; texts of any length are encoded whole.  Columns other than
+    key and text are not written.  An empty table writes an empty file.
     """
     writer = tokenized(docs, path, **options).write.mode("overwrite")
     for name, value in LAYOUT.items():
@@ -207,8 +217,9 @@ def with_starts(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
 
 def digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """Per document of the files: key, part, place, n_tokens and the crc32 of its ids."""
+    key = key_name(key)
     frame = read_tokens(spark, folder, key, "part", "place", "tokens")
-    schema = f"{key} {frame.schema[key].dataType.simpleString()}, part int, place long, n_tokens long, ids_crc32 long"
+    schema = f"`{key}` {frame.schema[key].dataType.simpleString()}, part int, place long, n_tokens long, ids_crc32 long"
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

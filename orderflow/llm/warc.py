@@ -134,9 +134,23 @@ def _derived(record: str, uri: str | None, date: str | None, headers: str | None
     return out
 
 
+def _beside(names: list[str], keep: list[str]) -> dict[str, str]:
+    """The kept columns' names, none of them among ``names`` or twice."""
+    taken, given = {n.lower() for n in names}, {}
+    for column in keep:
+        name = column
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        given[column] = name
+    return given
+
+
 def derive(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A metadata and a conversion record per response; columns in ``keep`` come first.
 
+    One that is named like a record's own column gets underscores before its name.
+
     Responses are independent, so nothing is shuffled.  A NULL payload or header counts as
     empty; a record without an id is skipped, for nothing could refer to it.  Texts of any
     length are handled one response at a time.
@@ -144,6 +158,7 @@ def derive(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = list(keep or [])
     small_batches(records.sparkSession)
     source = ["record_id", "target_uri", "date", "http_headers", "payload"]
+    given = _beside([c.split()[0] for c in RECORD.split(", ")], keep)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
@@ -155,15 +170,17 @@ def derive(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 of.extend([i] * 2)
             handed = [batch.column(c).take(pa.array(of, pa.int32())) for c in keep]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([*handed, *columns], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*handed, *columns], [*given.values(), *names])
 
     frame = records.where(F.col("record_id").isNotNull()).select(*dict.fromkeys([*keep, *source]))
-    handed = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep)
+    handed = "".join(f"`{given[c]}` {frame.schema[c].dataType.simpleString()}, " for c in keep)
     return frame.mapInArrow(build, handed + RECORD)
 
 
 def _header(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value.cast("string"))
+    """A header line; line ends in a value (of a url, say) are written as in urls and begin no other header."""
+    held = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.concat(F.lit(f"{name}: "), held)
 
 
 def serialised(records: DataFrame) -> DataFrame:
@@ -179,7 +196,7 @@ def serialised(records: DataFrame) -> DataFrame:
         _header("WARC-Block-Digest", F.col("block_digest")),
         _header("WARC-Source-Block-Digest", F.col("source_block_digest")),
         _header("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
-        _header("WARC-Source-HTTP-Headers", F.base64(F.encode("source_headers", "UTF-8"))),
+        _header("WARC-Source-HTTP-Headers", F.regexp_replace(F.base64(F.encode("source_headers", "UTF-8")), r"\s+", "")),
         _header("Content-Type", F.col("content_type")),
         _header("Content-Length", F.col("content_length")),
     )
