@@ -27,7 +27,8 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    times = mixing.in_millionths("positions").alias("training_times")
+    return found.select("doc_id", "size", "source_size", "target", "taken", times)
 
 
 def training_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +107,7 @@ QUERIES = {
     "op7_token_files": token_files,
     "op8_class_lm": class_lm_scores,
     "op9_curriculum_mix": mixed,
-    "op9_training_order": training_order,
+    "curriculum_training_order": training_order,
     "op10_jaccard_join": similar_documents,
     "op11_part_trie": part_codes,
     "op12_shallot_clusters": clusters,
@@ -172,11 +173,11 @@ WITH sized AS (
                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
     FROM weighed
 ), wanted AS (
-    SELECT source, source_size, CASE WHEN cap / w >= max(level) FILTER (level * w <= cap) OVER ()
+    SELECT source, source_size, n AS number, CASE WHEN cap / w >= max(level) FILTER (level * w <= cap) OVER ()
         THEN max(level) FILTER (level * w <= cap) OVER () * w ELSE CAST(cap AS DOUBLE) END AS target
     FROM leveled
 ), placed AS (
-    SELECT s.doc_id, s.source, s.h, s.size, t.source_size, t.target,
+    SELECT s.doc_id, s.source, s.h, s.size, t.source_size, t.target, [0.5, -0.5, 0.0][CAST(t.number % 3 AS INTEGER) + 1]::DOUBLE AS slope,
            sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.size ROWS UNBOUNDED PRECEDING) - s.size AS here
     FROM sized s JOIN wanted t ON s.source IS NOT DISTINCT FROM t.source
 ), due AS (
@@ -191,10 +192,19 @@ WITH sized AS (
     FROM gapped
 ), swapped AS (
     SELECT *, first_value(CASE WHEN beyond IS NOT NULL THEN h END)
-        OVER (PARTITION BY source ORDER BY beyond NULLS LAST, h) AS best
+        OVER (PARTITION BY source ORDER BY beyond NULLS LAST, h, here) AS best,
+        first_value(CASE WHEN beyond IS NOT NULL THEN here END)
+        OVER (PARTITION BY source ORDER BY beyond NULLS LAST, h, here) AS best_here
     FROM offered
+), counted AS (
+    SELECT *, CAST(n + CASE WHEN h = best AND here = best_here AND size > 0 THEN sign(gap) ELSE 0 END AS BIGINT) AS copies
+    FROM swapped
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * (n + CASE WHEN h = best THEN sign(gap) ELSE 0 END) AS BIGINT) AS taken
-FROM swapped""",
+SELECT doc_id, size, source_size, target, size * copies AS taken,
+       coalesce(array_to_string(list_transform(
+           list_transform(range(copies), lambda p: least(CAST(p * source_size + here AS DOUBLE) / target, 1.0::DOUBLE)),
+           lambda d: CAST(floor(CASE WHEN abs(slope) < 1e-9 THEN d
+               ELSE 2 * d / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * d)) END * 1000000) AS BIGINT)
+       ), ','), '') AS training_times
+FROM counted""",
 }

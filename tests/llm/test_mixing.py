@@ -91,7 +91,7 @@ def test_the_training_order_is_registered_with_ranks(spark, tmp_path):
     """Every taken copy once, at the time its source's schedule gives it, ranked by that time."""
     docs = documents(spark, [prose(i, 1 + i % 23) for i in range(300)], ("a", "b", "c", "d"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    rows = [r.asDict() for r in QUERIES["op9_training_order"](spark, str(tmp_path)).collect()]
+    rows = [r.asDict() for r in QUERIES["curriculum_training_order"](spark, str(tmp_path)).collect()]
     rows.sort(key=lambda r: r["rank"])
     assert [r["rank"] for r in rows] == list(range(len(rows)))
     order = [(r["position"], r["source"], r["doc_id"]) for r in rows]
