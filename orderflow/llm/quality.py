@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import IS_SPACE, doc_crc, hashed_words, slices, small_batches, text_of, without
+from orderflow.llm.common import IS_SPACE, doc_crc, hashed_words, slices, small_batches, text_of, without, word_count
+from orderflow.session import Stage
 
 PASSAGE = 64
 # Kinds of bytes: space, line end, lower, upper, digit, a kind per common mark, other marks, rest.
@@ -163,14 +164,15 @@ def fit(
     key: str = "doc_id",
     label: str = "quality",
     most_per_label: int = 1500,
-    most_passages: int = 64,
+    most_passages: int = 20_000,
 ) -> Model | None:
     """A model from labelled documents that are not held out (crc32 of the key, mod 3, is 1).
 
     The training sample is bounded: ``most_per_label`` documents of each label, the first by a
-    hash of the key, and of each at most ``most_passages`` passages, spread evenly.  Every
-    other use of the model covers whole texts.  A key with several labels takes the largest.
-    None without labels of both kinds.
+    hash of the key, as many as begin within the first ``most_passages`` passages.  Each of
+    them is learned from whole, and every other use of the model covers whole texts.  A key with
+    several labels takes the largest, repeated rows of a key count once, with the smallest of
+    their texts.  None without labels of both kinds, as for empty tables.
     """
     small_batches(docs.sparkSession)
     usable = (
@@ -188,18 +190,21 @@ def fit(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
             x, rows = encode(batch.column("_text").to_pylist())
-            kept = []
-            for a, b in zip(rows[:-1], rows[1:]):
-                take = np.unique(np.linspace(a, b - 1, min(b - a, most_passages)).round().astype(int))
-                kept.append(x[take].astype(np.float16).tobytes())
+            kept = [x[a:b].astype(np.float16).tobytes() for a, b in zip(rows[:-1], rows[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], ["k", "y", "x"])
 
-    chosen = (
+    # At most twice most_per_label rows; repeated rows are brought together before the shuffle.
+    chosen = Stage(docs.sparkSession).put(
+        "sample",
         docs.select(F.col(key), text_of(text).alias("_text"))
         .join(F.broadcast(sample), key)
-        .select(F.md5(F.col(key).cast("string")).alias("k"), "_label", "_text")
-        .mapInArrow(features, "k string, y int, x binary")
+        .groupBy(F.md5(F.col(key).cast("string")).alias("k"), "_label")
+        .agg(F.min("_text").alias("_text")),
     )
+    earlier = Window.partitionBy("_label").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    passages = F.greatest(F.ceil(word_count("_text") / PASSAGE), F.lit(1))
+    begun = chosen.select("k", F.coalesce(F.sum(passages).over(earlier), F.lit(0)).alias("before")).where(F.col("before") < most_passages)
+    chosen = chosen.join(F.broadcast(begun.select("k")), "k").select("k", "_label", "_text").mapInArrow(features, "k string, y int, x binary")
     found = sorted((r.k, r.y, bytes(r.x)) for r in chosen.collect())
     if {y for _, y, _ in found} != {0, 1}:
         return None
