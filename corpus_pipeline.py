@@ -18,24 +18,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents the classifier scores 0.5 or more, NULL and blank texts among them; an empty table or no labels keep all."""
     model = quality.fit(docs, table(spark, folder, "labels"))
     return quality.score(docs, model, column="_score").where("_score >= 0.5").select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies; texts without words are like nothing and stay."""
     return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a test item; NULL texts hold none and stay."""
     return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, folder, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """A row per copy the mix takes, in training order."""
+    """A row per copy the mix takes, in training order; texts without words are never taken."""
     return mixing.in_training_order(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The digests of all documents handed in, repeated rows each, from files in ascending doc_id order."""
     path = Stage(spark).path("tokens")
     tokenfiles.write_tokens(docs, path, tokenizer_path())
     return tokenfiles.with_starts(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
