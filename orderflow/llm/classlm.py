@@ -3,11 +3,14 @@
 P(word | previous) = P(class | previous class) x P(word | class), both smoothed so that all
 words, and one unknown word per class, sum to one.
 
-All words have a class.  What the clustering moves are units: each frequent word is one, and
+All words have a class.  The core of the clustering moves units: each frequent word is one, and
 all other words that share a hash of their ending are one together, so the table of unit
-bigrams has a fixed size while every bigram of the training texts is in it.  Exact counts of
-the most frequent words travel to the scoring tasks as a table of bounded size; the counts of
-all others are joined by word.
+bigrams has a fixed size while every bigram of the training texts is in it.  Then every other word
+that occurs often enough moves to its own best class, by its counts of neighbouring classes, in
+Spark's tasks; their number grows with the texts, and only the rarest words stay with their ending.
+The transitions are counted anew from the classes words have in the end.  Classes and counts of
+the most frequent words travel to the tasks as a table of bounded size; those of all others are
+joined by word.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from orderflow.llm.common import doc_crc, slices, small_batches, text_of
 from orderflow.session import Stage
 
+UNLISTED = 255  # stands in a line of classes for a word whose class is joined
+
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 
@@ -109,11 +114,12 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
     """The class of every unit; the last unit, the end, keeps class 0 to itself.
 
     Units start dealt out by frequency.  Each in turn moves to the class that gives the
-    training bigrams the highest likelihood, until a sweep moves none.
+    training bigrams the highest likelihood, until a sweep moves none (or after ``sweeps``).
+    Each move makes the likelihood greater, so the sweeps end.
     """
     n = bigrams.astype(np.float64)
     size = len(n)
@@ -123,7 +129,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     label[order] = 1 + np.arange(size - 1) % (classes - 1)
     member = np.eye(classes)[label]
     table = member.T @ n @ member
-    for _ in range(sweeps):
+    for _ in count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
             if not counts[w]:
@@ -156,7 +162,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What a scoring task needs; ``word`` maps the listed words to their places in ``counts``."""
+    """The model of the units; ``words`` and ``counts`` are the listed words."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -168,12 +174,6 @@ class Model:
     ends: int
     total: int
     distinct: int
-    place: dict = field(default_factory=dict, repr=False)
-
-    def index(self) -> dict[bytes, int]:
-        if not self.place:
-            self.place.update((w, i) for i, w in enumerate(self.words))
-        return self.place
 
 
 def _numbered(words: list[bytes], frequent: int, families: int) -> np.ndarray:
@@ -221,56 +221,200 @@ def fit(
     return Model(words, known, frequent, families, label, transitions, emission, ends, total, kinds)
 
 
-def _parts(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    """Per document: what is known without the counts of unlisted words, and those words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_tokens long, n_listed long, listed double, context double, rare array<string>"
+def _hopeful(counts: DataFrame, enough: int, width: int = 26) -> np.ndarray:
+    """Bits: those of crc32 mod 2^width of the words with ``enough`` occurrences are set; 8 MB at any size of the input."""
+    bit = F.pmod(F.crc32("word"), F.lit(1 << width))
+    lines = counts.where(F.col("n") >= enough).groupBy(F.shiftright(bit, 6).alias("line"))
+    found = lines.agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(crc32(word), {1 << width}) & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << width >> 6, np.int64)
+    bits[found["line"].to_numpy()] = found["bits"].to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+
+
+class _Seen(dict):
+    """Words of a task: class, plus the word's place times ``STEP`` if its neighbours are counted."""
+
+    STEP = 256
+
+    def __init__(self, core: dict[bytes, int], family_class: np.ndarray, bits: np.ndarray):
+        super().__init__(core)
+        self.family_class, self.bits = family_class.tolist(), bits
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.family_class[family(word, len(self.family_class))]
+        if self.bits[zlib.crc32(word) % len(self.bits)]:
+            self.names.append(word)
+            code += len(self.names) * self.STEP
+        self[word] = code
+        return code
+
+
+def neighbour_classes(texts: DataFrame, core: Model, bits: np.ndarray, most: int = 4_000_000) -> DataFrame:
+    """(word, slot, n) for words outside the core whose bit is set, added up within a task.
+
+    Slots count the classes of the words before, and from the number of classes on those of the words after.
+    """
+    classes = len(core.transitions)
+    end = int(core.unit_class[-1])
+    frequent = dict(zip(core.words[: core.frequent], core.unit_class.tolist()))
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, core.unit_class[core.frequent : -1], np.packbits(bits)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, family_class, packed = shared.value
+        wanted = np.unpackbits(packed).view(bool)
+        seen = _Seen(known, family_class, wanted)
+        held: list[np.ndarray] = []
+
+        def flushed(step: int = 100_000) -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            names = pa.array(seen.names, pa.binary()).cast(pa.string())
+            for a in range(0, len(found), step):
+                some = found[a : a + step]
+                word = names.take(pa.array(some // (2 * classes) - 1))
+                slot = pa.array((some % (2 * classes)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([word, slot, pa.array(n[a : a + step])], ["word", "slot", "n"])
+
+        for batch in slices(batches, "_text"):
+            flat = [end]
+            for text in batch.column("_text").to_pylist():
+                flat.extend(map(seen.__getitem__, tokens(text)))
+                flat.append(end)
+            place, label = np.divmod(np.array(flat, np.int64), _Seen.STEP)
+            at = np.flatnonzero(place)
+            row = place[at] * (2 * classes)
+            held += [row + label[at - 1], row + classes + label[at + 1]]
+            if sum(map(len, held)) > most or len(seen) > most // 8:
+                yield from flushed()
+                held, seen = [], _Seen(known, family_class, wanted)
+        if held:
+            yield from flushed()
+
+    return texts.select("_text").mapInArrow(count, "word string, slot int, n long")
+
+
+def own_classes(neighbours: DataFrame, core: Model, enough: int) -> DataFrame:
+    """(word, class): the class in which the core model finds the word's occurrences likeliest.
+
+    This is the exchange of one word with the table of classes held fixed, so all words move at
+    once, each in the task that holds its counts.  Words of fewer than ``enough`` occurrences,
+    told by their successors, stay with their ending.
+    """
+    classes = len(core.transitions)
+    weights = np.concatenate([core.transitions, core.transitions.T])
+    emission = core.emission
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("slots")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            pairs = lists.flatten()
+            counts = np.zeros((batch.num_rows, 2 * classes))
+            counts[row, pairs.field("slot").to_numpy()] = pairs.field("n").to_numpy()
+            n = counts[:, classes:].sum(1)
+            worth = counts @ weights - n[:, None] * emission
+            worth[:, 0] = -np.inf
+            # Sums may differ in their last bits by the batch a word is in.
+            label = np.argmax(np.round(worth, 6), 1).astype(np.int32)
+            keep = pa.array(n >= enough)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(label)], ["word", "class"]).filter(keep)
+
+    # One shuffle, by word: a word comes once a task and slot at most, whatever its frequency.
+    each = neighbours.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    slots = each.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    return slots.mapInArrow(best, "word string, class int")
+
+
+def _labelled(docs: DataFrame, words: list[bytes], counts: np.ndarray, label: np.ndarray, core: Model) -> DataFrame:
+    """Per document: the classes of its tokens, a byte each, and its unlisted words with the class of their ending."""
+    end, ends = int(core.unit_class[-1]), core.ends
+    shared = docs.sparkSession.sparkContext.broadcast((words, counts, label, core.unit_class[core.frequent : -1]))
+    kind = docs.schema["_key"].dataType.simpleString()
+    schema = f"_key {kind}, n_tokens long, n_listed long, listed double, labels binary, rare array<struct<word: string, ending: int>>"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known = m.index()
-        units = _numbered(m.words, m.frequent, m.families)
-        logs = np.log10(m.counts + 1.0)
-        end = len(m.unit_class) - 1
+        words, counts, label, family_class = shared.value
+        known = {w: i for i, w in enumerate(words)}
+        families = len(family_class)
+        # Last the end, and before it what is not listed.
+        classes = np.concatenate([label, [UNLISTED, end]]).astype(np.uint8)
+        logs = np.concatenate([np.log10(counts + 1.0), [0.0, np.log10(ends + 1.0)]])
+        has = np.concatenate([np.ones(len(words), np.int64), [0, ends > 0]])
         for batch in slices(batches, "_text"):
             flat: list[int] = []
-            rare, sizes = [], []
-            unlisted: list[int] = []
+            rare: list[bytes] = []
+            sizes, rares = [0], [0]
             for text in batch.column("_text").to_pylist():
-                words = tokens(text)
-                ids = list(map(known.get, words, repeat(-1)))
-                own = [w for i, w in zip(ids, words) if i < 0]
-                unlisted.extend(m.frequent + family(w, m.families) for w in own)
-                rare.append(own)
+                own = tokens(text)
+                ids = list(map(known.get, own, repeat(-2)))
+                rare.extend(w for i, w in zip(ids, own) if i == -2)
                 flat.extend(ids)
-                flat.append(-2)
-                sizes.append(len(words) + 1)
-            ids = np.array(flat, np.int64)
-            first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            unit = np.full(len(ids), end)
-            unit[ids >= 0] = units[ids[ids >= 0]]
-            unit[ids == -1] = unlisted
-            label = m.unit_class[unit]
-            before = np.concatenate([[m.unit_class[end]], label[:-1]])
-            context = m.transitions[before, label] - m.emission[label]
-            worth = np.zeros(len(ids))
-            worth[ids >= 0] = logs[ids[ids >= 0]]
-            worth[ids == -2] = np.log10(m.ends + 1.0)
-            has = (ids >= 0) | ((ids == -2) & (m.ends > 0))
+                flat.append(-1)
+                sizes.append(len(flat))
+                rares.append(len(rare))
+            ids, first = np.array(flat, np.int64), np.array(sizes[:-1])
+            line = classes[ids].tobytes()
+            ending = family_class[np.array([family(w, families) for w in rare], np.int64)]
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(ending.astype(np.int32))], ["word", "ending"]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.array(sizes, np.int64)),
-                    pa.array(np.add.reduceat(has.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(worth, first)),
-                    pa.array(np.add.reduceat(context, first)),
-                    pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    pa.array(np.diff(sizes).astype(np.int64)),
+                    pa.array(np.add.reduceat(has[ids], first)),
+                    pa.array(np.add.reduceat(logs[ids], first)),
+                    pa.array([line[a:b] for a, b in zip(sizes[:-1], sizes[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(rares, pa.int32()), pairs),
                 ],
-                [key, "n_tokens", "n_listed", "listed", "context", "rare"],
+                ["_key", "n_tokens", "n_listed", "listed", "labels", "rare"],
             )
 
-    return docs.select(key, "_text").mapInArrow(rate, schema)
+    return docs.select("_key", "_text").mapInArrow(rate, schema)
+
+
+def _whole_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all tokens of a batch, those joined by word in their places, and each document's first token."""
+    lines = batch.column("labels").to_pylist()
+    label = np.frombuffer(b"".join(lines), np.uint8).copy()
+    label[label == UNLISTED] = batch.column("joined").flatten().to_numpy()
+    return label.astype(np.int64), np.cumsum([0, *map(len, lines)])[:-1]
+
+
+def _class_bigrams(lines: DataFrame, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes; class 0, the end, also starts a text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(classes * classes, np.int64)
+        for batch in slices(batches, "labels"):
+            label, _ = _whole_lines(batch)
+            # Each text ends with class 0, so the one before a text's first token is 0 as well.
+            before = np.concatenate([[0], label[:-1]])
+            sums += np.bincount(before * classes + label, minlength=classes * classes)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["pair", "n"])
+
+    table = np.zeros(classes * classes, np.int64)
+    pairs = lines.select("labels", "joined").mapInArrow(count, "pair long, n long")
+    # At most the square of the number of classes.
+    for row in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[row.pair] = row.n
+    return table.reshape(classes, classes)
+
+
+def _contexts(lines: DataFrame, transitions: np.ndarray, emission: np.ndarray) -> DataFrame:
+    kind = lines.schema["_key"].dataType.simpleString()
+    schema = f"_key {kind}, n_tokens long, n_known long, worth double, context double"
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "labels"):
+            label, first = _whole_lines(batch)
+            before = np.concatenate([[0], label[:-1]])
+            context = np.add.reduceat(transitions[before, label] - emission[label], first)
+            columns = [batch.column(c) for c in ("_key", "n_tokens", "n_known", "worth")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(context)], ["_key", "n_tokens", "n_known", "worth", "context"])
+
+    return lines.mapInArrow(rate, schema)
 
 
 def scored(
@@ -281,44 +425,78 @@ def scored(
     families: int = 256,
     classes: int = 48,
     listed: int = 200_000,
+    enough: int = 3,
+    alpha: float = 0.5,
 ) -> DataFrame:
     """Key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     Learns from documents whose crc32 of the key, mod 7, is not 2, and scores all.  NULL and
     blank texts have the end as their only token.  Repeated rows and keys are documents like
-    any other.  Without training documents every count is 0.
+    any other.  Without training documents every count is 0.  Texts of any length are read
+    whole; a document's classes, a byte a token, are held by one task.  Other columns are not
+    read, whatever their names.
     """
+    if not 2 <= classes < UNLISTED:
+        raise ValueError(f"classes must be from 2 to {UNLISTED - 1}")
     spark = docs.sparkSession
     small_batches(spark)
     stage = Stage(spark)
-    base = docs.select(F.col(key), text_of(text).alias("_text"), (doc_crc(key) % 7 == 2).alias("held_out"))
-    training = base.where(~F.col("held_out")).select("_text")
+    base = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
+    training = base.where(doc_crc("_key") % 7 != 2).select("_text")
     counts = stage.put("counts", word_counts(training, families))
-    model = fit(counts, training, frequent, families, classes, listed)
-
-    parts = stage.put("parts", _parts(base, model, key).withColumn("row", F.monotonically_increasing_id()))
+    core = fit(counts, training, frequent, families, classes, listed, alpha)
+
+    own = own_classes(neighbour_classes(training, core, _hopeful(counts, enough)), core, enough)
+    exchanged = [(w.decode(), int(c)) for w, c in zip(core.words[: core.frequent], core.unit_class)]
+    ending = F.lit(core.unit_class[core.frequent : -1].tolist())[F.col("family")]
+    labels = own.unionByName(spark.createDataFrame(exchanged, "word string, class int"))
+    known = counts.join(labels, "word", "left").select("word", "n", F.coalesce("class", ending).cast("int").alias("class"))
+    vocabulary = stage.put("vocabulary", known)
+    top = vocabulary.where(F.col("n") >= _least_listed(counts, listed)).toArrow()
+    words = [w.encode() for w in top["word"].to_pylist()]
+
+    parts = _labelled(base, words, top["n"].to_numpy(), top["class"].to_numpy(), core)
+    parts = stage.put("parts", parts.withColumn("row", F.monotonically_increasing_id()))
     rare = (
-        parts.select("row", F.explode("rare").alias("word"))
-        .join(counts.select("word", "n"), "word", "left")
+        parts.select("row", F.posexplode("rare").alias("at", "one"))
+        .select("row", "at", "one.ending", F.col("one.word").alias("word"))
+        .join(vocabulary, "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_worth"),
             F.count("n").alias("rare_known"),
+            F.array_sort(F.collect_list(F.struct("at", F.coalesce("class", "ending").cast("tinyint").alias("label")))).alias("found"),
         )
     )
-    worth = F.col("listed") + F.coalesce("rare_worth", F.lit(0.0))
-    every = float(np.log10(model.total + model.distinct + 1))
+    nothing = F.array().cast("array<tinyint>")
+    joined = parts.drop("rare").join(rare, "row", "left").select(
+        "_key",
+        "n_tokens",
+        (F.col("n_listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("listed") + F.coalesce("rare_worth", F.lit(0.0))).alias("worth"),
+        "labels",
+        F.coalesce(F.col("found.label"), nothing).alias("joined"),
+    )
+    lines = stage.put("lines", joined)
+
+    table = _class_bigrams(lines.where(doc_crc("_key") % 7 != 2), classes)
+    transitions = np.log10((table + alpha) / (table.sum(1, keepdims=True) + alpha * classes))
+    kinds = np.zeros(classes)
+    kinds[0] = core.ends > 0
+    for row in vocabulary.groupBy("class").agg(F.count("*").alias("k")).collect():
+        kinds[row["class"]] = row.k
+    emission = np.log10(table.sum(0) + kinds + 1)
+    every = float(np.log10(core.total + core.distinct + 1))
     return (
-        parts.drop("rare")
-        .join(rare, "row", "left")
+        _contexts(lines, transitions, emission)
         .select(
-            key,
-            (doc_crc(key) % 7 == 2).alias("held_out"),
+            F.col("_key").alias(key),
+            (doc_crc("_key") % 7 == 2).alias("held_out"),
             "n_tokens",
-            (F.col("n_listed") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-            F.lit(model.total).cast("long").alias("train_tokens"),
-            (worth - F.col("n_tokens") * every).alias("base_score"),
-            (worth + F.col("context")).alias("score"),
+            "n_known",
+            F.lit(core.total).cast("long").alias("train_tokens"),
+            (F.col("worth") - F.col("n_tokens") * every).alias("base_score"),
+            (F.col("worth") + F.col("context")).alias("score"),
         )
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     )

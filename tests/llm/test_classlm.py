@@ -6,6 +6,8 @@ from itertools import product
 import numpy as np
 import pytest
 from helpers import ODD, documents, prose, words
+from pyspark.sql import functions as F
+
 from orderflow.llm import classlm
 
 SMALL = {"frequent": 20, "families": 8, "classes": 6, "listed": 40}
@@ -105,3 +107,75 @@ def test_bigrams_cover_every_neighbour(spark):
         wanted[a, b] += 1
     # Texts of one task follow each other over the end; so do the task's first and last.
     assert found.sum() == wanted.sum() and (found == wanted).all()
+
+
+def plain_scores(rows, core, enough, alpha=0.5):
+    """The scores by dictionaries and loops, from the classes of the core's units."""
+    classes, end = len(core.transitions), None
+    frequent = {w.decode(): int(c) for w, c in zip(core.words[: core.frequent], core.unit_class)}
+    endings = core.unit_class[core.frequent : -1]
+
+    def start(w):
+        return 0 if w is end else frequent.get(w, int(endings[zlib.crc32(w.encode()[-3:]) % core.families]))
+
+    lines = {k: [end, *words(t), end] for k, t in rows}
+    train = [line for k, line in lines.items() if not held(k)]
+    counts = Counter(w for line in train for w in line[1:])
+    worth = {w: np.zeros(classes) for w in counts if w not in frequent and w is not end and counts[w] >= enough}
+    for line in train:
+        for before, w, after in zip(line, line[1:], line[2:]):
+            if w in worth:
+                worth[w] += core.transitions[start(before)] + core.transitions[:, start(after)] - core.emission
+    own = {w: 1 + int(np.argmax(np.round(v[1:], 6))) for w, v in worth.items()}
+
+    def label(w):
+        return own.get(w, start(w))
+
+    table = Counter((label(a), label(b)) for line in train for a, b in zip(line, line[1:]))
+    begun, ended = Counter(), Counter()
+    for (a, b), n in table.items():
+        begun[a] += n
+        ended[b] += n
+    kinds = Counter(label(w) for w in counts)
+
+    def step(a, w):
+        b = label(w)
+        share = (table[a, b] + alpha) / (begun[a] + alpha * classes)
+        return math.log10(share) + math.log10((counts[w] + 1) / (ended[b] + kinds[b] + 1))
+
+    return {k: sum(step(label(a), w) for a, w in zip(line, line[1:])) for k, line in lines.items()}, own
+
+
+@pytest.mark.parametrize(("enough", "listed"), [(1, 20), (3, 60), (3, 10_000), (10**6, 60)])
+def test_scores_are_those_of_a_plain_version(spark, enough, listed):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"{prose(i % 11, 5 + i % 40)} w{int(rng.zipf(1.5)) % 300} seen{i}") for i in range(150)]
+    rows += [(150 + i, x) for i, x in enumerate([None, "", " \t ", "new words only", "THE the"])]
+    docs = documents(spark, rows).repartition(3)
+    training = docs.where(~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))
+    texts = training.selectExpr("coalesce(text, '') AS _text")
+    core = classlm.fit(classlm.word_counts(texts, 8), texts, 20, 8, 6, listed)
+    wanted, own = plain_scores([(k, t or "") for k, t in rows], core, enough)
+    assert bool(own) == (enough < 10**6)
+    found = {r.doc_id: r.score for r in scored(docs, listed=listed, enough=enough)}
+    assert found == {k: pytest.approx(v, abs=1e-8) for k, v in wanted.items()}
+
+
+def test_words_of_one_use_move_to_one_class_whatever_their_ending(spark):
+    """Many rare names in one place, many rare verbs in another: endings mix them, neighbours part them."""
+    rng = np.random.default_rng(3)
+    lines = [f"the n{rng.integers(200)}q of a town v{rng.integers(200)}q it well" for _ in range(3000)]
+    texts = documents(spark, lines).selectExpr("text AS _text")
+    counts = classlm.word_counts(texts, 4)
+    core = classlm.fit(counts, texts, 7, 4, 8, 1000)
+    near = classlm.neighbour_classes(texts.repartition(4), core, classlm._hopeful(counts, 3), most=500)
+    own = {r.word: r["class"] for r in classlm.own_classes(near, core, 3).collect()}
+    names, verbs = {own[w] for w in own if w[0] == "n"}, {own[w] for w in own if w[0] == "v"}
+    assert len(own) > 390 and len(names) == len(verbs) == 1 and names != verbs
+
+
+def test_columns_of_any_name(spark):
+    names = ["_key", "_text", "row", "labels", "rare", "word", "joined", "score", "held_out"]
+    docs = documents(spark, [prose(i, 20) for i in range(30)])
+    more = docs.select("*", *(F.lit("x").alias(n) for n in names))
+    assert sorted(scored(more)) == sorted(scored(docs))
