@@ -1,7 +1,20 @@
 """What keeps the steps over order lines in bounds as the tables grow."""
 
+from datetime import date
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from conftest import ROWS, changed, make
 from orderflow import session
+from orderflow.operators import clean, features
+from orderflow.plans import gold
+from orderflow.sources import export
+from orderflow.sources.lake import FACT, GOLD_NAMES, MONTH, Lake, by_month
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
 
 
 def test_partitions_of_order_lines_are_small_and_many(spark):
@@ -25,3 +38,37 @@ def test_settings_of_order_lines_end_with_their_query():
     session.apply(Session, session.BASE)
     left = session.BASE.keys()
     assert Session.conf.keys() == left and session.SETTINGS.keys() > left
+
+
+def test_derived_columns_are_made_behind_the_shuffle(spark):
+    rows = [*changed(0, order_date=None, sales=0.0, profit=None), *ROWS]
+    fact = features.engineer(clean.clean(make(spark, rows)))
+    laid_out = by_month(fact, derive=features.engineer)
+    assert laid_out.columns == [*fact.columns, MONTH]
+    assert sorted(laid_out.collect(), key=str) == sorted(by_month(fact).collect(), key=str)
+    below = plan(laid_out).split("RebalancePartitions")[-1]
+    assert "profit_tier" not in below
+
+
+def test_a_stored_fact_is_exported_as_it_lies(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    fact = features.engineer(clean.clean(make(spark, changed(0, order_date=None))))
+    late = fact.withColumns({"row_id": F.col("row_id") + 100, "order_date": F.lit(date(2020, 2, 3))})
+    for df, mode in ((fact, "overwrite"), (late, "append")):
+        lake.write_fact(df, mode, features.engineer)
+    for name, df in gold.all_tables(lake.read(FACT)).items():
+        lake.replace(name, df)
+
+    def shuffled(*_):
+        raise AssertionError("the fact is shuffled again")
+
+    monkeypatch.setattr(export, "by_month", shuffled)
+    target = str(tmp_path / "out")
+    frames = export.stored_tables(lake)
+    export.export_tables(frames, target)
+    parity = export.row_count_parity(spark, frames, target).collect()
+    assert len(parity) == 1 + len(GOLD_NAMES) and all(r["matches"] for r in parity)
+    written = spark.read.parquet(f"{target}/{FACT}")
+    assert sorted(written.drop(MONTH).collect(), key=str) == sorted(lake.read(FACT).select(written.drop(MONTH).columns).collect(), key=str)
+    months = {(r[0], r[1]) for r in written.select(MONTH, F.trunc("order_date", "month")).collect()}
+    assert all(a == b for a, b in months) and (None, None) in months
