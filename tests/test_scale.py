@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from conftest import ROWS, changed, make
 from orderflow import session
 from orderflow.operators import clean, features
-from orderflow.plans import gold
+from orderflow.plans import gold, maintained
 from orderflow.sources import export
 from orderflow.sources.lake import FACT, GOLD_NAMES, MONTH, Lake, by_month
 
@@ -72,3 +72,16 @@ def test_a_stored_fact_is_exported_as_it_lies(spark, tmp_path, monkeypatch):
     assert sorted(written.drop(MONTH).collect(), key=str) == sorted(lake.read(FACT).select(written.drop(MONTH).columns).collect(), key=str)
     months = {(r[0], r[1]) for r in written.select(MONTH, F.trunc("order_date", "month")).collect()}
     assert all(a == b for a, b in months) and (None, None) in months
+
+
+def test_sums_of_a_state_are_added_in_one_shuffle(spark):
+    fact = features.engineer(clean.clean(make(spark, ROWS)))
+    parts = gold.line_parts(fact)
+    pairs = {"order_id": maintained.distinct_pairs(gold.PRODUCT, parts, "order_id").localCheckpoint()}
+    sums = maintained.counted(gold.PRODUCT, None, parts.localCheckpoint(), pairs)
+    assert plan(sums).split("== Physical Plan ==")[1].count("Exchange") == 1
+    again = maintained.counted(gold.PRODUCT, sums, parts.limit(0), {"order_id": pairs["order_id"].limit(0)})
+    want = gold.PRODUCT.from_parts(parts)
+    for found in (sums, again):
+        table = gold.PRODUCT.from_sums(found)
+        assert sorted(table.collect(), key=str) == sorted(want.collect(), key=str)
