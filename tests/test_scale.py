@@ -17,15 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-def test_partitions_of_order_lines_are_small_and_many(spark):
-    seen = {}
-    query = lambda s, folder: seen.update({k: s.conf.get(k) for k in session.SETTINGS})
-    entry._tuned(query)(spark, "")
-    assert seen["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "8m"
-    assert int(seen["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) > 200
-
-
-def test_settings_of_order_lines_end_with_their_query():
+def test_partitions_of_order_lines_are_small_and_many():
     class Conf(dict):
         set, unset = dict.__setitem__, dict.pop
         getAll = lambda self: [("spark.sql.adaptive.enabled", "false")]
@@ -34,10 +26,13 @@ def test_settings_of_order_lines_end_with_their_query():
         conf = Conf()
         sparkContext = type("Context", (), {"getConf": staticmethod(Conf)})
 
-    Session.conf.update(session.SETTINGS)
+    entry._tuned(lambda s, folder: None)(Session, "")
+    assert Session.conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "8m"
+    assert int(Session.conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) > 200
+    # A query that does not want them leaves Spark's own.
+    Session.conf["spark.sql.adaptive.enabled"] = "false"
     session.apply(Session, session.BASE)
-    left = session.BASE.keys()
-    assert Session.conf.keys() == left and session.SETTINGS.keys() > left
+    assert Session.conf.keys() == session.BASE.keys() and session.SETTINGS.keys() > session.BASE.keys()
 
 
 def test_derived_columns_are_made_behind_the_shuffle(spark):
