@@ -32,6 +32,11 @@ def test_strip_matches_python(spark):
     assert apply(spark, strip, values) == want
 
 
+def test_strip_of_texts_that_only_look_done(spark):
+    values = ["\x1fa", "a\x85", "\xa0 b \u3000", " \u2003 c", "é \t", "\x7fd\x7f", "~", "! !", "\u3000", " \n"]
+    assert apply(spark, strip, values) == [v.strip() for v in values]
+
+
 def test_whitespace_is_what_python_strips():
     assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
 
@@ -43,6 +48,12 @@ def test_title_case_known(spark):
     assert apply(spark, title_case, values) == want
 
 
+def test_title_case_behind_marks(spark):
+    values = ["BRAND#7", "7UP", "A-b C", "A -B", "#\u01c5A", "x#\u00c9A", "'TIS O'NEIL", "12 AB 3"]
+    want = ["Brand#7", "7Up", "A-B C", "A -B", "#\u01c5a", "X#\u00c9a", "'Tis O'Neil", "12 Ab 3"]
+    assert apply(spark, title_case, values) == want
+
+
 # Latin-1 text without the sharp s, the micro sign and the ordinals, which have no one-letter
 # title case inside Latin-1 or count as letters in Python only.
 latin = st.text(
@@ -63,6 +74,11 @@ def test_zip5(spark):
     assert apply(spark, zip5, [83714.0], "double") == ["83714"]
 
 
+def test_zip5_keeps_what_the_pattern_took(spark):
+    values = ["12.0\n", "1.0.0", ".0", "1.02.0", "12\n", "123456.0", ""]
+    assert apply(spark, zip5, values) == ["0012\n", "1.0", "", "1.02", "0012\n", "123456", ""]
+
+
 def test_na_tokens(spark):
     assert apply(spark, na_to_null, [*NA_TOKENS, "x"]) == [None] * len(NA_TOKENS) + ["x"]
 

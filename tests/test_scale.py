@@ -80,3 +80,7 @@ def test_sums_of_a_state_are_added_in_one_shuffle(spark):
     for found in (sums, again):
         table = gold.PRODUCT.from_sums(found)
         assert sorted(table.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_no_generated_method_is_larger_than_the_jvm_compiles():
+    assert int(session.SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
