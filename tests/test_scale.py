@@ -1,6 +1,6 @@
 """What keeps the steps over order lines in bounds as the tables grow."""
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from orderflow import session
 from orderflow.operators import clean, features
 from orderflow.plans import gold, maintained
 from orderflow.sources import export
+from orderflow.sources.conformed import conformed_sales
 from orderflow.sources.lake import FACT, GOLD_NAMES, MONTH, Lake, by_month
 
 
@@ -84,3 +85,30 @@ def test_sums_of_a_state_are_added_in_one_shuffle(spark):
 
 def test_no_generated_method_is_larger_than_the_jvm_compiles():
     assert int(session.SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
+
+
+def test_no_shuffle_of_the_lines_carries_country_names(spark, tmp_path):
+    star = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "PERU", 1)]),
+        "region": ("r_regionkey int, r_name string", [(1, "AMERICA")]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [(4, "Ann", 1, "BUILDING")]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double",
+                 [(7, "hot bolt", "Brand#1", "SMALL", 9.5)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string",
+                   [(2, 4, datetime(2000, 3, 9, 13), "2-HIGH")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                     "l_extendedprice double, l_discount double, l_shipdate timestamp",
+                     [(2, 7, 3, 1, 2.0, 100.0, 0.1, datetime(2000, 3, 11, 1)), (2, 8, 3, 2, 2.0, 1.0, 0.1, None)]),
+    }
+    for name, (schema, rows) in star.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = conformed_sales(spark, str(tmp_path))
+    (row,) = df.collect()
+    assert (row["row_id"], row["order_id"], row["product_id"], row["country"], row["region"]) == ("2-1-7-3", 2, 7, "PERU", "AMERICA")
+    assert (row["order_date"], row["ship_date"], row["sales"]) == (date(2000, 3, 9), date(2000, 3, 11), 90.0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    top = next(i for i, line in enumerate(plan) if "Join Inner, (l_partkey" in line)
+    below = [line for i, line in enumerate(plan) if i > top and min(depth[top + 1 : i + 1]) > depth[top]]
+    assert any("l_orderkey" in line for line in below)
+    assert not any("n_name" in line or "r_name" in line or "timestamp" in line for line in below)
