@@ -35,7 +35,7 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
-CACHED, CACHE_BYTES = 1_100_000, 240 << 20  # words, and bytes of them
+CACHED, CACHE_BYTES = 500_000, 96 << 20  # words, and bytes of them
 IDLE_SECONDS = 5.0
 MARKS = string.punctuation
 WORD = re.compile(r" ?\S+").fullmatch
@@ -56,6 +56,8 @@ class OddPiece(Exception):
 class Words(dict):
     """Little-endian ids of words, each with the space before it if there is one; bounded.
 
+    Once half the bound is reached these words become the earlier ones, and those go that were.
+    A word met again in time moves up, so common words are never encoded anew and rare ones pass.
     The byte-level splitter makes one piece of letters and one of the marks behind them, so a
     stem's ids are looked up for the next word with that stem, and a piece of plain letters
     goes to the merge model alone.  All other words pass the whole tokenizer.
@@ -63,11 +65,11 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.merges, self.letters, self.held = tokenizer, tokenizer.model.tokenize, byte_letters(), 0
-        self.space, self.timer = self.letters[ord(" ")], None
+        self.space, self.timer, self.earlier = self.letters[ord(" ")], None, {}
 
     def forget(self) -> None:
         self.clear()
-        self.held = 0
+        self.earlier, self.held = {}, 0
 
     def wanted(self, now: bool) -> None:
         """Keep the words while tasks follow each other; drop them once the worker does other work."""
@@ -82,19 +84,23 @@ class Words(dict):
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return array("I", found.ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def encoded(self, word: str) -> bytes:
         if PLAIN(word):
             # ASCII letters are written as themselves, and the space as one other letter.
             written = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             found = self.merges(written)
-            ids = array("I", [t.id for t in found]).tobytes()
-        elif not WORD(word):
+            return array("I", [t.id for t in found]).tobytes()
+        if not WORD(word):
             raise OddPiece
-        else:
-            stem = word.rstrip(MARKS)
-            ids = self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
-        if len(self) > CACHED or self.held > CACHE_BYTES:
+        stem = word.rstrip(MARKS)
+        return self[stem] + self[word[len(stem) :]] if stem != word and PLAIN(stem) else self.whole(word)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.earlier.pop(word, None) or self.encoded(word)
+        if len(self) > CACHED // 2 or self.held > CACHE_BYTES // 2:
+            earlier = self.copy()
             self.forget()
+            self.earlier = earlier
         self.held += len(word) + len(ids) + 180  # what Python adds to both
         self[word] = ids
         return ids
@@ -131,10 +137,21 @@ class Encoder:
             return self.known.whole(text)
 
 
+ENCODERS: list[Encoder] = []
+
+
 @cache
 def encoder(path: str, end_id: int) -> Encoder:
     """One per Python worker, so that its words outlast a task."""
-    return Encoder(path, end_id)
+    ENCODERS.append(Encoder(path, end_id))
+    return ENCODERS[-1]
+
+
+def forget_words() -> None:
+    """Drop the words at once, for steps of the same worker that encode nothing."""
+    for found in ENCODERS:
+        found.known.wanted(now=True)
+        found.known.forget()
 
 
 def key_name(key: str) -> str:
@@ -222,6 +239,7 @@ def digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     schema = f"`{key}` {frame.schema[key].dataType.simpleString()}, part int, place long, n_tokens long, ids_crc32 long"
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             tokens = batch.column(3)
             ends = tokens.offsets.to_numpy()

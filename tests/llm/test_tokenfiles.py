@@ -78,3 +78,22 @@ def test_words_are_dropped_once_nobody_wants_them(monkeypatch):
     words.wanted(now=False)
     time.sleep(0.6)
     assert not len(words) and words["kept"] == whole
+
+
+def test_common_words_outlast_the_bound(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "CACHED", 60)
+    words, asked = tokenfiles.Encoder(tokenizer_path(), 2).known, []
+    merges, most = words.merges, 0
+    words.merges = lambda text: asked.append(text) or merges(text)
+    for i in range(400):
+        words["common"], words["rare" + "abcdefghij"[i % 10] * (i // 10 + 1)]
+        most = max(most, len(words) + len(words.earlier))
+    assert asked.count("common") == 1 and most <= 62
+
+
+def test_digests_need_no_words():
+    words = tokenfiles.encoder(tokenizer_path(), 2).known
+    words["kept"]
+    words.wanted(now=False)
+    tokenfiles.forget_words()
+    assert not len(words) and not words.earlier and words.timer is None and words.held == 0
