@@ -195,3 +195,11 @@ def test_statistics_merge_to_those_of_all_rows(spark, stage, tmp_path):
     # A fact the state does not reach has no statistics to offer.
     run.load_fact(lake, batch(spark, [28]), "row_id")
     assert maintained.statistics(lake) is None
+
+
+def test_the_most_common_number_is_found_without_a_sort(spark, stage):
+    rows = [(1.5, 7, None), (1.5, 7, None), (-2.0, 3, None), (-2.0, 3, None), (9.0, 7, None), (float("nan"), None, None)]
+    found = p.profile_columns(spark.createDataFrame(rows, "a double, b int, c double"), stage)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["column_name"]: (r["top_value"], r["freq"], r["count"], r["unique"]) for r in found.collect()}
+    assert got == {"a": (-2.0, 2, 5, 3), "b": (7.0, 3, 5, 2), "c": (None, None, 0, 0)}
