@@ -12,14 +12,17 @@ from pyspark.sql import types as T
 
 from orderflow.functions import na_to_null
 from orderflow.operators.clean import DATE_FORMAT
-from orderflow.schema import DEFAULT_SCHEMA, SourceSchema
+from orderflow.schema import DEFAULT_SCHEMA, TITLE_CASED, SourceSchema
 from orderflow.session import Stage, path_exists
 from orderflow.sources.files import Reading, SourceNotFound, header_fields, headers, ledger_rows, list_files, literal, plan_reading
 
 # Encoding names as users write them and as Spark accepts them.
 _ENCODINGS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8"}
 _SURPLUS = "_surplus_fields"
+_UNREAD = "_unread_fields"
 SOURCE_FILE = "_source_file"
+# Columns with few values among very many rows.
+REPEATING = {*TITLE_CASED, "order_date", "ship_date", "quantity", "discount", SOURCE_FILE}
 
 
 def encoding_name(encoding: str) -> str:
@@ -63,11 +66,15 @@ def read_text(
 def _read_group(
     spark: SparkSession, files: list[str], header: list[str], charset: str, sep: str, multi_line: bool
 ) -> DataFrame:
-    """Files of one header.  A column behind the last one shows where a line has more fields."""
-    repeated = sorted({c for c in header if header.count(c) > 1 or c in (_SURPLUS, SOURCE_FILE)})
+    """Files of one header.  A column behind the last one shows where a line has more fields.
+
+    The one behind that is declared and never read: where columns are picked, Spark's parser fills up a
+    line that lacks some, and does not take each line without surplus fields for a malformed one.
+    """
+    repeated = sorted({c for c in header if header.count(c) > 1 or c in (_SURPLUS, _UNREAD, SOURCE_FILE)})
     if repeated:
         raise ValueError(f"a header names columns twice, or as this reader names its own: {repeated}")
-    fields = [T.StructField(c, T.StringType()) for c in [*header, _SURPLUS]]
+    fields = [T.StructField(c, T.StringType()) for c in [*header, _SURPLUS, _UNREAD]]
     rows = (
         spark.read.schema(T.StructType(fields))
         .option("header", True)
@@ -215,7 +222,9 @@ def extract_unread(
         raw = read_text(spark, path, encoding, reading=reading, keep_file=True, **options)
     typed = apply_schema(check_columns(raw, schema), schema)
     day = F.try_to_date("order_date", date_format) if date_format else F.col("order_date")
-    read = stage.put("read", typed)
+    # A dictionary of texts that hardly repeat is built for nothing.
+    repeating = [c for c in typed.columns if c in REPEATING]
+    read = stage.put("read", typed, **{"parquet.enable.dictionary": "false"}, **{f"parquet.enable.dictionary#{c}": "true" for c in repeating})
     keep = since_predicate(F.col("order_date"), since, buffer_days, date_format)
     # A file the tasks found nothing in has no row here and none to load.
     per_file = stage.put(

@@ -1,5 +1,7 @@
 import datetime as dt
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import ROWS, make
 
@@ -58,6 +60,21 @@ def test_fewer_fields_are_null(spark, tmp_path):
     assert [tuple(x) for x in bronze.read_text(spark, path).collect()] == [("1", "T-7001", "899.5"), ("2", "T-1", None)]
 
 
+def test_no_whole_line_is_taken_for_malformed(spark, tmp_path):
+    """Spark's parser does so, at the cost of two exceptions, where a reading asks for all that is declared."""
+    plan = bronze.read_text(spark, csv(tmp_path / "a.csv"))._jdf.queryExecution()
+    declared, read = plan.analyzed().toString(), plan.executedPlan().toString()
+    assert "_surplus_fields" in read and "_unread_fields" not in read and "_unread_fields" in declared
+
+
+def test_staged_texts_that_hardly_repeat_get_no_dictionary(spark, stage, tmp_path):
+    bronze.extract_unread(stage, csv(tmp_path / "a.csv"))
+    file = next(f for f in Path(stage.path("read")).iterdir() if f.suffix == ".parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    coded = {c.path_in_schema for c in map(group.column, range(group.num_columns)) if any("DICTIONARY" in e for e in c.encodings)}
+    assert {"region", "order_date", bronze.SOURCE_FILE} <= coded and not coded & {"row_id", "product_name", "sales"}
+
+
 def test_an_append_follows_the_order_that_is_there(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
