@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name, slices, small_batches, without
+from orderflow.llm.common import SLICE, free_name, slices, small_batches, without
 
 WORDS = re.compile(r"\w+").findall
 K1, B = 1.2, 0.75
@@ -409,7 +409,7 @@ def _scanned(frame: DataFrame, indexes: list[Index], text: str, overlap: float,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, overlap)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             found = scanner(batch.column(text).to_pylist())
             so_far = batch.column(column)
             joined = [a + b for a, b in zip(so_far.to_pylist(), found)]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name, given_back, hashed_words, mixed_bits, new_name, set_aside, slices, small_batches, text_of
+from orderflow.llm.common import SLICE, free_name, given_back, hashed_words, mixed_bits, new_name, set_aside, slices, small_batches, text_of
 from orderflow.session import Stage
 
 WIDTH = 5
@@ -69,7 +69,7 @@ def classes(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     added = [free_name(frame, "cls"), free_name(frame, "n_words")]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, len(keep)):
+        for batch in slices(batches, len(keep), SLICE):
             found, first = hashed_words(batch.column(len(keep)).to_pylist())
             names = [class_of(found[a:b]) if b > a else None for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +161,7 @@ def _dealt(docs: DataFrame, text: str, bits: int, most: int = 1_000_000) -> Data
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Pack(bits, most)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             found, first = hashed_words(batch.column(0).to_pylist())
             for a, b in zip(first[:-1], first[1:]):
                 if b > a:

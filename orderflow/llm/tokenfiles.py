@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import slices, small_batches, text_of
+from orderflow.llm.common import give_back, slices, small_batches, text_of
 
 # Parquet settings by column: ids repeat and take a dictionary; sorted whole numbers take deltas.
 OWN = frozenset("part place tokens n_tokens ids_crc32 start _text _offset _inside _all".split())
@@ -71,11 +71,15 @@ class Words(dict):
         self.clear()
         self.earlier, self.held = {}, 0
 
+    def drop(self) -> None:
+        self.forget()
+        give_back()
+
     def wanted(self, now: bool) -> None:
         """Keep the words while tasks follow each other; drop them once the worker does other work."""
         if self.timer:
             self.timer.cancel()
-        self.timer = None if now else Timer(IDLE_SECONDS, self.forget)
+        self.timer = None if now else Timer(IDLE_SECONDS, self.drop)
         if self.timer:
             self.timer.daemon = True
             self.timer.start()
@@ -151,7 +155,7 @@ def forget_words() -> None:
     """Drop the words at once, for steps of the same worker that encode nothing."""
     for found in ENCODERS:
         found.known.wanted(now=True)
-        found.known.forget()
+        found.known.drop()
 
 
 def key_name(key: str) -> str:
@@ -249,5 +253,7 @@ def digests(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 [*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
                 [key, "part", "place", "n_tokens", "ids_crc32"],
             )
+        batch = tokens = raw = None  # else their memory counts as used
+        give_back()
 
     return frame.mapInArrow(crc, schema)

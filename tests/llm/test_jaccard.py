@@ -128,3 +128,18 @@ def test_one_of_each_keeps_columns_and_one_document(spark):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_words_are_hashed_in_small_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    from orderflow.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words of a text " * 500] * 200)], ["t"])
+    tracemalloc.start()
+    for part in common.slices(iter([batch]), "t", common.SLICE):
+        common.hashed_words(part.column(0).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 2 << 20 and peak < 48 << 20

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from helpers import ODD, documents, prose
-from orderflow.llm import tokenfiles
+from orderflow.llm import common, tokenfiles
 from orderflow.llm.queries import tokenizer_path
 
 TRICKY = [
@@ -97,3 +97,23 @@ def test_digests_need_no_words():
     words.wanted(now=False)
     tokenfiles.forget_words()
     assert not len(words) and not words.earlier and words.timer is None and words.held == 0
+
+
+def test_memory_goes_back_when_words_are_dropped_and_tasks_end(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(common, "give_back", lambda: asked.append("task"))
+    monkeypatch.setattr(tokenfiles, "give_back", lambda: asked.append("words"))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one", None, "two"])], ["t"])
+    assert [b.num_rows for b in common.slices(iter([batch]), "t", 1)] == [1, 2] and asked == ["task"]
+    tokenfiles.encoder(tokenizer_path(), 2)
+    tokenfiles.forget_words()
+    assert "words" in asked
+
+
+def test_giving_back_needs_no_special_c_library(monkeypatch):
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: object())
+    common._trim.cache_clear()
+    common.give_back()
+    common._trim.cache_clear()
