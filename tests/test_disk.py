@@ -1,0 +1,41 @@
+"""What keeps the bytes written and shuffled by the steps over order lines in bounds."""
+
+from pyspark.sql import functions as F
+
+from orderflow.checks import queries
+from orderflow.schema import DEFAULT_SCHEMA
+from orderflow.sources import bronze
+from orderflow.sources.conformed import STAR_SCHEMA
+
+
+def lines(spark, rows=3000):
+    """Order lines as text, no two alike."""
+    texts = {r.name: F.concat(F.lit(f"{r.name} "), (F.col("id") * 7919 % 977).cast("string")) for r in STAR_SCHEMA.rules}
+    texts |= {"row_id": F.col("id").cast("string"), "sales": (F.col("id") / 4).cast("string"), "quantity": F.lit("3")}
+    texts |= {c: F.lit("0.5") for c in ("discount", "profit")} | {c: F.lit("1/2/2000") for c in ("order_date", "ship_date")}
+    return spark.range(rows).select(*[texts[n].alias(n) for n in STAR_SCHEMA.names])
+
+
+def test_csv_of_the_queries_is_compressed_and_read_back_whole(spark, tmp_path, monkeypatch):
+    raw = lines(spark)
+    monkeypatch.setattr(queries, "conformed_raw", lambda *_: raw)
+    monkeypatch.setitem(queries.PACKED, "rows_per_file", 400)
+    packed = queries._as_csv(spark, "")
+    bronze.write_csv(raw, str(tmp_path / "plain"), STAR_SCHEMA)
+    read = [bronze.read_bronze(spark, path, STAR_SCHEMA).orderBy("row_id").collect() for path in (packed, str(tmp_path / "plain"))]
+    assert read[0] == read[1] and len(read[0]) == 3000
+    sizes = {path: spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.count("*")).first() for path in (packed, str(tmp_path / "plain"))}
+    assert sizes[packed][0] * 3 < sizes[str(tmp_path / "plain")][0] and sizes[packed][1] >= 8
+
+
+def test_a_compressed_delivery_follows_the_order_of_the_files_that_are_there(spark, stage, tmp_path):
+    turned = [DEFAULT_SCHEMA.header_of(n) for n in reversed(STAR_SCHEMA.names)]
+    path = str(tmp_path / "csv")
+    raw = lines(spark, 30)
+    raw.toDF(*[DEFAULT_SCHEMA.header_of(n) for n in raw.columns]).select(*turned).coalesce(1).write.option("header", True).option(
+        "compression", "gzip"
+    ).csv(path)
+    bronze.write_csv(raw.withColumn("row_id", F.concat(F.lit("n"), "row_id")), path, STAR_SCHEMA, compression="gzip", rows_per_file=7)
+    batch, ledger = bronze.extract_unread(stage, path, schema=STAR_SCHEMA)
+    assert batch.frame.count() == 60 and batch.frame.filter(F.col("row_id").startswith("n")).count() == 30
+    assert {tuple(r["header"].split(",")) for r in ledger.select("header").collect()} == {tuple(turned)}
