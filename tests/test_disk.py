@@ -1,8 +1,11 @@
 """What keeps the bytes written and shuffled by the steps over order lines in bounds."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orderflow.checks import queries
+from orderflow.operators import profile
 from orderflow.schema import DEFAULT_SCHEMA
 from orderflow.sources import bronze
 from orderflow.sources.conformed import STAR_SCHEMA
@@ -39,3 +42,32 @@ def test_a_compressed_delivery_follows_the_order_of_the_files_that_are_there(spa
     batch, ledger = bronze.extract_unread(stage, path, schema=STAR_SCHEMA)
     assert batch.frame.count() == 60 and batch.frame.filter(F.col("row_id").startswith("n")).count() == 30
     assert {tuple(r["header"].split(",")) for r in ledger.select("header").collect()} == {tuple(turned)}
+
+
+@pytest.mark.parametrize("shape", ["even", "heavy", "two"])
+def test_few_values_are_sorted_for_exact_quartiles(spark, stage, shape):
+    rng = np.random.default_rng(3)
+    x = {"even": rng.random(20000), "heavy": rng.lognormal(0, 6, 20000), "two": rng.integers(0, 2, 20000) * 1e9}[shape]
+    df = spark.createDataFrame([(float(v), float(-v), None if v > np.median(x) else 1.0) for v in x], "v double, w double, gaps double")
+    counts = profile.stage_counts(df, stage)
+    near = profile.near_quantiles(counts["numbers"], profile.QUARTILES, stage)
+    rows = {r["code"]: r for r in profile.exact_quantiles(near, profile.QUARTILES).collect()}
+    for code, values in (("0", x), ("1", -x)):
+        assert [rows[code][k] for k in profile.QUARTILES] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]), abs=6e-5)
+    total = {r["code"]: r["n"] for r in near.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    assert total["0"] == total["1"] == 20000 and rows["2"]["p50"] == 1.0
+    if shape == "even":
+        assert near.count() < 5000
+
+
+def test_profile_counts_read_the_frame_once(spark, stage):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).selectExpr("cast(id as double) v", "cast(id % 3 as string) s").mapInArrow(counted, "v double, s string")
+    found = {r["column_name"]: r for r in profile.profile_columns(df, stage).collect()}
+    assert seen.value == 50 and (found["v"]["p50"], found["s"]["unique"], found["s"]["freq"]) == (24.5, 3, 17)
