@@ -104,7 +104,7 @@ def clean_rows(spark, folder):
     """The whole cleaning of raw text lines, urgent ones of which come twice."""
     raw = conformed_raw(spark, folder)
     twice = raw.unionByName(raw.filter(F.col("ship_mode") == "1-URGENT"))
-    return clean.clean(twice, schema=STAR_SCHEMA)
+    return clean.clean(twice, schema=STAR_SCHEMA, stage=Stage(spark))
 
 
 def _repeated_lines(spark, folder):

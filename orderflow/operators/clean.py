@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from orderflow.functions import strip, title_case, zip5
 from orderflow.functions.numeric import finite
-from orderflow.operators.dedup import drop_full_duplicates
+from orderflow.operators.dedup import drop_full_duplicates, drop_staged_duplicates
 from orderflow.schema import DEFAULT_SCHEMA, TITLE_CASED, SourceSchema
+from orderflow.session import Stage
 
 DATE_FORMAT = "M/d/yyyy"
 
@@ -84,13 +85,15 @@ def clean(
     date_format: str = DATE_FORMAT,
     deduplicate: bool = True,
     schema: SourceSchema = DEFAULT_SCHEMA,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Raw order lines to typed, de-duplicated order lines.
 
     ``deduplicate=False`` leaves out the full-row shuffle for a caller who has already
-    shown that the normalised rows hold no duplicate (see operators.dedup).
+    shown that the normalised rows hold no duplicate (see operators.dedup).  With a ``stage``
+    the rows are staged and shuffled as digests only.
     """
     rows = normalise(df, date_format)
     if deduplicate:
-        rows = drop_full_duplicates(rows)
+        rows = drop_staged_duplicates(rows, stage) if stage else drop_full_duplicates(rows)
     return cast_numerics(rows, schema)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderflow.checks import queries
-from orderflow.operators import profile
+from orderflow.operators import clean, dedup, profile
 from orderflow.schema import DEFAULT_SCHEMA
 from orderflow.sources import bronze
 from orderflow.sources.conformed import STAR_SCHEMA
@@ -71,3 +71,40 @@ def test_profile_counts_read_the_frame_once(spark, stage):
     df = spark.range(50).selectExpr("cast(id as double) v", "cast(id % 3 as string) s").mapInArrow(counted, "v double, s string")
     found = {r["column_name"]: r for r in profile.profile_columns(df, stage).collect()}
     assert seen.value == 50 and (found["v"]["p50"], found["s"]["unique"], found["s"]["freq"]) == (24.5, 3, 17)
+
+
+def odd_rows(spark):
+    """Rows with every kind of value, some of which look alike when put together."""
+    rows = [(None, "1:a", 0.0, None), ("-", "", -0.0, b"\x00"), ("-", "", 0.0, b"\x00"), ("a", "b", float("nan"), None), ("ab", "", float("nan"), None)]
+    rows += [("a", "b", float("nan"), None)] * 40 + [(str(i % 97), str(i), i / 3, None) for i in range(500)] * 2
+    df = spark.createDataFrame(rows, "s string, `t.u` string, x double, y binary")
+    day = F.to_timestamp(F.lit("2020-01-01 00:00:00.000001"))
+    return df.withColumns({"_row": F.length("s"), "at": day, "d": F.to_date(day), "p": F.lit("1.50").cast("decimal(9,3)"), "z": F.col("s") == "a"})
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_staged_duplicates_are_those_of_whole_rows(spark, stage, monkeypatch, broadcast):
+    monkeypatch.setattr(dedup, "_BROADCAST", broadcast)
+    df = odd_rows(spark).repartition(7)
+    found, want = dedup.drop_staged_duplicates(df, stage), dedup.drop_full_duplicates(df)
+    assert found.columns == df.columns and found.dtypes == df.dtypes
+    key = lambda rows: sorted(str(tuple(abs(v) if v == 0 else v for v in r)) for r in rows)
+    assert key(found.collect()) == key(want.collect()) and found.count() == 504
+    nested = df.select("s", F.array("x").alias("xs"))
+    assert dedup.drop_staged_duplicates(nested, stage).count() == nested.distinct().count()
+    empty = df.limit(0)
+    assert dedup.drop_staged_duplicates(empty, stage, "none").count() == 0
+
+
+def test_bits_of_many_rows_are_told_apart(spark, stage):
+    df = spark.range(0, 200_000, 1, 3).selectExpr("cast(id % 150000 as string) as s", "id % 150000 as n")
+    found = dedup.drop_staged_duplicates(df, stage)
+    assert found.count() == 150_000 == found.select("s").distinct().count()
+
+
+def test_cleaning_with_a_stage_shuffles_no_whole_rows(spark, stage, raw):
+    twice = raw.unionByName(raw)
+    found = clean.clean(twice, stage=stage)
+    plan = found._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    assert sorted(found.collect(), key=str) == sorted(clean.clean(twice).collect(), key=str)
