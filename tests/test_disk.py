@@ -5,10 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderflow.checks import queries
-from orderflow.operators import clean, dedup, profile
+from conftest import ROWS, changed, make
+from orderflow.operators import clean, dedup, profile, quality
+from orderflow.plans import run
 from orderflow.schema import DEFAULT_SCHEMA
 from orderflow.sources import bronze
 from orderflow.sources.conformed import STAR_SCHEMA
+from orderflow.sources.files import headers
 
 
 def lines(spark, rows=3000):
@@ -108,3 +111,47 @@ def test_cleaning_with_a_stage_shuffles_no_whole_rows(spark, stage, raw):
     plan = found._jdf.queryExecution().toString()
     assert "hashpartitioning" not in plan and "Aggregate" not in plan
     assert sorted(found.collect(), key=str) == sorted(clean.clean(twice).collect(), key=str)
+
+
+def loaded(spark, root, rows, monkeypatch):
+    """What a run over rows reports of duplicates, and how often whole rows were compared."""
+    looked = []
+
+    def counted(df):
+        looked.append(len(df.columns))
+        return dedup.has_repeated_fingerprint(df)
+
+    monkeypatch.setattr(run, "has_repeated_fingerprint", counted)
+    monkeypatch.setattr(quality, "count_duplicates", lambda df: looked.append(len(df.columns)) or dedup.count_duplicates(df))
+    source = root / "csv"
+    bronze.write_csv(make(spark, rows), str(source))
+    report = run.run(spark, str(source), str(root / "lake"), run.Config(fail_on_quality_error=False, make_profile=False, min_rows=1))
+    stages = {c["stage"]: next(x["failures"] for x in c["checks"] if x["check_name"] == "duplicate_rows") for c in report["quality_checks"]}
+    return stages, report["stages"]["clean"]["rows_output"], looked
+
+
+def test_distinct_keys_prove_distinct_rows_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    assert loaded(spark, tmp_path / "a", ROWS, monkeypatch) == ({"raw": 0, "cleaned": 0}, 5, [1])
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_repeated_keys_prove_nothing(spark, tmp_path, monkeypatch, key):
+    first = [tuple(r) for r in changed(0, row_id=key)]
+    rows = [*first, first[0], (*first[0][:17], 1.5, *first[0][18:])]
+    stages, kept, looked = loaded(spark, tmp_path, rows, monkeypatch)
+    assert (stages, kept) == ({"raw": 1, "cleaned": 0}, 6) and max(looked) > 1
+
+
+def test_keys_that_cleaning_makes_equal_prove_nothing(spark):
+    df = spark.createDataFrame([("7 ",), (" 7",), ("x",)], "row_id string")
+    assert not run.keys_differ(df, STAR_SCHEMA) and run.keys_differ(df.filter("row_id != ' 7'"), STAR_SCHEMA)
+    assert not run.keys_differ(df.toDF("other"), STAR_SCHEMA)
+
+
+def test_headers_are_found_without_a_sort_of_the_lines(spark, tmp_path):
+    for name, text in (("a", "\n  \nRow ID,Nöte\n1,x\n"), ("b", "x,y\n" + "1,2\n" * 5000), ("c", " \n")):
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    found = headers(spark, [str(tmp_path / n) for n in "abc"], "ISO-8859-1")
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["header"] for r in found.collect()) == ["Row ID,Nöte", "x,y"]
